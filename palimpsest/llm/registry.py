@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from . import line_dedup, quality_rules
+from . import line_dedup, quality_rules, token_files
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_token_files": token_files.op8_token_files,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
