@@ -67,8 +67,12 @@ class LineRuns:
         return lines
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch's lines (doc_id, h1, h2) that no run has yet, as the batch's own run."""
-        own = self.unseen(lines).groupBy("h1", "h2").agg(F.max("doc_id").alias("last_doc"))
+        """Add a batch's lines (doc_id, h1, h2) that no run has yet, as the batch's own run.
+
+        They are aggregated first, so that a line that many documents hold is one
+        row in the joins.
+        """
+        own = self.unseen(lines.groupBy("h1", "h2").agg(F.max("doc_id").alias("last_doc")))
         self._put(0, written(own.sortWithinPartitions("h1", "h2"), "run"))
 
     def _put(self, level: int, run: DataFrame) -> None:
