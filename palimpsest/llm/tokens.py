@@ -1,34 +1,58 @@
-"""Token ids of whole texts, by the tokenizers library behind a cache of short chunks.
-
-The library encodes some 2 MB a second; most chunks of a corpus repeat, so a
-worker keeps the ids of chunks it has met. Cutting a text into chunks must not
-change its ids, so each vocabulary states where that holds:
-
-* byte-level ("space"): its pattern starts a token at every single space between
-  two other characters that are no white space. A text with other spaces is
-  encoded whole; only chunks that are safe to cut at are remembered, so that this
-  shows as a miss.
-* word BPE ("words"): it drops white space, and no token or normalisation reaches
-  over it. Texts with the separators that only Python calls white space
-  (U+001C to U+001F) are encoded whole.
-
-Special tokens' strings in a text are ordinary text.
+"""Token ids of whole texts, by the tokenizers library behind a cache of words.
+
+The library's whole-text calls encode some 2 MB a second, most of it spent around
+the model. Most words of a corpus repeat, so a worker keeps the ids of words it has
+met, and gives new plain words straight to the library's BPE model. Cutting a text
+into words must not change its ids, so each kind of vocabulary states where that
+holds:
+
+* "space", a byte-level vocabulary whose pattern starts a token at every single
+  space between two other characters that are no white space. A text with other
+  spaces is encoded whole; only words that are safe to cut at are remembered, so
+  that such a text shows as a miss.
+* "words", a BPE with word ends that drops white space, so that no token or
+  normalisation reaches over it. Texts with the separators that only Python calls
+  white space (U+001C to U+001F) are encoded whole.
+
+Words of Latin letters alone are one token of the pattern and go to the model as
+they are; all others go through the library's normaliser and pattern. Special
+tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import sys
+from array import array
+
 import numpy as np
 
-#: Chunks a worker remembers: two generations of so many.
-CACHE = 400_000
-LONGEST_CHUNK = 64
+#: Words a worker remembers: two generations of so many.
+CACHE = 500_000
+LONGEST_WORD = 64
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Letters of the Latin blocks; every version of Unicode agrees on them.
+AFTER_LATIN = "ɐ"
+
+
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class _Unsafe(Exception):
     """A text must not be cut at all its spaces."""
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in kept)
+    return {b: chr(b) for b in kept} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     def __init__(self, path: str, cut: str) -> None:
         from tokenizers import Tokenizer
@@ -37,37 +61,66 @@ class Encoder:
             raise ValueError(f"cut must be 'space' or 'words', not {cut!r}")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.space = self.letters[0x20]
         self.cut, self.new, self.old = cut, {}, {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _miss(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
+        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _plain(self, word: str, space: str = "") -> bytes:
+        """A word of letters, perhaps behind a space: one token of the pattern, as bytes' letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return pack([t.id for t in self.model.tokenize(space + word)])
+
+    def _encoded(self, word: str) -> bytes:
+        if self.cut == "space":
+            if not word or word[0].isspace() or word[-1].isspace():
+                raise _Unsafe
+            if word.isalpha() and max(word) < AFTER_LATIN:
+                return self._plain(word, self.space)
+            stem = word[:-1]
+            if word[-1] in ",." and stem.isascii() and stem.isalpha():  # the pattern parts them
+                return self._plain(stem, self.space) + self._plain(word[-1])
+            return self._whole(" " + word)
+        lower = word.lower()
+        if lower.isascii() and lower.isalpha():
+            return self._plain(lower)
+        stem = lower[:-1]
+        if lower[-1] in ",." and stem.isascii() and stem.isalpha():
+            return self._plain(stem) + self._plain(lower[-1])
+        # Composed Latin letters are their own normal form.
+        if lower.isalpha() and max(word) < AFTER_LATIN and len(lower) == len(word):
+            return self._plain(lower)
+        return self._whole(word)
+
+    def _miss(self, word: str) -> bytes:
+        ids = self.old.get(word)
         if ids is None:
-            if self.cut == "space":
-                word = chunk[1:] if chunk[:1] == " " else chunk
-                if not word or word[0].isspace() or word[-1].isspace():
-                    raise _Unsafe
-            ids = self._whole(chunk)
-        if len(chunk) <= LONGEST_CHUNK:
+            ids = self._encoded(word)
+        if len(word) <= LONGEST_WORD:
             if len(self.new) >= CACHE:
                 self.old, self.new = self.new, {}
-            self.new[chunk] = ids
+            self.new[word] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; none for null."""
         if not text:
             return np.empty(0, dtype="<u4")
-        get, miss = self.new.get, self._miss
+        get, miss, head = self.new.get, self._miss, b""
         if self.cut == "words":
-            chunks = [] if any(x in text for x in SEPARATORS) else text.split()
+            if any(x in text for x in SEPARATORS):
+                return np.frombuffer(self._whole(text), dtype="<u4")
+            words = text.split()
         else:
-            head, *rest = text.split(" ")
-            chunks = [head, *[" " + x for x in rest]]
+            first, *words = text.split(" ")
+            if not first or first[-1].isspace():
+                return np.frombuffer(self._whole(text), dtype="<u4")
+            head = self._whole(first)
         try:
-            return np.frombuffer(b"".join([get(c) or miss(c) for c in chunks]) if chunks else self._whole(text), dtype="<u4")
+            return np.frombuffer(head + b"".join([get(w) or miss(w) for w in words]), dtype="<u4")
         except _Unsafe:
             return np.frombuffer(self._whole(text), dtype="<u4")
 
