@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from . import language, line_dedup, packing, pii, quality_rules, simhash, token_files
+from . import language, language_model, line_dedup, packing, pii, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op9_language_model": language_model.op9_language_model,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
