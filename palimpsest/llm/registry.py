@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL."""
 
-from . import language, language_model, line_dedup, packing, pii, quality_rules, simhash, token_files
+from . import language, language_model, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_token_files": token_files.op8_token_files,
     "op9_language_model": language_model.op9_language_model,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
