@@ -1,11 +1,12 @@
 """The subpackage's queries and their SQL."""
 
-from . import language, language_model, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, token_files
+from . import decontaminate, language, language_model, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_pii": pii.op3_pii,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_language": language.op5_language,
     "op6_packing": packing.op6_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
