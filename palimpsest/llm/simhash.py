@@ -1,26 +1,37 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-A fingerprint bit is the majority of that bit over the XXH64 hashes of a text's
-word shingles. Fingerprints link at `radius` or fewer differing bits.
-
-Which are compared: the 64 bits are cut into radius + 2 bands. Two fingerprints
-that differ in at most `radius` bits agree in two bands at least, so each pair of
-bands is a table, and fingerprints that agree in a table's bands are a bucket.
-Only distinct fingerprints take part, with the least document as representative.
-Buckets over `TILE` members are dealt to tiles (each pair of its parts meets in
-one), so no group is held by one task.
-
-How: a block of fingerprints is stored as bit planes, one word for 64 fingerprints.
-A fingerprint's distances to the whole block are counted in two carry-save bits and
-an overflow bit a lane, plane after plane; a row of the block is abandoned once all
-of its lanes have overflowed. Small buckets share a block: what it finds beyond a
-bucket is a link all the same. A block gives a spanning forest of its links, so a
-dense group costs as many rows as it has members.
-
-Defined results: null and empty texts have no words and the fingerprint zero,
-which links like any other; a text of fewer words than a shingle is one shingle;
-repeated rows and ids are linked by their equal fingerprints; an empty table gives
-an empty result; other columns are carried by `deduplicate`, ignored by the rest.
+A fingerprint bit is the majority of that bit over the hashes of a text's word
+shingles (XXH64; further words of a wide fingerprint are mixed from it).
+Fingerprints link at `radius` or fewer differing bits.
+
+Which are compared: a table is a choice of bits, and fingerprints that agree in all
+of them share a bucket.
+
+* `exact_tables`: the bits are cut into radius + 2 bands, and each pair of bands is a
+  table. Fingerprints that differ in at most `radius` bits agree in two bands at
+  least, so no link is lost. It serves small radii.
+* `sampled_tables`: for a large radius over a wide fingerprint, each table has some
+  bits drawn at random; two fingerprints that agree in a share p of their bits miss
+  all tables with probability (1 - p**key_bits)**count.
+
+Only distinct fingerprints take part, each as its least document. Buckets over
+`TILE` members are dealt to tiles in which each pair of parts meets, so no group is
+held by one task.
+
+How: a block of fingerprints is stored as bit planes, a lane a fingerprint. The
+distances of a query to all lanes are counted in vertical counters: carry-save
+adders take three planes at a time. Counters start so that the (radius + 1)-th
+difference overflows, and a query's row is abandoned once all lanes have. Small
+buckets share a block: what it finds beyond a bucket is a link all the same. A block
+gives a spanning forest of its links, so a dense group costs as many rows as it has
+members; a component that fills much of a block is walked first, each member against
+what isn't reached yet.
+
+Defined results: null and empty texts have no words and the fingerprint zero, which
+links like any other; a text of fewer words than a shingle is one shingle; rows of
+one id are one document; rows without an id get the component of their fingerprint,
+null if no row with an id has it or links to it; an empty table gives an empty
+result; `deduplicate` carries all other columns.
 """
 
 from __future__ import annotations
@@ -35,10 +46,12 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, documents, partitions_of, written
 from .components import components
 
-BITS, SEED = 64, 42
+SEED = 42
 SHINGLE, RADIUS = 3, 3
+#: For similarity of 0.8 and more over five words: four words of bits, 18 % of which may differ.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, WIDE_KEY_BITS, WIDE_TABLES = 5, 4, 46, 18, 64
 TILE, BLOCK = 4096, 512
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+ALL, ZERO, ONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -56,82 +69,148 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.array([xxh(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The fingerprint: bits set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(BITS, np.int64)
-    for part in np.array_split(hashes, -(-len(hashes) // 65536)):
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+def _more(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for a further word, by a 64-bit mixer."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * word & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Words of bits set in over half of the hashes."""
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(hashes) else 0):
+        mine, counts = (_more(hashes, w) if w else hashes), np.zeros(64, np.int64)
+        for part in np.array_split(mine, -(-len(mine) // 65536)):
+            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def columns_of(words: int) -> list[str]:
+    return [f"f{w}" for w in range(words)]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """doc_id, f0, f1, ... (the fingerprint's words as signed longs)."""
+    names = columns_of(words)
+    schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names)])
 
     def run(batches):
         for batch in batches:
-            fps = np.array([majority(shingle_hashes(x.as_py(), shingle)) for x in batch.column("text")], dtype=np.uint64)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], schema=schema)
+            fps = np.array([fingerprint(shingle_hashes(x.as_py(), shingle), words) for x in batch.column("text")], np.uint64).reshape(-1, words)
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(words))], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", *names)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+def exact_tables(words: int, radius: int) -> list[list[int]]:
+    """Masks of each table, a mask a word."""
+    bands = np.linspace(0, 64 * words, radius + 3).astype(int).tolist()
+    out = []
+    for pair in combinations(list(zip(bands, bands[1:])), 2):
+        mask = sum((1 << hi) - (1 << lo) for lo, hi in pair)
+        out.append([mask >> 64 * w & (1 << 64) - 1 for w in range(words)])
+    return out
+
+
+def sampled_tables(words: int, key_bits: int, count: int, seed: int = 11) -> list[list[int]]:
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(count):
+        bits = rng.choice(64 * words, key_bits, replace=False).tolist()
+        out.append([sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(words)])
+    return out
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes (64, words): lane j of word i is the bit of fingerprint 64 i + j."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes (bits, lanes / 64) of fingerprints (n, words): lane j of word i is fingerprint 64 i + j."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
     bits = np.pad(bits, ((0, -len(fps) % 64), (0, 0)))
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
+    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
-def links(queries: np.ndarray, planes: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, masks): the queries with a link and their lanes within the radius.
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder: sum and carry."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
 
-    Two counter bits and an overflow bit count up to 3; a larger radius gets more
-    bits. Lanes beyond n overflow from the start.
-    """
-    words, depth = planes.shape[1], max(1, radius.bit_length())
-    over = np.zeros((len(queries), words), np.uint64)
+
+def links(queries: np.ndarray, planes: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, masks): the queries (m, words) with a link and their lanes within the radius; lanes beyond n have none."""
+    lanes, depth = planes.shape[1], max(1, radius.bit_length())
+    over = np.zeros((len(queries), lanes), np.uint64)
     if n % 64:
         over[:, -1] = ALL << np.uint64(n % 64)
-    counter = [np.zeros_like(over) for _ in range(depth)]
+    spare = (1 << depth) - 1 - radius
+    counter = [np.full_like(over, ALL if spare >> k & 1 else ZERO) for k in range(depth)]
     rows = np.arange(len(queries))
-    # Counters start so that they overflow on the (radius + 1)-th difference.
-    first = (1 << depth) - 1 - radius
-    for k in range(depth):
-        if first >> k & 1:
-            counter[k][:] = ALL
-    mixed = [p for p in range(BITS) if np.ptp(queries >> np.uint64(p) & np.uint64(1)) or _varies(planes[p], n) or (planes[p, 0] & np.uint64(1)) != (queries[0] >> np.uint64(p) & np.uint64(1))]
-    for step, p in enumerate(mixed):
-        query = np.where(queries[rows] >> np.uint64(p) & np.uint64(1), ALL, np.uint64(0))
-        carry = planes[p][None, :] ^ query[:, None]
-        for c in counter:
-            c ^= carry
-            carry &= ~c  # was one and is zero now
+    ones = np.unpackbits(np.ascontiguousarray(queries).view(np.uint8), axis=1, bitorder="little")
+    full = np.where(ones, ALL, ZERO)
+    # Planes in which all lanes and all queries have the same bit never differ.
+    lane_bits = np.concatenate((planes[:, :-1], planes[:, -1:] & ~over[:1, -1:], planes[:, -1:] | over[:1, -1:]), axis=1)
+    same = ((lane_bits[:, : lanes] == ZERO).all(axis=1) & ~ones.any(axis=0)) | ((np.delete(lane_bits, lanes - 1, axis=1) == ALL).all(axis=1) & ones.all(axis=0))
+    todo, seen = np.flatnonzero(~same).tolist(), 0
+
+    def up(k: int, carry: np.ndarray) -> None:
+        nonlocal over
+        for i in range(k, depth):
+            counter[i], carry = counter[i] ^ carry, counter[i] & carry
         over |= carry
-        if step % 4 == 3 and step >= radius:
+
+    while todo:
+        group, todo = todo[:3], todo[3:]
+        d = [planes[p][None, :] ^ full[rows, p][:, None] for p in group]
+        if len(d) == 3 and depth >= 2:
+            total, carry = _add(*d)
+            counter[0], low = counter[0] ^ total, counter[0] & total
+            counter[1], carry = _add(counter[1], low, carry)
+            up(2, carry)
+        else:
+            for x in d:
+                up(0, x)
+        seen += len(group)
+        if seen > radius and (seen // 3) % 3 == 0:
             alive = (over != ALL).any(axis=1)
             if not alive.all():
-                rows, over, counter = rows[alive], over[alive], [c[alive] for c in counter]
+                rows, over = rows[alive], over[alive]
+                counter = [c[alive] for c in counter]
                 if not len(rows):
                     break
     return rows, ~over
 
 
-def _varies(plane: np.ndarray, n: int) -> bool:
-    """Whether the first n lanes of a plane differ."""
-    full = plane[: n // 64]
-    rest = plane[n // 64] & ~(ALL << np.uint64(n % 64)) if n % 64 else None
-    one = bool(plane[0] & np.uint64(1))
-    want, tail = (ALL, ~(ALL << np.uint64(n % 64))) if one else (np.uint64(0), np.uint64(0))
-    return bool((full != want).any()) or (rest is not None and rest != tail)
+def _lanes(mask: np.ndarray, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[:n])
+
+
+def _walk(fps: np.ndarray, start: int, left: np.ndarray, radius: int, block: int, out: list) -> np.ndarray:
+    """Reach the component of `start`; `left` are the others not reached yet, and what isn't in the end is returned."""
+    frontier = [start]
+    while frontier and len(left):
+        now, frontier = np.array(frontier[:block]), frontier[block:]
+        rows, masks = links(fps[now], planes_of(fps[left]), len(left), radius)
+        reached = np.zeros(len(left), bool)
+        for row, mask in zip(rows.tolist(), masks):
+            near = _lanes(mask, len(left))
+            near = near[~reached[near]]
+            reached[near] = True
+            out += [(int(now[row]), int(x)) for x in left[near]]
+            frontier += left[near].tolist()
+        left = left[~reached]
+    return left
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, as index pairs."""
-    n = len(fps)
-    planes, root, out = planes_of(fps), np.arange(n), []
+    """A spanning forest of the links among distinct fingerprints (n, words), as index pairs."""
+    left, out = np.arange(len(fps)), []
+    while len(left) > 2 * block:  # components of at least a sixteenth of the rest, if the next one is such
+        before = len(left)
+        left = _walk(fps, int(left[0]), left[1:], radius, block, out)
+        if before - len(left) < before // 16:
+            break
+    n, planes, root = len(left), planes_of(fps[left]), np.arange(len(left))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -140,87 +219,97 @@ def forest(fps: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -> list[tu
         return x
 
     for at in range(0, n, block):
-        rows, masks = links(fps[at : at + block], planes, n, radius)
+        rows, masks = links(fps[left[at : at + block]], planes, n, radius)
         for row, mask in zip((rows + at).tolist(), masks):
-            near = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[:n])
-            near = near[(near > row) & (root[near] != root[row])]
-            for other in near.tolist():
+            near = _lanes(mask, n)
+            for other in near[near > row].tolist():
                 a, b = find(row), find(other)
                 if a != b:
-                    out.append((row, other))
+                    out.append((int(left[row]), int(left[other])))
                     root[max(a, b)] = min(a, b)
-            if len(near):
-                root[near] = find(row)
     return out
 
 
-def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp): a spanning forest of each block's links."""
-    spark = fps.sparkSession
-    bands = np.linspace(0, BITS, radius + 3).astype(int).tolist()
-    masks = [sum(((1 << hi) - (1 << lo)) for lo, hi in pair) for pair in combinations(list(zip(bands, bands[1:])), 2)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("table", "key")
-    keyed = fps.select("fp", keys)
-    full = written(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    # A fingerprint alone in a bucket has nothing to meet there.
-    small = full.count() * 32 <= BROADCAST_BYTES
-    met = keyed.join(F.broadcast(full) if small else full, ["table", "key"])
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    tiles = met.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = tiles.select("fp", "table", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    spread = tiles.repartition(partitions_of(spark), "table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j")
+def linked(prints: DataFrame, words: int, radius: int, tables: list[list[int]]) -> DataFrame:
+    """prints: id, f0, ... of distinct fingerprints; gives links a, b of ids, a spanning forest of each block's."""
+    spark, names = prints.sparkSession, columns_of(words)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(signed(m))) for n, m in zip(names, masks) if m)) for t, masks in enumerate(tables)]
+    keyed = prints.select("id", *names, F.explode(F.array(*keys)).alias("key"))
+    full = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")  # one alone has nothing to meet
+    small = full.count() * 24 <= BROADCAST_BYTES
+    met = keyed.join(F.broadcast(full) if small else full, "key")
+    met = met.withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # A bucket's tile is a key of its own; equal 64-bit keys would only share a block.
+    tile = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    spread = tiles.select("id", *names, tile.alias("tile")).repartition(partitions_of(spark), "tile").sortWithinPartitions("tile")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches):
-        """Whole buckets gather until a block is full; a bucket is TILE * 2 rows at most (by hash, about)."""
-        def done(parts):
-            fps = np.unique(np.concatenate(parts)).view(np.uint64) if parts else np.empty(0, np.uint64)
+        """Whole buckets gather until a block is full."""
+        def done(held):
+            rows = np.unique(np.concatenate(held), axis=0)
+            fps, ids = np.ascontiguousarray(rows[:, 1:]).view(np.uint64), rows[:, 0]
             pairs = np.array(forest(fps, radius), dtype=np.int64).reshape(-1, 2)
-            signed = fps.view(np.int64)
-            return pa.record_batch([pa.array(signed[pairs[:, 0]]), pa.array(signed[pairs[:, 1]])], schema=schema)
+            return pa.record_batch([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], schema=schema)
 
         held, size, last = [], 0, None
         for batch in batches:
-            fp = batch.column("fp").to_numpy()
-            if not len(fp):
+            if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table", "key", "i", "j")], axis=1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            if last is not None and (key[0] != last).any() and size >= BLOCK:
+            tile = batch.column("tile").to_numpy()
+            rows = np.stack([batch.column(c).to_numpy() for c in ("id", *names)], axis=1)
+            if size >= BLOCK and tile[0] != last:
                 yield done(held)
                 held, size = [], 0
             start = 0
-            for cut in [*cuts.tolist(), len(fp)]:
-                held.append(fp[start:cut])
+            for cut in [*(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]:
+                held.append(rows[start:cut])
                 size += cut - start
-                if size >= BLOCK and cut < len(fp):
+                if size >= BLOCK and cut < len(tile):
                     yield done(held)
                     held, size = [], 0
                 start = cut
-            last = key[-1]
+            last = tile[-1]
         if held:
             yield done(held)
 
     return spread.mapInArrow(compare, "a long, b long")
 
 
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints: doc_id, fp (written); adds component_id, the least doc_id that links reach."""
-    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprints")
-    found = components(linked(least.select("fp"), radius))
-    rooted = least.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    by_root = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_print = rooted.select("fp", "root").join(by_root, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp")
+def classes(prints: DataFrame, words: int = 1, radius: int = RADIUS, tables: list[list[int]] | None = None) -> DataFrame:
+    """prints: doc_id, f0, ... (written); adds component_id, the least doc_id that links reach."""
+    names = columns_of(words)
+    least = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id")), "fingerprints")
+    found = components(linked(least.filter("id IS NOT NULL"), words, radius, tables or exact_tables(words, radius)))
+    rooted = least.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
+    return prints.join(rooted, names)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of each row."""
-    return classes(written(fingerprints(docs, shingle), "prints"), radius)
+    """doc_id, f0, component_id of each row; all links, over one word of bits."""
+    return classes(written(fingerprints(docs, shingle), "prints"), 1, radius)
+
+
+def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, key_bits: int = WIDE_KEY_BITS, tables: int = WIDE_TABLES) -> DataFrame:
+    """doc_id, f0, ..., component_id of each row, over wide fingerprints and sampled tables.
+
+    Shingle sets of similarity 0.8 differ in 15 % of the bits on average, sets that
+    share nothing in half: by the tail bound, fewer than one pair in 2**80 of those
+    is within 46 of 256 bits.
+    """
+    return classes(written(fingerprints(docs, shingle, words), "prints"), words, radius, sampled_tables(words, key_bits, tables))
+
+
+def deduplicate(docs: DataFrame, **how) -> DataFrame:
+    """One document of each group of similar ones stays, that of the least id; rows that repeat its id stay with it."""
+    found = similar_documents(docs, **how).select("doc_id", "component_id")
+    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
