@@ -433,3 +433,46 @@ def q37(spark, sf):
     found = E.locate(edits(spark, sf).withColumn("replacement", F.lit("[x]")), contracts(spark, sf))
     out = E.apply(found, contracts(spark, sf))
     return out.select("doc_id", "para_id", F.size("applied").alias("applied"), F.size("conflicts").alias("conflicts"), F.md5(F.col("accepted").cast("binary")).alias("accepted_md5"))
+
+
+@query("q38_conflicts")
+def q38(spark, sf):
+    """The claim rules over all plans whose items are of a known type and complete."""
+    from .merge import resolve_conflicts
+
+    good = actions(spark, sf).filter("type <> 'shred_clause' AND (type NOT IN ('rewrite_clause', 'delete_clause') OR clause IS NOT NULL)")
+    return resolve_conflicts(good.select("doc_id", "seq", "id", "type", "severity", "clause", "find", "text")).select("doc_id", "seq", "outcome")
+
+
+@query("q39_round_trip")
+def q39(spark, sf):
+    """Each contract as a package: written, edited, written and read again; then both ways resolved."""
+    import pandas as pd
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        from copy import deepcopy
+
+        from ..operators.document import from_texts
+        from ..sources import ooxml
+
+        texts = rows.sort_values("para_id")["text"].tolist()
+        doc = ooxml.read(ooxml.write(from_texts(texts, date="2026-01-01T00:00:00Z")), date="2026-01-01T00:00:00Z")
+        edits = doc.replace_text("days", "working days", count=None) + doc.delete_matching("Note: ", count=None)
+        again = ooxml.read(ooxml.write(doc))
+        accepted, rejected = deepcopy(again), deepcopy(again)
+        accepted.accept()
+        rejected.reject()
+        want = [t.replace("days", "working days").replace("Note: ", "") for t in texts]
+        return pd.DataFrame([[key[0], edits, len(again.revisions()), accepted.texts() == want, rejected.texts() == texts]], columns=["doc_id", "edits", "revisions", "accepts", "rejects"])
+
+    return contracts(spark, sf).groupBy("doc_id").applyInPandas(run, "doc_id long, edits int, revisions int, accepts boolean, rejects boolean")
+
+
+@query("q40_aligned_versions")
+def q40(spark, sf):
+    """Each contract against a version of it: some notes dropped, days changed, a clause put in."""
+    from ..operators.compare import align
+
+    old = contracts(spark, sf).withColumnRenamed("doc_id", "pair_id")
+    new = old.filter("NOT (text LIKE 'Note%' AND para_id % 2 = 0)").withColumn("text", F.when(F.col("para_id") % 5 == 0, F.regexp_replace("text", " days", " weeks")).otherwise(F.col("text")))
+    return align(old, new).groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"))
