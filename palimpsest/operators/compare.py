@@ -170,5 +170,7 @@ def align(old: DataFrame, new: DataFrame, floor: float = S.SIMILARITY_FLOOR) ->
                     rows += [(key[0], "delete", p[i], None, same), (key[0], "insert", None, q[j], same)]
         return pd.DataFrame(rows, columns=["pair_id", "kind", "old_id", "new_id", "similarity"]).astype({"old_id": "Int32", "new_id": "Int32"})
 
-    cols = ["pair_id", F.col("para_id").cast("int").alias("para_id"), F.coalesce("text", F.lit("")).alias("text")]
-    return old.select(cols).groupBy("pair_id").cogroup(new.select(cols).groupBy("pair_id")).applyInPandas(run, ALIGNED)
+    # New names' columns are new ones, so that two versions of one table can meet.
+    cols = [F.col("pair_id").alias("p"), F.col("para_id").cast("int").alias("i"), F.coalesce("text", F.lit("")).alias("t")]
+    left, right = (x.select(cols).toDF("pair_id", "para_id", "text") for x in (old, new))
+    return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInPandas(run, ALIGNED)

@@ -59,7 +59,7 @@ class Piece:
 
     @property
     def shown(self) -> bool:
-        return not any(r.kind in REMOVED for r in self.revs)
+        return not self.revs or not any(r.kind in REMOVED for r in self.revs)
 
 
 @dataclass(eq=False)
@@ -74,7 +74,7 @@ class Paragraph:
 
     @property
     def text(self) -> str:
-        return "".join(p.text for p in self.pieces if p.shown)
+        return "".join([p.text for p in self.pieces if not p.revs or p.shown])
 
     @property
     def all_text(self) -> str:
@@ -87,7 +87,7 @@ class Paragraph:
 
     @property
     def going(self) -> bool:
-        return any(r.kind in REMOVED for r in self.mark)
+        return bool(self.mark) and any(r.kind in REMOVED for r in self.mark)
 
 
 @dataclass(eq=False)
@@ -648,16 +648,21 @@ class Document:
         """The tree's sections; paragraphs whose mark goes away don't count."""
         roots, stack = [], []
         for _, p, _, _ in self.walk(("body",)):
-            found = None if p.going else plain.parse_label(p.text)
+            text = "" if p.going else p.text
+            found = plain.parse_label(text)
             if not found:
                 continue
             label, s, e, end = found
-            c = Clause(p, label, (s, e), plain.title_of(p.text, end), any(r.kind == "ins" for r in p.mark), any(r.kind == "moveTo" for r in p.mark))
-            while stack and len(stack[-1].number) >= len(c.number):
+            c = Clause(p, label, (s, e), plain.title_of(text, end), any(r.kind == "ins" for r in p.mark), any(r.kind == "moveTo" for r in p.mark))
+            depth = label.count(".")
+            while stack and stack[-1][0] >= depth:
                 stack.pop()
-            c.parent = stack[-1] if stack else None
-            (c.parent.children if c.parent else roots).append(c)
-            stack.append(c)
+            if stack:
+                c.parent = stack[-1][1]
+                c.parent.children.append(c)
+            else:
+                roots.append(c)
+            stack.append((depth, c))
         return roots
 
     def all_clauses(self) -> list[Clause]:
