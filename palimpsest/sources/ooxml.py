@@ -192,7 +192,7 @@ def read(content: bytes, **how) -> Document:
         parts = {n: z.read(n) for n in z.namelist()}
     stories = {"body": read_blocks(ET.fromstring(parts["word/document.xml"]).find(q("body")))}
     places = {"body": "word/document.xml"}
-    for name in sorted(parts):
+    for name in sorted(parts, key=lambda n: (n.endswith("notes.xml"), n.endswith("endnotes.xml"), n)):  # headers and footers, then notes
         base = name.removeprefix("word/").removesuffix(".xml")
         if name.startswith("word/") and base.rstrip("0123456789") in ("header", "footer"):
             stories[base], places[base] = read_blocks(ET.fromstring(parts[name])), name
