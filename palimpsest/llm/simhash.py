@@ -12,7 +12,7 @@ of them share a bucket.
   least, so no link is lost. It serves small radii.
 * `sampled_tables`: for a large radius over a wide fingerprint, each table has some
   bits drawn at random; two fingerprints that agree in a share p of their bits miss
-  all tables with probability (1 - p**key_bits)**count.
+  all tables with probability (1 - p**bits)**tables, which RECALL bounds.
 
 Only distinct fingerprints take part, each as its least document. Buckets over
 `TILE` members are dealt to tiles in which each pair of parts meets, so no group is
@@ -36,6 +36,8 @@ result; `deduplicate` carries all other columns.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -49,7 +51,11 @@ from .components import components
 SEED = 42
 SHINGLE, RADIUS = 3, 3
 #: For similarity of 0.8 and more over five words: four words of bits, 18 % of which may differ.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, WIDE_KEY_BITS, WIDE_TABLES = 5, 4, 46, 18, 64
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 4, 46
+#: Share of bits in which sets of similarity 0.8 differ, and the recall that the tables give such pairs.
+FAR_SHARE, RECALL = 0.152, 0.97
+#: Members a bucket has by chance, on average.
+BUCKET = 8
 TILE, BLOCK = 4096, 512
 ALL, ZERO, ONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
 
@@ -115,7 +121,13 @@ def exact_tables(words: int, radius: int) -> list[list[int]]:
     return out
 
 
-def sampled_tables(words: int, key_bits: int, count: int, seed: int = 11) -> list[list[int]]:
+def sampled_tables(words: int, n: int, seed: int = 11) -> list[list[int]]:
+    """For n fingerprints: as many bits a table as keep chance buckets at BUCKET members, and tables for the recall.
+
+    Both follow from n alone, so the recall is the same at every size.
+    """
+    key_bits = max(12, math.ceil(math.log2(max(n, 1) / BUCKET))) if n > BUCKET else 12
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FAR_SHARE) ** key_bits))
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(count):
@@ -231,15 +243,19 @@ def forest(fps: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -> list[tu
 
 
 def linked(prints: DataFrame, words: int, radius: int, tables: list[list[int]]) -> DataFrame:
-    """prints: id, f0, ... of distinct fingerprints; gives links a, b of ids, a spanning forest of each block's."""
+    """prints: id, f0, ... of distinct fingerprints; gives links a, b of ids, a spanning forest of each block's.
+
+    One shuffle brings a fingerprint to its bucket in each table. Buckets over TILE
+    members are found beforehand by a pre-aggregated count; the rest needs no join.
+    """
     spark, names = prints.sparkSession, columns_of(words)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = [F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(signed(m))) for n, m in zip(names, masks) if m)) for t, masks in enumerate(tables)]
     keyed = prints.select("id", *names, F.explode(F.array(*keys)).alias("key"))
-    full = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")  # one alone has nothing to meet
-    small = full.count() * 24 <= BROADCAST_BYTES
-    met = keyed.join(F.broadcast(full) if small else full, "key")
-    met = met.withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE), "buckets")
+    small = large.count() * 24 <= BROADCAST_BYTES
+    met = keyed.join(F.broadcast(large) if small else large, "key", "left")
+    met = met.withColumn("parts", F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A bucket's tile is a key of its own; equal 64-bit keys would only share a block.
     tile = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
@@ -247,59 +263,64 @@ def linked(prints: DataFrame, words: int, radius: int, tables: list[list[int]])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches):
-        """Whole buckets gather until a block is full."""
+        """Whole buckets of two and more gather until a block is full; one alone has nothing to meet."""
         def done(held):
             rows = np.unique(np.concatenate(held), axis=0)
             fps, ids = np.ascontiguousarray(rows[:, 1:]).view(np.uint64), rows[:, 0]
             pairs = np.array(forest(fps, radius), dtype=np.int64).reshape(-1, 2)
             return pa.record_batch([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], schema=schema)
 
-        held, size, last = [], 0, None
-        for batch in batches:
-            if not batch.num_rows:
+        held, size, rest = [], 0, np.empty((0, words + 2), np.int64)
+        for batch in _and_end(batches):
+            if batch is not None:
+                rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy() for c in ("id", *names, "tile")], axis=1)))
+            cuts = np.flatnonzero(rest[1:, -1] != rest[:-1, -1]) + 1
+            ends = cuts if batch is not None else np.append(cuts, len(rest))  # the last bucket may go on
+            if not len(ends):
                 continue
-            tile = batch.column("tile").to_numpy()
-            rows = np.stack([batch.column(c).to_numpy() for c in ("id", *names)], axis=1)
-            if size >= BLOCK and tile[0] != last:
-                yield done(held)
-                held, size = [], 0
-            start = 0
-            for cut in [*(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]:
-                held.append(rows[start:cut])
-                size += cut - start
-                if size >= BLOCK and cut < len(tile):
+            starts = np.concatenate(([0], ends[:-1]))
+            several = np.flatnonzero(ends - starts > 1)
+            for k in several.tolist():
+                held.append(rest[starts[k] : ends[k], :-1])
+                size += len(held[-1])
+                if size >= BLOCK:
                     yield done(held)
                     held, size = [], 0
-                start = cut
-            last = tile[-1]
+            rest = rest[ends[-1] :]
         if held:
             yield done(held)
 
     return spread.mapInArrow(compare, "a long, b long")
 
 
-def classes(prints: DataFrame, words: int = 1, radius: int = RADIUS, tables: list[list[int]] | None = None) -> DataFrame:
-    """prints: doc_id, f0, ... (written); adds component_id, the least doc_id that links reach."""
+def _and_end(batches):
+    """The batches that have rows, and then None."""
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
+def classes(prints: DataFrame, words: int, radius: int, tables: Callable[[int], list[list[int]]]) -> DataFrame:
+    """prints: doc_id, f0, ... (written); adds component_id, the least doc_id that links reach. tables: from the number of fingerprints."""
     names = columns_of(words)
     least = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id")), "fingerprints")
-    found = components(linked(least.filter("id IS NOT NULL"), words, radius, tables or exact_tables(words, radius)))
+    found = components(linked(least.filter("id IS NOT NULL"), words, radius, tables(least.count())))
     rooted = least.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return prints.join(rooted, names)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, f0, component_id of each row; all links, over one word of bits."""
-    return classes(written(fingerprints(docs, shingle), "prints"), 1, radius)
+    return classes(written(fingerprints(docs, shingle), "prints"), 1, radius, lambda n: exact_tables(1, radius))
 
 
-def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, key_bits: int = WIDE_KEY_BITS, tables: int = WIDE_TABLES) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
     """doc_id, f0, ..., component_id of each row, over wide fingerprints and sampled tables.
 
     Shingle sets of similarity 0.8 differ in 15 % of the bits on average, sets that
     share nothing in half: by the tail bound, fewer than one pair in 2**80 of those
     is within 46 of 256 bits.
     """
-    return classes(written(fingerprints(docs, shingle, words), "prints"), words, radius, sampled_tables(words, key_bits, tables))
+    return classes(written(fingerprints(docs, shingle, words), "prints"), words, radius, lambda n: sampled_tables(words, n))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
