@@ -297,9 +297,11 @@ _scorers: dict[str, Scorer] = {}
 
 
 def scorer(model: Model) -> Scorer:
+    """This worker's scorer; training has used it before the model had its last numbers."""
     if model.uri not in _scorers:
         _scorers.clear()
         _scorers[model.uri] = Scorer(model)
+    _scorers[model.uri].m = model
     return _scorers[model.uri]
 
 
