@@ -11,9 +11,10 @@ own run; what a run has is dropped. When a level has `fanout` runs, they are
 compacted into one sorted run of the next level, so that a batch meets a number of
 runs that grows with the logarithm of the number of batches.
 
-Defined results: a null or empty text is one empty line; each row is one document,
-also where rows repeat an id (all rows of the largest id keep the line); an empty
-table gives an empty result; other columns are carried, clashing ones replaced.
+Defined results: a null or empty text is one empty line; rows that repeat an id are
+one document (all rows of the largest id keep the line, all others lose it); rows
+without an id hold no line and lose none; an empty table gives an empty result; other
+columns are carried, clashing ones replaced.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         before = lambda i: s[F.greatest(i - 1, F.lit(0))]
         return F.transform(s, lambda x, i: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"), ((i == 0) | (before(i)["h1"] != x["h1"]) | (before(i)["h2"] != x["h2"])).alias("first")))
 
-    return docs.select("doc_id", F.explode(let(F.sort_array(hashed), marked)).alias("k")).select("doc_id", "k.*")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(let(F.sort_array(hashed), marked)).alias("k")).select("doc_id", "k.*")
 
 
 @dataclass
@@ -109,13 +110,18 @@ def _with_hash(lines: DataFrame, keys: DataFrame, width: int = 48) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id and pos of the lines to drop."""
     lines = written(keyed_lines(docs, min_chars), "lines")
-    frequent = written(lines.filter("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2"), "frequent")
+    enough = F.col("n") >= min_docs
+    # Rows that hold a line are at least as many as documents; these are counted exactly for what is left.
+    candidates = written(lines.filter("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("h1", "h2"), "candidates")
+    held = written(_with_hash(lines, candidates), "held")
+    drop_written(lines)
+    frequent = written(held.filter("first").select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("h1", "h2"), "frequent")
     cuts = docs.agg(F.percentile_approx("doc_id", [1 - b / batches for b in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     batch = F.lit(0)
     for cut in cuts or ():
         batch = batch + (F.col("doc_id") <= F.lit(cut)).cast("int")
-    repeated = written(_with_hash(lines, frequent).select("doc_id", "pos", "h1", "h2", batch.alias("batch")), "repeated", "batch")
-    drop_written(lines)
+    repeated = written(_with_hash(held, frequent).select("doc_id", "pos", "h1", "h2", batch.alias("batch")), "repeated", "batch")
+    drop_written(held)
     state = LineRuns(fanout)
     for b in range(batches):
         state.add(repeated.filter(F.col("batch") == b).select("doc_id", "h1", "h2"))
