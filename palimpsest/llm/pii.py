@@ -46,8 +46,10 @@ PATTERNS = {
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\w)",
     "ip": r"(?<![\w.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?!\w|\.\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
+    # Plain, or in fours (or as 4-6-5) with one separator throughout, so that neighbours aren't taken for one.
+    "card": r"(?<![\w+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,4}|\d{4}-\d{4}-\d{4}-\d{1,4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-])",
+    # Of fixed length where the plan is known; else groups up to what can't belong to it.
+    "phone": r"(?<![\w+-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ -]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-]|\.\d)",
 }
 KINDS = tuple(PATTERNS)
 #: In this order: a place goes to the first kind whose form fits there.

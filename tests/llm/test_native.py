@@ -105,6 +105,7 @@ def private(spark):
         "mail anna.lee-7@mail3.example.com now", "card 4539578763621486, and 4539-5787-6362-1486.", "no card 4539578763621487",
         "ip 10.0.0.255 here", "call +1 (743) 555-3824 or 743-555-3824", "ssn 123-45-6789 not 000-12-1234 or 123-00-1234", "on 2024-02-29, 31/12/1999, 12/31/1999 and 1.2.2003, not 2024-02-30",
         "iban DE89370400440532013000 not DE89370400440532013001", 'token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f".', "v1.2.3 costs 100 of 2024 items 12345", None, "", "card 4539578763621486 again",
+        "+1 (826) 555-4081 190.137.223.204", "4539578763621486 4539578763621486", "call +44 20 7946 0958.",
     ]
     rows = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
     return texts, rows
@@ -124,6 +125,9 @@ def test_pseudonyms(private):
     assert "2024-02-30" in t[6] and "2024-02-29" not in t[6] and rows[6]["n_date"] == 4
     iban = t[7].split()[1]
     assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and "not DE89370400440532013001" in t[7]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+", t[13]) and "555-4081" not in t[13] and "190.137.223.204" not in t[13]
+    assert t[14] == f"{card} {card}" and rows[14]["n_card"] == 2
+    assert re.fullmatch(r"call \+44 \d\d \d{4} \d{4}\.", t[15]) and t[15] != texts[15]
     secret = re.search(r'"(.*)"', t[8])[1]
     assert secret == plain_permuted("9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "secret", "k", pii.HEX_LOWER)
 
