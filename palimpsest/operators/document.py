@@ -162,6 +162,7 @@ class Document:
         self.stories, self.author, self.initials = stories, author, initials or plain.initials(author)
         self.date, self.scope, self.package = utc_stamp(date), tuple(scope), package
         self.comments: list[dict] = []
+        self.styles: dict[str, str] = {}  # paragraph styles: id to name
         self.track = True
         self.next_id = 1 + max((int(r.id) for r in self._revs() if r.id.isdigit()), default=0)
         self.moves = 0
@@ -512,6 +513,20 @@ class Document:
             p.old_props, p.prop_rev = dict(p.props), self._rev("pPrChange")
         p.props = {**p.props, **props}
 
+    def style_names(self) -> list[str]:
+        return sorted(self.styles.values())
+
+    def style_id(self, name: str) -> str:
+        """A style by its id or name, without regard to case, blanks and hyphens."""
+        key = lambda x: x.replace(" ", "").replace("-", "").lower()
+        for i, n in self.styles.items():
+            if key(name) in (key(i), key(n)):
+                return i
+        raise EditError(f"there is no style {name!r}; one of {', '.join(self.style_names())}")
+
+    def apply_style(self, p: Paragraph, name: str) -> None:
+        self.format_paragraph(p, style=self.style_id(name))
+
     # -- comments -----------------------------------------------------------------
 
     def comment(self, p: Paragraph, text: str, start: int | None = None, end: int | None = None, author: str | None = None, initials: str | None = None) -> dict:

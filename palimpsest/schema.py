@@ -108,3 +108,29 @@ ACTION = T.StructType([
     *(T.StructField(n, T.IntegerType()) for n in ("table", "row", "col")),
     *(T.StructField(n, T.DoubleType()) for n in ("space_after", "space_before")),
 ])
+
+
+def action_json_schema(nullable: str = "inline") -> dict:
+    """JSON Schema of a plan for engines: all fields required, those that may be missing nullable.
+
+    nullable: "inline" puts null among a field's types, "anyOf" beside the field.
+    """
+    if nullable not in ("inline", "anyOf"):
+        raise ValueError(f"nullable must be 'inline' or 'anyOf', not {nullable!r}")
+    kinds = {"string": "string", "boolean": "boolean", "integer": "integer", "double": "number", "array": "array"}
+    choices = {"type": sorted(ACTIONS), "severity": list(SEVERITIES), "position": ["before", "after", "start", "end", "first", "last"], "alignment": ["LEFT", "CENTER", "RIGHT", "JUSTIFY"]}
+    given = ("id", "type", "rationale", "severity")
+    fields: dict = {}
+    for f in ACTION:
+        if f.name == "note":
+            continue
+        kind = kinds[f.dataType.typeName()]
+        one: dict = {"type": kind} | ({"items": {"type": "string"}} if kind == "array" else {}) | ({"enum": choices[f.name]} if f.name in choices else {})
+        if f.name not in given:
+            if nullable == "anyOf":
+                one = {"anyOf": [one, {"type": "null"}]}
+            else:
+                one |= {"type": [kind, "null"]} | ({"enum": [*one["enum"], None]} if "enum" in one else {})
+        fields[f.name] = one
+    item = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+    return {"type": "object", "properties": {"summary": {"type": "string"}, "action_items": {"type": "array", "items": item}}, "required": ["summary", "action_items"], "additionalProperties": False}

@@ -202,6 +202,11 @@ def read(content: bytes, **how) -> Document:
                     key = f"{base}:{_value(note, 'id')}"
                     stories[key], places[key] = read_blocks(note), name
     doc = Document(stories, package=(parts, places), **how)
+    if "word/styles.xml" in parts:
+        for el in ET.fromstring(parts["word/styles.xml"]).findall(q("style")):
+            name = el.find(q("name"))
+            if _value(el, "type") == "paragraph" and _value(el, "styleId"):
+                doc.styles[_value(el, "styleId")] = (_value(name) if name is not None else None) or _value(el, "styleId")
     if "word/comments.xml" in parts:
         for c in ET.fromstring(parts["word/comments.xml"]):
             doc.comments.append({"id": int(_value(c, "id") or 0), "paragraph": None, "start": None, "end": None, "author": _value(c, "author"), "initials": _value(c, "initials"), "date": _value(c, "date"), "text": "\n".join(p.text for p in read_blocks(c))})

@@ -203,3 +203,14 @@ def test_headers_and_notes_are_stories():
     assert [p.text for part, p, _, _ in again.walk() if part != "body"] == ["Final of Section 2.2", "The note."]
     narrow = ooxml.read(out.getvalue(), scope=("body",))
     assert narrow.replace_text("Draft", "Final") == 0
+
+
+def test_styles_by_any_name():
+    doc = from_texts(AGREEMENT, date=STAMP)
+    doc.styles = {"Heading1": "heading 1", "BodyText": "Body Text"}
+    doc.apply_style(doc.paragraphs()[0], "Heading-1")
+    assert doc.paragraphs()[0].props["style"] == "Heading1" and doc.style_names() == ["Body Text", "heading 1"]
+    doc.reject()
+    assert "style" not in doc.paragraphs()[0].props
+    with pytest.raises(EditError):
+        doc.apply_style(doc.paragraphs()[0], "Fancy")

@@ -127,3 +127,24 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == 5
     assert revision_log.activity(log).collect()[0]["n"] == 10
     assert revision_log.sessions(log).collect()[0]["n"] == 10
+
+
+def test_html_shows_changes():
+    from palimpsest.plans.render import to_html
+
+    doc = from_texts(["A <b> text.", "", [["x", "y"]], "Gone."], date=STAMP)
+    doc.replace_text("text", "word")
+    doc.delete_paragraph(doc.paragraphs()[-1])
+    doc.comment(doc.paragraphs()[0], 'Say "why"')
+    html = to_html(doc)
+    assert '<span class="del" title="Editor, 2026-01-01T00:00:00Z">text</span>' in html and "A &lt;b&gt; " in html
+    assert html.count("<p") == 4 and 'class="changed mark-del"' in html and "&quot;why&quot;" in html and "<td><p>x</p></td>" in html
+
+
+def test_engine_schema():
+    from palimpsest.schema import action_json_schema
+
+    inline = action_json_schema()["properties"]["action_items"]["items"]
+    assert len(inline["properties"]) == 33 and inline["required"] == list(inline["properties"])
+    assert inline["properties"]["clause"]["type"] == ["string", "null"] and inline["properties"]["id"]["type"] == "string"
+    assert action_json_schema("anyOf")["properties"]["action_items"]["items"]["properties"]["order"]["anyOf"][1] == {"type": "null"}
