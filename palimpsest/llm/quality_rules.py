@@ -131,8 +131,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERDICT_SQL = r"""
 w AS (SELECT doc_id, source, coalesce(text, '') AS body,
         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM {docs}),
-g AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w WHERE len(words) >= 6),
-c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + 4], ' ')) AS n FROM g),
+g AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM w WHERE len(words) >= 6),
+f AS (SELECT doc_id, i, CASE WHEN lead(w, 4) OVER o IS NOT NULL THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS gram FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM f WHERE gram IS NOT NULL),
 p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM c WHERE n >= 2),
 r AS (SELECT doc_id, sum(least(5, coalesce(j - i, 5)))::BIGINT AS n_repeat_words FROM p GROUP BY doc_id),
 l AS (SELECT doc_id, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
