@@ -70,11 +70,16 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Add a batch's lines (doc_id, h1, h2) that no run has yet, as the batch's own run.
 
-        They are aggregated first, so that a line that many documents hold is one
-        row in the joins.
+        They are aggregated and written first, so that a line that many documents hold
+        is one row in the joins; left in one plan, the optimizer would join before it
+        aggregates.
         """
-        own = self.unseen(lines.groupBy("h1", "h2").agg(F.max("doc_id").alias("last_doc")))
-        self._put(0, written(own.sortWithinPartitions("h1", "h2"), "run"))
+        batch = written(lines.groupBy("h1", "h2").agg(F.max("doc_id").alias("last_doc")).sortWithinPartitions("h1", "h2"), "batch")
+        if not self.runs():
+            self._put(0, batch)
+            return
+        self._put(0, written(self.unseen(batch).sortWithinPartitions("h1", "h2"), "run"))
+        drop_written(batch)
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
