@@ -56,14 +56,14 @@ def gaps(tree_: DataFrame) -> DataFrame:
 def renumber(tree_: DataFrame) -> DataFrame:
     """Adds new_label: the places of a clause and its ancestors, from the top.
 
-    Ancestors' places are joined level by level, at most LEVELS times and on
-    (doc_id, parent_id); it ends with the deepest level there is.
+    Ancestors' places are joined level by level, on (doc_id, parent_id), as often as
+    the deepest label has components above its own, and at most LEVELS times. How deep
+    that is takes one aggregation, which needs no parents.
     """
+    deepest = tree_.agg(F.max("level")).first()[0] or 1
     placed = siblings(tree_).withColumn("path", F.array("place")).withColumn("up", F.col("parent_id"))
     above = placed.select("doc_id", F.col("para_id").alias("up"), F.col("place").alias("up_place"), F.col("parent_id").alias("next"))
-    for _ in range(LEVELS - 1):
-        if not placed.filter("up IS NOT NULL").head(1):
-            break
+    for _ in range(min(deepest, LEVELS) - 1):
         joined = placed.join(above, ["doc_id", "up"], "left")
         placed = joined.withColumn("path", F.when(F.col("up_place").isNull(), F.col("path")).otherwise(F.concat(F.array("up_place"), "path"))).withColumn("up", F.col("next")).drop("up_place", "next")
     return placed.withColumn("new_label", F.array_join(F.transform("path", lambda x: x.cast("string")), ".")).drop("path", "up")
