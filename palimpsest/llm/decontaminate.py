@@ -1,18 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of anything but ASCII white space, punctuation and
 control characters. Test items come in blocks of at most `BLOCK_BYTES` of text, so
 what is broadcast has a bound however large the benchmark is; each block meets all
 documents.
 
-1. An Aho-Corasick automaton of a block's n-grams counts, over all documents, how
-   many hold each.
-2. Of every `WINDOW` neighbouring n-grams of an item the rarest is a seed. So any
-   `SEED_WORDS + WINDOW - 1` words of an item in a row that a document holds have a
-   seed, and common phrases are only seeds where there is nothing rarer.
-3. Seeds are looked for in all documents. Where they hit, the item is aligned with
-   the words around (linear gaps), and the best local score, as a share of the
-   item's perfect score, is the passage's score.
+1. Every n-gram of an item is a seed, so any `SEED_WORDS` words of it in a row that a
+   document holds are a hit. (To keep but the rarest of neighbours loses edited
+   copies: an n-gram that an edit broke, or that only another document holds, is the
+   rarer one.) An Aho-Corasick automaton of a block's seeds finds them.
+2. What the words around a hit could score at most follows from how many of them are
+   the item's; where that is too little, as with common phrases, it ends here.
+3. Elsewhere the item is aligned with the words around (linear gaps), and the best
+   local score, as a share of the item's perfect score, is the passage's score.
 
 Defined results: null and empty texts and items of no words match nothing; an item
 shorter than a seed is its own seed; repeated rows give a row each; overlapping
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, documents, written
 
-SEED_WORDS, WINDOW = 4, 3
+SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's perfect score from which a document is contaminated.
 THRESHOLD = 0.5
@@ -59,14 +59,13 @@ def grams_of(words: list[str], n: int = SEED_WORDS) -> list[str]:
     return [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
-def seeds_of(grams: list[str], frequency: dict[str, int], window: int = WINDOW) -> dict[str, list[int]]:
-    """Seeds and their places: the rarest n-gram of each window, the first of equals."""
-    picked: dict[str, list[int]] = {}
-    for start in range(max(1, len(grams) - window + 1)):
-        at = min(range(start, min(start + window, len(grams))), key=lambda i: (frequency.get(grams[i], 0), i))
-        if at not in picked.setdefault(grams[at], []):
-            picked[grams[at]].append(at)
-    return picked
+def seeds_of(items: list[tuple[int, list[str]]]) -> dict[str, list[tuple[int, int]]]:
+    """The n-grams of all items: which items hold them, and where."""
+    seeds: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, words) in enumerate(items):
+        for place, gram in enumerate(grams_of(words)):
+            seeds.setdefault(gram, []).append((k, place))
+    return seeds
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -98,11 +97,13 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 class Matcher:
     """A block's items with their seeds; finds passages in texts."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], seeds: dict[str, list[tuple[int, int]]]) -> None:
+    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
+        seeds = seeds_of(items)
         self.items, self.places = items, list(seeds.values())
-        self.automaton = automaton(list(seeds)) if seeds else None
+        self.automaton = automaton(list(seeds))
         self.ids = [{w: i for i, w in enumerate(dict.fromkeys(words))} for _, words in items]
         self.coded = [np.array([ids[w] for w in words]) for ids, (_, words) in zip(self.ids, items)]
+        self.held = [np.bincount(c) for c in self.coded]
 
     def passages(self, text: str | None, threshold: float):
         """item's id, score, first word and number of words of passages at or over the threshold, one an item."""
@@ -127,10 +128,15 @@ class Matcher:
                 if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > m + slack:
                     lo, hi = max(0, diagonals[start] - slack), diagonals[i - 1] + m + slack
                     ids = self.ids[item]
-                    score, a, b = align(self.coded[item], np.array([ids.get(w, -1) for w in words[lo:hi]]))
+                    start = i
+                    around = np.array([ids.get(w, -1) for w in words[lo:hi]])
+                    # No alignment matches more words than item and place have in common.
+                    common = int(np.minimum(np.bincount(around[around >= 0], minlength=len(ids)), self.held[item]).sum())
+                    if common < threshold * m or common * MATCH <= best[0]:
+                        continue
+                    score, a, b = align(self.coded[item], around)
                     if score > best[0]:
                         best = (score, lo + a, b - a)
-                    start = i
             if best[0] >= threshold * MATCH * m:
                 yield self.items[item][0], best[0] / (MATCH * m), best[1], best[2]
 
@@ -157,40 +163,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def _block(docs: DataFrame, items: list[tuple[int, list[str]]], threshold: float) -> DataFrame:
-    context = docs.sparkSession.sparkContext
-    grams = list(dict.fromkeys(g for _, words in items for g in grams_of(words)))
-    all_grams = context.broadcast(grams)
-
-    def count(batches):
-        found = np.zeros(len(all_grams.value), np.int64)
-        a = automaton(all_grams.value)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    held = {i for _, i in a.iter(f" {' '.join(normal(text))} ")}
-                    if held:
-                        found[list(held)] += 1
-        at = np.flatnonzero(found)
-        yield pa.record_batch([pa.array(at), pa.array(found[at])], names=["gram", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()  # a row an n-gram of the block at most
-    frequency = {grams[i]: n for i, n in counts}
-    seeds: dict[str, list[tuple[int, int]]] = {}
-    for k, (_, words) in enumerate(items):
-        for gram, places in seeds_of(grams_of(words), frequency).items():
-            seeds.setdefault(gram, []).extend((k, p) for p in places)
-    seeds = {g: places for g, places in seeds.items() if frequency.get(g)}  # what no document has needn't be looked for
-    shared = context.broadcast((items, seeds))
+    shared = docs.sparkSession.sparkContext.broadcast(items)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())])
 
     def find(batches):
-        matcher = Matcher(*shared.value)
+        matcher = Matcher(shared.value)
         for batch in batches:
             rows = []
-            if matcher.automaton:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    if text:
-                        rows += [(doc_id, *p) for p in matcher.passages(text, threshold)]
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if text:
+                    rows += [(doc_id, *p) for p in matcher.passages(text, threshold)]
             if rows:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -165,6 +165,22 @@ def test_passages_are_found_and_clean_texts_left(spark, docs, empty, clashing):
     assert decontaminate.clean(clashing, benchmark).columns == clashing.columns
 
 
+@pytest.mark.parametrize("every", [5, 6])
+def test_copies_with_every_fifth_or_sixth_word_changed(spark, every):
+    rng = random.Random(9)
+    make = lambda n: ["".join(rng.choice("klmnopqr") for _ in range(5)) for _ in range(n)]
+    items = {k: make(40) for k in range(20)}
+    edited = lambda k: [w if (i + k) % every else "changed" for i, w in enumerate(items[k])]
+    texts = spark.createDataFrame([(k, " ".join(make(30) + edited(k) + make(30))) for k in items], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r[0], r[1]): r[2] for r in decontaminate.contaminated(texts, benchmark).collect()}
+    assert set(got) == {(k, k) for k in items} and all(0.65 < score < 0.85 for score in got.values())
+    # The n-grams that an edit broke are then held by another document.
+    whole = spark.createDataFrame([(1000 + k, " ".join(w)) for k, w in items.items()], "doc_id long, text string")
+    both = decontaminate.contaminated(texts.unionByName(whole), benchmark).collect()
+    assert {(r[0], r[1]) for r in both} == {(k, k) for k in items} | {(1000 + k, k) for k in items}
+
+
 # -- language ---------------------------------------------------------------------------
 
 
