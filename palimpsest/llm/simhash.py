@@ -1,18 +1,13 @@
-"""SimHash near-duplicates by bit-sliced comparison.
+"""Near-duplicates: SimHash by bit-sliced comparison, and shingle sets by exact similarity.
 
 A fingerprint bit is the majority of that bit over the hashes of a text's word
 shingles (XXH64; further words of a wide fingerprint are mixed from it).
 Fingerprints link at `radius` or fewer differing bits.
 
 Which are compared: a table is a choice of bits, and fingerprints that agree in all
-of them share a bucket.
-
-* `exact_tables`: the bits are cut into radius + 2 bands, and each pair of bands is a
-  table. Fingerprints that differ in at most `radius` bits agree in two bands at
-  least, so no link is lost. It serves small radii.
-* `sampled_tables`: for a large radius over a wide fingerprint, each table has some
-  bits drawn at random; two fingerprints that agree in a share p of their bits miss
-  all tables with probability (1 - p**bits)**tables, which RECALL bounds.
+of them share a bucket. The bits are cut into radius + 2 bands, and each pair of bands
+is a table (`exact_tables`). Fingerprints that differ in at most `radius` bits agree in
+two bands at least, so no link is lost.
 
 Only distinct fingerprints take part, each as its least document. Buckets over
 `TILE` members are dealt to tiles in which each pair of parts meets, so no group is
@@ -27,8 +22,17 @@ gives a spanning forest of its links, so a dense group costs as many rows as it
 members; a component that fills much of a block is walked first, each member against
 what isn't reached yet.
 
+Similar documents (`similar_documents`) are those whose sets of shingles have an exact
+Jaccard similarity of `SIMILAR` or more. A fingerprint's distance only estimates that,
+so candidates come from least hashes instead: two sets agree in one with the
+probability of their similarity s, whatever their size, in a band of `ROWS` with
+s**ROWS, and miss all `BANDS` with (1 - s**ROWS)**BANDS: 1.2e-6 at 0.8, less above.
+Each candidate link is then verified on both whole sets. First every member of a bucket
+meets the bucket's least; members that this leaves in different components meet all
+others of the bucket, so a dense group costs about its size and no pair goes unseen.
+
 Defined results: null and empty texts have no words and the fingerprint zero, which
-links like any other; a text of fewer words than a shingle is one shingle; rows of
+links like any other, and equal (empty) sets; a text of fewer words than a shingle is one shingle; rows of
 one id are one document; rows without an id get the component of their fingerprint,
 null if no row with an id has it or links to it; an empty table gives an empty
 result; `deduplicate` carries all other columns.
@@ -50,14 +54,12 @@ from .components import components
 
 SEED = 42
 SHINGLE, RADIUS = 3, 3
-#: For similarity of 0.8 and more over five words: four words of bits, 18 % of which may differ.
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 4, 46
-#: Share of bits in which sets of similarity 0.8 differ, and the recall that the tables give such pairs.
-FAR_SHARE, RECALL = 0.152, 0.97
-#: Members a bucket has by chance, on average.
-BUCKET = 8
+#: Shingle of similar documents, and their least similarity as a fraction.
+WIDE_SHINGLE, SIMILAR = 5, (4, 5)
+BANDS, ROWS = 45, 6
 TILE, BLOCK = 4096, 512
 ALL, ZERO, ONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
+MASKS, FACTORS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | ONE
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -121,21 +123,6 @@ def exact_tables(words: int, radius: int) -> list[list[int]]:
     return out
 
 
-def sampled_tables(words: int, n: int, seed: int = 11) -> list[list[int]]:
-    """For n fingerprints: as many bits a table as keep chance buckets at BUCKET members, and tables for the recall.
-
-    Both follow from n alone, so the recall is the same at every size.
-    """
-    key_bits = max(12, math.ceil(math.log2(max(n, 1) / BUCKET))) if n > BUCKET else 12
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - FAR_SHARE) ** key_bits))
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(count):
-        bits = rng.choice(64 * words, key_bits, replace=False).tolist()
-        out.append([sum(1 << b % 64 for b in bits if b // 64 == w) for w in range(words)])
-    return out
-
-
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Bit planes (bits, lanes / 64) of fingerprints (n, words): lane j of word i is fingerprint 64 i + j."""
     bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
@@ -299,13 +286,17 @@ def _and_end(batches):
     yield None
 
 
+def _rooted(prints: DataFrame, least: DataFrame, names: list[str], edges: DataFrame) -> DataFrame:
+    """prints with component_id; least: a row for each distinct print with its least doc_id, edges: of these."""
+    rooted = least.join(components(edges), F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
+    return prints.join(rooted, names)
+
+
 def classes(prints: DataFrame, words: int, radius: int, tables: Callable[[int], list[list[int]]]) -> DataFrame:
     """prints: doc_id, f0, ... (written); adds component_id, the least doc_id that links reach. tables: from the number of fingerprints."""
     names = columns_of(words)
     least = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id")), "fingerprints")
-    found = components(linked(least.filter("id IS NOT NULL"), words, radius, tables(least.count())))
-    rooted = least.join(found, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
-    return prints.join(rooted, names)
+    return _rooted(prints, least, names, linked(least.filter("id IS NOT NULL"), words, radius, tables(least.count())))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -313,14 +304,105 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return classes(written(fingerprints(docs, shingle), "prints"), 1, radius, lambda n: exact_tables(1, radius))
 
 
-def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id, f0, ..., component_id of each row, over wide fingerprints and sampled tables.
+# -- similar shingle sets ---------------------------------------------------------------
 
-    Shingle sets of similarity 0.8 differ in 15 % of the bits on average, sets that
-    share nothing in half: by the tail bound, fewer than one pair in 2**80 of those
-    is within 46 of 256 bits.
-    """
-    return classes(written(fingerprints(docs, shingle, words), "prints"), words, radius, lambda n: sampled_tables(words, n))
+
+def set_of(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, int, int]:
+    """A text's set of shingles as sorted hashes, and two words that stand for the set."""
+    from xxhash import xxh3_128_digest
+
+    shingles = np.unique(shingle_hashes(text, shingle))
+    a, b = np.frombuffer(xxh3_128_digest(shingles.tobytes()), np.int64).tolist() if len(shingles) else (0, 0)
+    return shingles, a, b
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes; none for an empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, ALL)
+    for part in np.array_split(shingles, -(-len(shingles) // 1024)):
+        least = np.minimum(least, ((part ^ MASKS) * FACTORS).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _more(keys ^ row, 1)
+    return keys.view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """doc_id, f0, f1 (the set's words), keys (of its bands)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            sets = [set_of(x.as_py(), shingle) for x in batch.column("text")]
+            columns = [[a for _, a, _ in sets], [b for _, _, b in sets], [band_keys(s) for s, _, _ in sets]]
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f0 long, f1 long, keys array<long>")
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, f0, shingles (sorted hashes as bytes) of the documents in ids."""
+    schema = pa.schema([("id", pa.int64()), ("f0", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            sets = [set_of(x.as_py(), shingle) for x in batch.column("text")]
+            columns = [batch.column("id"), pa.array([a for _, a, _ in sets], pa.int64()), pa.array([s.tobytes() for s, _, _ in sets], pa.binary())]
+            yield pa.record_batch(columns, schema=schema)
+
+    small = ids.count() * 16 <= BROADCAST_BYTES
+    mine = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    return mine.mapInArrow(run, "id long, f0 long, shingles binary").dropDuplicates(["id", "f0"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs: a, b (f0 of sets); those of similarity SIMILAR or more, with the documents id_a, id_b."""
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "id_a", "id_b")])
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * SIMILAR[1] >= max(len(x), len(y)) * SIMILAR[0] else 0
+                keep.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
+            yield pa.record_batch([batch.column(f.name).filter(pa.array(keep, pa.bool_())) for f in schema], schema=schema)
+
+    of = lambda c: sets.select(F.col("f0").alias(c), F.col("id").alias(f"id_{c}"), F.col("shingles").alias(f"set_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long, id_a long, id_b long")
+
+
+def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
+    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, least: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """least: id, f0, keys of distinct sets; gives links a, b of ids, whose components are those of all links."""
+    keyed = least.select("id", "f0", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("f0").alias("first")).filter("n > 1").select("key", "first")
+    members = written(keyed.join(buckets, "key"), "members")
+    sets = written(_whole_sets(docs, written(members.select("id").distinct(), "candidates"), shingle), "sets")
+    stars = written(_pairs(members.filter("f0 <> first"), "f0", "first"), "stars")
+    links = written(_verified(stars, sets), "links")
+    # In a bucket of several components, whoever is outside the largest meets all that are in another one.
+    found = components(links.select("a", "b"))
+    placed = written(members.join(found, F.col("f0") == F.col("node"), "left").select("key", "f0", F.coalesce("root", "f0").alias("root")), "placed")
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    mixed = sizes.agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1").select("key", "main")
+    mixed = written(placed.join(mixed, "key"), "mixed")
+    outside = mixed.filter("root <> main").select("key", F.col("f0").alias("other"), F.col("root").alias("other_root"))
+    met = mixed.join(outside, "key").filter("root <> other_root AND (root = main OR f0 < other)")
+    rest = _verified(written(_pairs(met, "f0", "other").join(stars, ["a", "b"], "left_anti"), "rest"), sets)
+    return links.unionByName(rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """doc_id, f0, f1, component_id of each row: components of the documents whose shingle sets have similarity SIMILAR or more."""
+    prints, names = written(sketches(docs, shingle), "prints"), ["f0", "f1"]
+    least = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "fingerprints")
+    return _rooted(prints.drop("keys"), least.drop("keys"), names, similar_links(docs, least.filter("id IS NOT NULL"), shingle))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:

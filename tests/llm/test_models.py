@@ -112,6 +112,27 @@ def test_similar_documents(spark):
     assert all(found[3 * g + 2] == 3 * g + 2 for g in range(60))
 
 
+def test_similar_documents_are_exactly_those_of_the_threshold(spark):
+    rng = random.Random(4)
+    make = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    shingles = lambda text: {tuple(text.split()[i : i + 5]) for i in range(max(1, len(text.split()) - 4))}
+    rows, near = [], []
+    for n, more in [(10, 1), (16, 3), (44, 10), (8, 1), (84, 20), (44, 11), (84, 21), (10, 2), (104, 34)] * 20:  # words, and words appended
+        w = make(n)
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + make(more)))]
+        a, b = (shingles(t) for _, t in rows[-2:])
+        if 5 * len(a & b) >= 4 * len(a | b):
+            near.append((rows[-2][0], rows[-1][0]))
+    base, at = make(120), len(rows)  # a large group of near copies, linked to each other more or less
+    for i in range(150):
+        rows.append((at + i, " ".join(rng.choice("xyz") if j in rng.sample(range(120), 2) else w for j, w in enumerate(base))))
+    group = [(i, shingles(t)) for i, t in rows[at:]]
+    near += [(i, j) for i, a in group for j, b in group if i < j and 5 * len(a & b) >= 4 * len(a | b)]
+    want = plain_components([i for i, _ in rows], near)
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r[0]: r[1] for r in found.select("doc_id", "component_id").collect()} == want
+
+
 def test_deduplicate_keeps_one_of_each_group(docs, corpus):
     kept = [r[0] for r in simhash.deduplicate(docs).select("doc_id").collect()]
     assert 40 in kept and not set(kept) & {41, 42, 43, 50, 51, 52, 53, 61, 62, 80} and set(range(40)) <= set(kept)
