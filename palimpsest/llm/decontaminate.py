@@ -13,6 +13,9 @@ documents.
    the item's; where that is too little, as with common phrases, it ends here.
 3. Elsewhere the item is aligned with the words around (linear gaps), and the best
    local score, as a share of the item's perfect score, is the passage's score.
+4. A passage counts from `THRESHOLD` of the perfect score on, or, however long the
+   item is, from `PASSAGE_WORDS` matched words on, each edited, missing or inserted
+   word between them taking `PASSAGE_ERROR` off (so over 80 % of its words match).
 
 Defined results: null and empty texts and items of no words match nothing; an item
 shorter than a seed is its own seed; repeated rows give a row each; overlapping
@@ -35,6 +38,8 @@ SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's perfect score from which a document is contaminated.
 THRESHOLD = 0.5
+#: Matched words that are a passage of an item of any length, and what an error among them takes off.
+PASSAGE_WORDS, PASSAGE_ERROR = 20, 4
 BLOCK_BYTES = 4 << 20
 _BLANKS = bytes.maketrans((string.punctuation + "".join(map(chr, range(32))) + "\x7f").encode(), b" " * 65)
 FOUND = "doc_id long, item_id long, score double, start_word long, n_words long"
@@ -68,25 +73,25 @@ def seeds_of(items: list[tuple[int, list[str]]]) -> dict[str, list[tuple[int, in
     return seeds
 
 
-def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
+def align(item: np.ndarray, words: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int]:
     """Best local alignment score, and the words' part [start, end) that has it."""
     n = len(words)
     steps = np.arange(n + 1)
     row, began = np.zeros(n + 1, np.int64), steps.copy()
     best = (0, 0, 0)
     for x in item:
-        diagonal = row[:-1] + np.where(words == x, MATCH, MISMATCH)
-        up = row[1:] + GAP
+        diagonal = row[:-1] + np.where(words == x, match, mismatch)
+        up = row[1:] + gap
         new, start = np.zeros(n + 1, np.int64), steps.copy()
         new[1:] = np.maximum(diagonal, up)
         start[1:] = np.where(diagonal >= up, began[:-1], began[1:])
         start = np.where(new > 0, start, steps)
         new = np.maximum(new, 0)
         # Gaps along the words: the best earlier cell less its distance, by a running maximum.
-        ahead = new - GAP * steps
+        ahead = new - gap * steps
         run = np.maximum.accumulate(ahead)
         source = np.maximum.accumulate(np.where(ahead == run, steps, 0))
-        row = run + GAP * steps
+        row = run + gap * steps
         began = start[source]
         top = int(row.argmax())
         if row[top] > best[0]:
@@ -106,7 +111,7 @@ class Matcher:
         self.held = [np.bincount(c) for c in self.coded]
 
     def passages(self, text: str | None, threshold: float):
-        """item's id, score, first word and number of words of passages at or over the threshold, one an item."""
+        """item's id, score, first word and number of words of passages that count, the best of each item."""
         words = normal(text)
         joined = f" {' '.join(words)} "
         hits: dict[int, list[int]] = {}
@@ -132,12 +137,12 @@ class Matcher:
                     around = np.array([ids.get(w, -1) for w in words[lo:hi]])
                     # No alignment matches more words than item and place have in common.
                     common = int(np.minimum(np.bincount(around[around >= 0], minlength=len(ids)), self.held[item]).sum())
-                    if common < threshold * m or common * MATCH <= best[0]:
+                    if common < min(threshold * m, PASSAGE_WORDS) or common * MATCH <= best[0]:
                         continue
                     score, a, b = align(self.coded[item], around)
-                    if score > best[0]:
+                    if score > best[0] and (score >= threshold * MATCH * m or common >= PASSAGE_WORDS and align(self.coded[item], around, 1, -PASSAGE_ERROR, -PASSAGE_ERROR)[0] >= PASSAGE_WORDS):
                         best = (score, lo + a, b - a)
-            if best[0] >= threshold * MATCH * m:
+            if best[0]:
                 yield self.items[item][0], best[0] / (MATCH * m), best[1], best[2]
 
 

@@ -202,6 +202,21 @@ def test_copies_with_every_fifth_or_sixth_word_changed(spark, every):
     assert {(r[0], r[1]) for r in both} == {(k, k) for k in items} | {(1000 + k, k) for k in items}
 
 
+def test_a_long_passage_of_a_longer_item_counts(spark):
+    rng = random.Random(10)
+    make = lambda n: ["".join(rng.choice("klmnopqr") for _ in range(5)) for _ in range(n)]
+    items = {0: make(59), 1: make(500)}
+    edited = [w if i % 12 else "changed" for i, w in enumerate(items[1][100:160])]
+    half = [w if i % 3 else "changed" for i, w in enumerate(items[1][:60])]
+    parts = {1: items[0][10:39], 2: items[1][100:300], 3: edited, 4: items[0][:12], 5: items[1][:19], 6: half, 7: make(300)}
+    texts = spark.createDataFrame([(k, " ".join(make(30) + part + make(30))) for k, part in parts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(texts, benchmark).collect()}
+    assert set(got) == {(1, 0), (2, 1), (3, 1)} and (got[1, 0]["start_word"], got[1, 0]["n_words"]) == (30, 29)
+    assert got[1, 0]["score"] == 29 / 59 and got[2, 1]["score"] == 0.4
+    assert {r[0] for r in decontaminate.clean(texts, benchmark).select("doc_id").collect()} == {4, 5, 6, 7}
+
+
 # -- language ---------------------------------------------------------------------------
 
 
