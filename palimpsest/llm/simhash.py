@@ -29,7 +29,7 @@ probability of their similarity s, whatever their size, in a band of `ROWS` with
 s**ROWS, and miss all `BANDS` with (1 - s**ROWS)**BANDS: 1.2e-6 at 0.8, less above.
 Each candidate link is then verified on both whole sets. First every member of a bucket
 meets the bucket's least; members that this leaves in different components meet all
-others of the bucket, so a dense group costs about its size and no pair goes unseen.
+others of the bucket, after turns of meeting but one, so a dense group costs about its size and no pair goes unseen.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which
 links like any other, and equal (empty) sets; a text of fewer words than a shingle is one shingle; rows of
@@ -57,6 +57,8 @@ SHINGLE, RADIUS = 3, 3
 #: Shingle of similar documents, and their least similarity as a fraction.
 WIDE_SHINGLE, SIMILAR = 5, (4, 5)
 BANDS, ROWS = 45, 6
+#: Turns in which members outside a bucket's largest component meet but one of it.
+TURNS = 2
 TILE, BLOCK = 4096, 512
 ALL, ZERO, ONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
 MASKS, FACTORS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | ONE
@@ -384,18 +386,27 @@ def similar_links(docs: DataFrame, least: DataFrame, shingle: int = WIDE_SHINGLE
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("f0").alias("first")).filter("n > 1").select("key", "first")
     members = written(keyed.join(buckets, "key"), "members")
     sets = written(_whole_sets(docs, written(members.select("id").distinct(), "candidates"), shingle), "sets")
-    stars = written(_pairs(members.filter("f0 <> first"), "f0", "first"), "stars")
-    links = written(_verified(stars, sets), "links")
-    # In a bucket of several components, whoever is outside the largest meets all that are in another one.
-    found = components(links.select("a", "b"))
+    seen = written(_pairs(members.filter("f0 <> first"), "f0", "first"), "stars")
+    links = written(_verified(seen, sets), "links")
+    for turn in range(TURNS + 1):
+        mixed = _mixed(members.select("key", "f0"), components(links.select("a", "b")))
+        outside = mixed.filter("root <> main").select("key", F.col("f0").alias("other"), F.col("root").alias("other_root"))
+        if turn < TURNS:  # whoever is outside a bucket's largest component meets one of it, another one each turn
+            one = mixed.filter("root = main").groupBy("key").agg(F.min_by("f0", F.xxhash64("f0", "key", F.lit(turn))).alias("f0"))
+            met = one.join(outside, "key")
+        else:  # whoever is still outside meets all that are in another component
+            met = mixed.join(outside, "key").filter("root <> other_root AND (root = main OR f0 < other)")
+        pairs = written(_pairs(met, "f0", "other").join(seen, ["a", "b"], "left_anti"), "stars")
+        seen, links = seen.unionByName(pairs), links.unionByName(written(_verified(pairs, sets), "links"))
+    return links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, f0, root, main (the root of most members) of the buckets with members in several components."""
     placed = written(members.join(found, F.col("f0") == F.col("node"), "left").select("key", "f0", F.coalesce("root", "f0").alias("root")), "placed")
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-    mixed = sizes.agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1").select("key", "main")
-    mixed = written(placed.join(mixed, "key"), "mixed")
-    outside = mixed.filter("root <> main").select("key", F.col("f0").alias("other"), F.col("root").alias("other_root"))
-    met = mixed.join(outside, "key").filter("root <> other_root AND (root = main OR f0 < other)")
-    rest = _verified(written(_pairs(met, "f0", "other").join(stars, ["a", "b"], "left_anti"), "rest"), sets)
-    return links.unionByName(rest).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    several = sizes.agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1").select("key", "main")
+    return written(placed.join(several, "key"), "mixed")
 
 
 def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
