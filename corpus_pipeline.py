@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from palimpsest.llm import decontaminate, line_dedup, packing, quality_rules, similar
 from palimpsest.llm.common import documents, scratch
 from palimpsest.session import ship
 
@@ -31,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies and near copies (five-word shingles, similarity 0.8 and more) one document stays."""
     ship(spark)
-    return simhash.deduplicate(docs)
+    return similar.deduplicate(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash by bit-sliced comparison, and shingle sets by exact similarity.
+"""Near-duplicates: SimHash by bit-sliced comparison.
 
 A fingerprint bit is the majority of that bit over the hashes of a text's word
 shingles (XXH64; further words of a wide fingerprint are mixed from it).
@@ -22,26 +22,17 @@ gives a spanning forest of its links, so a dense group costs as many rows as it
 members; a component that fills much of a block is walked first, each member against
 what isn't reached yet.
 
-Similar documents (`similar_documents`) are those whose sets of shingles have an exact
-Jaccard similarity of `SIMILAR` or more. A fingerprint's distance only estimates that,
-so candidates come from least hashes instead: two sets agree in one with the
-probability of their similarity s, whatever their size, in a band of `ROWS` with
-s**ROWS, and miss all `BANDS` with (1 - s**ROWS)**BANDS: 1.2e-6 at 0.8, less above.
-Each candidate link is then verified on both whole sets. First every member of a bucket
-meets the bucket's least; members that this leaves in different components meet all
-others of the bucket, after turns of meeting but one, so a dense group costs about its size and no pair goes unseen.
+`palimpsest.llm.similar` builds near-duplicates by exact similarity of shingle sets on this.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which
-links like any other, and equal (empty) sets; a text of fewer words than a shingle is one shingle; rows of
+links like any other; a text of fewer words than a shingle is one shingle; rows of
 one id are one document; rows without an id get the component of their fingerprint,
 null if no row with an id has it or links to it; an empty table gives an empty
-result; `deduplicate` carries all other columns.
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -54,14 +45,8 @@ from .components import components
 
 SEED = 42
 SHINGLE, RADIUS = 3, 3
-#: Shingle of similar documents, and their least similarity as a fraction.
-WIDE_SHINGLE, SIMILAR = 5, (4, 5)
-BANDS, ROWS = 45, 6
-#: Turns in which members outside a bucket's largest component meet but one of it.
-TURNS = 2
 TILE, BLOCK = 4096, 512
-ALL, ZERO, ONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
-MASKS, FACTORS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | ONE
+ALL, ZERO = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -79,7 +64,7 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return np.array([xxh(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
 
 
-def _more(hashes: np.ndarray, word: int) -> np.ndarray:
+def more(hashes: np.ndarray, word: int) -> np.ndarray:
     """Hashes for a further word, by a 64-bit mixer."""
     x = hashes + np.uint64(0x9E3779B97F4A7C15 * word & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,7 +76,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     """Words of bits set in over half of the hashes."""
     out = np.zeros(words, np.uint64)
     for w in range(words if len(hashes) else 0):
-        mine, counts = (_more(hashes, w) if w else hashes), np.zeros(64, np.int64)
+        mine, counts = (more(hashes, w) if w else hashes), np.zeros(64, np.int64)
         for part in np.array_split(mine, -(-len(mine) // 65536)):
             counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out[w] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
@@ -182,7 +167,7 @@ def links(queries: np.ndarray, planes: np.ndarray, n: int, radius: int) -> tuple
     return rows, ~over
 
 
-def _lanes(mask: np.ndarray, n: int) -> np.ndarray:
+def lanes_of(mask: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[:n])
 
 
@@ -194,7 +179,7 @@ def _walk(fps: np.ndarray, start: int, left: np.ndarray, radius: int, block: int
         rows, masks = links(fps[now], planes_of(fps[left]), len(left), radius)
         reached = np.zeros(len(left), bool)
         for row, mask in zip(rows.tolist(), masks):
-            near = _lanes(mask, len(left))
+            near = lanes_of(mask, len(left))
             near = near[~reached[near]]
             reached[near] = True
             out += [(int(now[row]), int(x)) for x in left[near]]
@@ -222,7 +207,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS, block: int = BLOCK) -> list[tu
     for at in range(0, n, block):
         rows, masks = links(fps[left[at : at + block]], planes, n, radius)
         for row, mask in zip((rows + at).tolist(), masks):
-            near = _lanes(mask, n)
+            near = lanes_of(mask, n)
             for other in near[near > row].tolist():
                 a, b = find(row), find(other)
                 if a != b:
@@ -237,15 +222,20 @@ def linked(prints: DataFrame, words: int, radius: int, tables: list[list[int]])
     One shuffle brings a fingerprint to its bucket in each table. Buckets over TILE
     members are found beforehand by a pre-aggregated count; the rest needs no join.
     """
-    spark, names = prints.sparkSession, columns_of(words)
+    names = columns_of(words)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = [F.xxhash64(F.lit(t), *(F.col(n).bitwiseAND(F.lit(signed(m))) for n, m in zip(names, masks) if m)) for t, masks in enumerate(tables)]
     keyed = prints.select("id", *names, F.explode(F.array(*keys)).alias("key"))
     large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE), "buckets")
     small = large.count() * 24 <= BROADCAST_BYTES
-    met = keyed.join(F.broadcast(large) if small else large, "key", "left")
-    met = met.withColumn("parts", F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met(keyed.join(F.broadcast(large) if small else large, "key", "left"), words, radius)
+
+
+def met(members: DataFrame, words: int, radius: int) -> DataFrame:
+    """members: key (of a bucket), n (its members, null for few), id, f0, ...; gives a, b as `linked`."""
+    spark, names = members.sparkSession, columns_of(words)
+    parted = members.withColumn("parts", F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiles = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A bucket's tile is a key of its own; equal 64-bit keys would only share a block.
     tile = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
     spread = tiles.select("id", *names, tile.alias("tile")).repartition(partitions_of(spark), "tile").sortWithinPartitions("tile")
@@ -260,7 +250,7 @@ def linked(prints: DataFrame, words: int, radius: int, tables: list[list[int]])
             return pa.record_batch([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], schema=schema)
 
         held, size, rest = [], 0, np.empty((0, words + 2), np.int64)
-        for batch in _and_end(batches):
+        for batch in and_end(batches):
             if batch is not None:
                 rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy() for c in ("id", *names, "tile")], axis=1)))
             cuts = np.flatnonzero(rest[1:, -1] != rest[:-1, -1]) + 1
@@ -282,146 +272,28 @@ def linked(prints: DataFrame, words: int, radius: int, tables: list[list[int]])
     return spread.mapInArrow(compare, "a long, b long")
 
 
-def _and_end(batches):
+def and_end(batches):
     """The batches that have rows, and then None."""
     yield from (b for b in batches if b.num_rows)
     yield None
 
 
-def _rooted(prints: DataFrame, least: DataFrame, names: list[str], edges: DataFrame) -> DataFrame:
+def rooted(prints: DataFrame, least: DataFrame, names: list[str], edges: DataFrame) -> DataFrame:
     """prints with component_id; least: a row for each distinct print with its least doc_id, edges: of these."""
     rooted = least.join(components(edges), F.col("id") == F.col("node"), "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return prints.join(rooted, names)
 
 
-def classes(prints: DataFrame, words: int, radius: int, tables: Callable[[int], list[list[int]]]) -> DataFrame:
-    """prints: doc_id, f0, ... (written); adds component_id, the least doc_id that links reach. tables: from the number of fingerprints."""
+def classes(prints: DataFrame, words: int = 1, radius: int = RADIUS) -> DataFrame:
+    """prints: doc_id, f0, ... (written); adds component_id, the least doc_id that links reach."""
     names = columns_of(words)
     least = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id")), "fingerprints")
-    return _rooted(prints, least, names, linked(least.filter("id IS NOT NULL"), words, radius, tables(least.count())))
+    return rooted(prints, least, names, linked(least.filter("id IS NOT NULL"), words, radius, exact_tables(words, radius)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, f0, component_id of each row; all links, over one word of bits."""
-    return classes(written(fingerprints(docs, shingle), "prints"), 1, radius, lambda n: exact_tables(1, radius))
-
-
-# -- similar shingle sets ---------------------------------------------------------------
-
-
-def set_of(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, int, int]:
-    """A text's set of shingles as sorted hashes, and two words that stand for the set."""
-    from xxhash import xxh3_128_digest
-
-    shingles = np.unique(shingle_hashes(text, shingle))
-    a, b = np.frombuffer(xxh3_128_digest(shingles.tobytes()), np.int64).tolist() if len(shingles) else (0, 0)
-    return shingles, a, b
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of least hashes; none for an empty set."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, ALL)
-    for part in np.array_split(shingles, -(-len(shingles) // 1024)):
-        least = np.minimum(least, ((part ^ MASKS) * FACTORS).min(axis=1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = _more(keys ^ row, 1)
-    return keys.view(np.int64)
-
-
-def sketches(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """doc_id, f0, f1 (the set's words), keys (of its bands)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-    def run(batches):
-        for batch in batches:
-            sets = [set_of(x.as_py(), shingle) for x in batch.column("text")]
-            columns = [[a for _, a, _ in sets], [b for _, _, b in sets], [band_keys(s) for s, _, _ in sets]]
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f0 long, f1 long, keys array<long>")
-
-
-def _whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, f0, shingles (sorted hashes as bytes) of the documents in ids."""
-    schema = pa.schema([("id", pa.int64()), ("f0", pa.int64()), ("shingles", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            sets = [set_of(x.as_py(), shingle) for x in batch.column("text")]
-            columns = [batch.column("id"), pa.array([a for _, a, _ in sets], pa.int64()), pa.array([s.tobytes() for s, _, _ in sets], pa.binary())]
-            yield pa.record_batch(columns, schema=schema)
-
-    small = ids.count() * 16 <= BROADCAST_BYTES
-    mine = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    return mine.mapInArrow(run, "id long, f0 long, shingles binary").dropDuplicates(["id", "f0"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: a, b (f0 of sets); those of similarity SIMILAR or more, with the documents id_a, id_b."""
-    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "id_a", "id_b")])
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * SIMILAR[1] >= max(len(x), len(y)) * SIMILAR[0] else 0
-                keep.append(both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0])
-            yield pa.record_batch([batch.column(f.name).filter(pa.array(keep, pa.bool_())) for f in schema], schema=schema)
-
-    of = lambda c: sets.select(F.col("f0").alias(c), F.col("id").alias(f"id_{c}"), F.col("shingles").alias(f"set_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long, id_a long, id_b long")
-
-
-def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
-    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def similar_links(docs: DataFrame, least: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """least: id, f0, keys of distinct sets; gives links a, b of ids, whose components are those of all links."""
-    keyed = least.select("id", "f0", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("f0").alias("first")).filter("n > 1").select("key", "first")
-    members = written(keyed.join(buckets, "key"), "members")
-    sets = written(_whole_sets(docs, written(members.select("id").distinct(), "candidates"), shingle), "sets")
-    seen = written(_pairs(members.filter("f0 <> first"), "f0", "first"), "stars")
-    links = written(_verified(seen, sets), "links")
-    for turn in range(TURNS + 1):
-        mixed = _mixed(members.select("key", "f0"), components(links.select("a", "b")))
-        outside = mixed.filter("root <> main").select("key", F.col("f0").alias("other"), F.col("root").alias("other_root"))
-        if turn < TURNS:  # whoever is outside a bucket's largest component meets one of it, another one each turn
-            one = mixed.filter("root = main").groupBy("key").agg(F.min_by("f0", F.xxhash64("f0", "key", F.lit(turn))).alias("f0"))
-            met = one.join(outside, "key")
-        else:  # whoever is still outside meets all that are in another component
-            met = mixed.join(outside, "key").filter("root <> other_root AND (root = main OR f0 < other)")
-        pairs = written(_pairs(met, "f0", "other").join(seen, ["a", "b"], "left_anti"), "stars")
-        seen, links = seen.unionByName(pairs), links.unionByName(written(_verified(pairs, sets), "links"))
-    return links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-
-
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, f0, root, main (the root of most members) of the buckets with members in several components."""
-    placed = written(members.join(found, F.col("f0") == F.col("node"), "left").select("key", "f0", F.coalesce("root", "f0").alias("root")), "placed")
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-    several = sizes.agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1").select("key", "main")
-    return written(placed.join(several, "key"), "mixed")
-
-
-def similar_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """doc_id, f0, f1, component_id of each row: components of the documents whose shingle sets have similarity SIMILAR or more."""
-    prints, names = written(sketches(docs, shingle), "prints"), ["f0", "f1"]
-    least = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "fingerprints")
-    return _rooted(prints.drop("keys"), least.drop("keys"), names, similar_links(docs, least.filter("id IS NOT NULL"), shingle))
-
-
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group of similar ones stays, that of the least id; rows that repeat its id stay with it."""
-    found = similar_documents(docs, **how).select("doc_id", "component_id")
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    small = gone.count() * 16 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    return classes(written(fingerprints(docs, shingle), "prints"), 1, radius)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, decontaminate, language, language_model, packing, quality_classifier, simhash, token_files
+from palimpsest.llm import components, decontaminate, language, language_model, packing, quality_classifier, simhash, similar, token_files
 from palimpsest.llm.common import scratch
 from palimpsest.llm.tokens import Encoder, vocabulary
 
@@ -72,7 +72,7 @@ def test_bit_slices_count_distances(radius, count):
             row[b // 64] ^= np.uint64(1 << int(b % 64))
     fps = np.concatenate((fps, more))
     rows, masks = simhash.links(fps, simhash.planes_of(fps), len(fps), radius)
-    got = {(r, c) for r, m in zip(rows.tolist(), masks) for c in simhash._lanes(m, len(fps)).tolist()}
+    got = {(r, c) for r, m in zip(rows.tolist(), masks) for c in simhash.lanes_of(m, len(fps)).tolist()}
     distance = np.unpackbits((fps[:, None] ^ fps[None]).view(np.uint8), axis=2).sum(axis=2)
     assert got == set(zip(*map(list, np.nonzero(distance <= radius))))
     linked = plain_components(range(len(fps)), [(a, b) for a, b in got if a < b])
@@ -91,7 +91,7 @@ def test_exact_tables_lose_nothing_and_large_buckets_are_tiled(spark, monkeypatc
     fps = sorted({base} | {base ^ (1 << i) for i in range(64)} | {base ^ (3 << i) for i in range(63)})
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
     prints = spark.createDataFrame(signed, "doc_id long, f0 long")
-    got = simhash.classes(prints, 1, 3, lambda n: simhash.exact_tables(1, 3)).select("component_id").distinct().collect()
+    got = simhash.classes(prints, 1, 3).select("component_id").distinct().collect()
     assert [r[0] for r in got] == [0]
 
 
@@ -107,12 +107,14 @@ def test_similar_documents(spark):
             near[rng.randrange(200)] = "edited"
         rows += [(3 * g + 1, " ".join(near)), (3 * g + 2, " ".join(make(200)))]
         groups.append(near)
-    found = {r[0]: r[1] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()}
+    found = {r[0]: r[1] for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()}
     assert sum(found[3 * g + 1] == 3 * g for g in range(60)) >= 57
     assert all(found[3 * g + 2] == 3 * g + 2 for g in range(60))
 
 
-def test_similar_documents_are_exactly_those_of_the_threshold(spark):
+@pytest.mark.parametrize("part", [8 << 20, 4000])
+def test_similar_documents_are_exactly_those_of_the_threshold(spark, monkeypatch, part):
+    monkeypatch.setattr(similar, "PART_BYTES", part)  # a small part deals a bucket to many tiles
     rng = random.Random(4)
     make = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
     shingles = lambda text: {tuple(text.split()[i : i + 5]) for i in range(max(1, len(text.split()) - 4))}
@@ -129,12 +131,37 @@ def test_similar_documents_are_exactly_those_of_the_threshold(spark):
     group = [(i, shingles(t)) for i, t in rows[at:]]
     near += [(i, j) for i, a in group for j, b in group if i < j and 5 * len(a & b) >= 4 * len(a | b)]
     want = plain_components([i for i, _ in rows], near)
-    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert {r[0]: r[1] for r in found.select("doc_id", "component_id").collect()} == want
 
 
+def test_far_radius_and_bands_lose_no_similar_pair():
+    """Sets at exactly 0.8: all are within FAR; a band is shared but with 1.2e-6."""
+    rng = np.random.default_rng(8)
+    lost = 0
+    for n in [4, 8, 12, 40, 200] * 100:
+        both = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+        a, b = np.unique(both[:n]), np.unique(both)
+        far = int(np.unpackbits((simhash.fingerprint(a, 4) ^ simhash.fingerprint(b, 4)).view(np.uint8)).sum()) > similar.FAR
+        lost += far or not (similar.band_keys(a) == similar.band_keys(b)).any()
+    assert lost == 0
+
+
+def test_tiles_link_like_all_pairs():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 1 << 63, 60, dtype=np.uint64), base)) for _ in range(80)]
+    prints = np.array([simhash.fingerprint(s, 4) for s in sets])
+    near = [(a, b) for a in range(80) for b in range(a) if 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))]
+    assert 0 < len(near) < 80 * 79 // 2
+    yes = np.ones(80, bool)
+    got = similar.tile_links(np.arange(80), np.arange(80), yes, yes, prints, sets)
+    assert set(got) <= {p for a, b in near for p in ((a, b), (b, a))}
+    assert plain_components(range(80), got) == plain_components(range(80), near)
+
+
 def test_deduplicate_keeps_one_of_each_group(docs, corpus):
-    kept = [r[0] for r in simhash.deduplicate(docs).select("doc_id").collect()]
+    kept = [r[0] for r in similar.deduplicate(docs).select("doc_id").collect()]
     assert 40 in kept and not set(kept) & {41, 42, 43, 50, 51, 52, 53, 61, 62, 80} and set(range(40)) <= set(kept)
 
 
@@ -401,7 +428,7 @@ def test_votes_are_exact_cosines(docs, corpus):
         assert math.isclose(score, (weight * model["y"][near]).sum() / weight.sum(), rel_tol=1e-4)
 
 
-@pytest.mark.parametrize("run", [lambda d: simhash.near_duplicates(d), lambda d: simhash.similar_documents(d), lambda d: packing.pack_documents(d), lambda d: language.predict(d, *language.learn(d)), lambda d: language_model.score(d, language_model.train(d, scratch(d.sparkSession, "m")))], ids=["simhash", "similar", "packing", "language", "model"])
+@pytest.mark.parametrize("run", [lambda d: simhash.near_duplicates(d), lambda d: similar.similar_documents(d), lambda d: packing.pack_documents(d), lambda d: language.predict(d, *language.learn(d)), lambda d: language_model.score(d, language_model.train(d, scratch(d.sparkSession, "m")))], ids=["simhash", "similar", "packing", "language", "model"])
 def test_clashing_columns_and_missing_ids(run, docs, clashing, nameless):
     assert run(clashing).count() >= docs.count()
     assert run(nameless).count() >= nameless.count()
