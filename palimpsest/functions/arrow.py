@@ -15,7 +15,6 @@ def _rows(**fields) -> T.ArrayType:
 
 #: Types are objects, as names of types can't be read before there is a session.
 DIFF_TYPE = _rows(kind=T.StringType, start=T.IntegerType, end=T.IntegerType, text=T.StringType)
-REFERENCE_TYPE = _rows(start=T.IntegerType, end=T.IntegerType, number=T.StringType, keyword=T.StringType)
 SPAN_TYPE = _rows(start=T.IntegerType, end=T.IntegerType)
 
 
@@ -25,12 +24,6 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(plain.fold, na_action="ignore")
 
 
-@F.pandas_udf(REFERENCE_TYPE)
-def references(text: pd.Series) -> pd.Series:
-    names = ("start", "end", "number", "keyword")
-    return text.map(lambda t: [dict(zip(names, r)) for r in plain.references(t or "")])
-
-
 @F.pandas_udf(DIFF_TYPE)
 def diff(old: pd.Series, new: pd.Series) -> pd.Series:
     names = ("kind", "start", "end", "text")

@@ -38,15 +38,68 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(UNICODE + S.TOKEN_PATTERN), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body` as often as it likes."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(sizes: Column) -> Column:
+    """Sums of an array's numbers before each and behind the last, from 0."""
+    start = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("sums"))
+    return F.aggregate(sizes, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"] + n)).alias("sums")), lambda s: s["sums"])
+
+
 def hits(text: Column, needle: str | Column, overlapping: bool = True) -> Column:
-    """Start offsets of a literal; the next may begin inside the last if overlapping."""
+    """Start offsets of a literal; the next may begin inside the last if overlapping.
+
+    The text is split at the literal, or before each place where it begins, and the
+    pieces' lengths are summed, so the work is linear in the text.
+    """
     needle = F.lit(needle) if isinstance(needle, str) else needle
-    size = F.length(needle)
-    found = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - size, F.lit(0))), lambda i: F.substring(text, i + 1, size) == needle)
-    if not overlapping:
-        start = F.array().cast("array<int>")
-        found = F.aggregate(found, start, lambda kept, i: F.when((F.size(kept) == 0) | (i >= F.element_at(kept, F.greatest(F.size(kept), F.lit(1))) + size), F.concat(kept, F.array(i))).otherwise(kept))
-    return F.when(text.contains(needle) & (size > 0), found).otherwise(F.array().cast("array<int>"))
+    quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    none = F.array().cast("array<int>")
+
+    def starts(pieces):
+        between = F.length(needle) if not overlapping else F.lit(0)
+        ends = running(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p) + between))
+        # Behind each piece but the last stands a hit; no piece ends before one at the very start.
+        inner = F.transform(F.slice(ends, F.lit(2), F.size(ends)), lambda e: e - between)
+        return F.concat(F.when(text.startswith(needle), F.array(F.lit(0))).otherwise(none), inner) if overlapping else inner
+
+    found = F.split(text, quoted, -1) if not overlapping else F.split(text, F.concat(F.lit("(?="), quoted, F.lit(")")), -1)
+    return F.when(text.contains(needle) & (F.length(needle) > 0), let(found, starts)).otherwise(none)
+
+
+REFERENCE_LIST = r"(?U)\b(?i:" + "|".join(S.REFERENCE_WORDS) + r")\b" + S.REFERENCE_NUMBER + "(?:" + S.REFERENCE_JOINER + S.REFERENCE_NUMBER + ")*"
+
+
+def references(text: Column) -> Column:
+    """Array of (start, end, number, keyword) of each number in the lists behind reference words.
+
+    The lists and the gaps between them, and within a list its numbers and theirs, come
+    from a pattern and a split by it; lengths give the offsets.
+    """
+    number = r"(?U)\d+(?:\.\d+)*"
+
+    def of_list(found, at):
+        keyword = F.regexp_extract(found, r"(?U)^\w+", 0)
+        numbers, gaps = F.regexp_extract_all(found, F.lit(number), F.lit(0)), F.split(found, number, -1)
+
+        def placed(n):
+            sizes = F.transform(n, lambda x, i: F.length(F.get(gaps, i)) + F.length(x))
+            return let(running(sizes), lambda e: F.transform(n, lambda x, i: F.struct((at + F.get(e, i + 1) - F.length(x)).alias("start"), (at + F.get(e, i + 1)).alias("end"), x.alias("number"), keyword.alias("keyword"))))
+
+        return let(numbers, placed)
+
+    def of_lists(found):
+        gaps = F.split(text, REFERENCE_LIST, -1)
+        sizes = lambda g: F.transform(found, lambda x, i: F.length(F.get(g, i)) + F.length(x))
+        ends = let(gaps, lambda g: running(sizes(g)))
+        return let(ends, lambda e: F.flatten(F.transform(found, lambda x, i: of_list(x, F.get(e, i + 1) - F.length(x)))))
+
+    # Most paragraphs have no reference; a cheap look for a word spares them the rest.
+    some = text.rlike(r"(?i)(?:" + "|".join(w for w in S.REFERENCE_WORDS if not w.endswith("s")) + ")")
+    return F.when(some, let(F.regexp_extract_all(text, F.lit(REFERENCE_LIST), F.lit(0)), of_lists))
 
 
 def label(text: Column) -> Column:

@@ -65,9 +65,9 @@ def position(label: Column) -> Column:
 
 
 def target(actions: DataFrame) -> Column:
-    """The label an action is about."""
-    names = [n for n in ("clause", "section", "after_clause", "before_clause", "into_section", "after_section", "before_section") if n in actions.columns]
-    return F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names))
+    """The label that places an action in its document: its clause or section; an anchor beside it doesn't."""
+    names = [n for n in ("clause", "section") if n in actions.columns]
+    return F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names), F.lit(""))
 
 
 def execution_order(actions: DataFrame) -> DataFrame:
@@ -94,23 +94,29 @@ def dedupe(actions: DataFrame) -> DataFrame:
     return actions.withColumn("winner", F.min("seq").over(Window.partitionBy("doc_id", identity(actions))))
 
 
+TARGETS = ("clause", "section", "after_clause", "before_clause", "into_section", "after_section", "before_section")
+
+
 def preflight(actions: DataFrame, clauses: DataFrame, paras: DataFrame) -> DataFrame:
     """Adds problem: the first check that fails against the untouched document, or null.
 
-    A clause that is named must exist; a quote must be in it, or, with no clause, in
-    exactly one paragraph unless `all`; patterns aren't looked up.
+    All clauses and sections that are named must exist; a quote must be in its clause,
+    or, with no clause, in exactly one paragraph unless `all`; patterns aren't looked up.
+    A quote without a clause meets all paragraphs of its document, as it must.
     """
     own = clauses.select("doc_id", F.col("label").alias("clause"), F.col("text").alias("_text")).dropDuplicates(["doc_id", "clause"])
+    named = F.array_compact(F.array(*(F.nullif(F.col(n), F.lit("")) for n in TARGETS if n in actions.columns)))
+    missing = actions.select("doc_id", "seq", F.explode(named).alias("clause")).join(own, ["doc_id", "clause"], "left_anti").select("doc_id", "seq").distinct().withColumn("_missing", F.lit(True))
     quoted = actions.filter("find IS NOT NULL AND find <> '' AND (clause IS NULL OR clause = '') AND NOT coalesce(regex, false)").select("doc_id", "seq", "find")
     hits = quoted.join(paras.select("doc_id", "para_id", "text"), "doc_id").filter(F.col("text").contains(F.col("find"))).groupBy("doc_id", "seq").agg(F.count(F.lit(1)).alias("_hits"))
-    joined = actions.join(own, ["doc_id", "clause"], "left").join(hits, ["doc_id", "seq"], "left")
-    named, quote = given("clause"), given("find") & ~F.coalesce("regex", F.lit(False))
+    joined = actions.join(own, ["doc_id", "clause"], "left").join(missing, ["doc_id", "seq"], "left").join(hits, ["doc_id", "seq"], "left")
+    of_clause, quote = given("clause"), given("find") & ~F.coalesce("regex", F.lit(False))
     n = F.coalesce("_hits", F.lit(0))
     problem = (
-        F.when(named & F.col("_text").isNull(), "no such clause")
-        .when(named & quote & ~F.col("_text").contains(F.col("find")), "quote not in clause")
-        .when(~named & quote & (n == 0), "quote not found")
-        .when(~named & quote & (n > 1) & ~F.coalesce("all", F.lit(False)), "quote in several paragraphs")
+        F.when(F.col("_missing"), "no such clause")
+        .when(of_clause & quote & ~F.col("_text").contains(F.col("find")), "quote not in clause")
+        .when(~of_clause & quote & (n == 0), "quote not found")
+        .when(~of_clause & quote & (n > 1) & ~F.coalesce("all", F.lit(False)), "quote in several paragraphs")
     )
     return joined.select(*actions.columns, problem.alias("problem"))
 

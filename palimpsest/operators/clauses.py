@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..functions.arrow import references as references_of
-from .paragraphs import in_order
-
-#: Labels of more components hang on their nearest ancestor within these.
-LEVELS = 9
 
 
 def parse(paras: DataFrame) -> DataFrame:
@@ -23,20 +18,34 @@ def parse(paras: DataFrame) -> DataFrame:
     return out.withColumns({"number": X.number(F.col("label")), "level": F.size(F.split("label", r"\.")), "title": X.title(F.col("text"), after), "body": X.body(F.col("text"), after)})
 
 
-def tree(clauses: DataFrame) -> DataFrame:
-    """Adds parent_id (para_id) and parent: the nearest earlier clause of fewer components.
+def with_ancestors(clauses: DataFrame, *carry: str) -> DataFrame:
+    """Adds above: para_id and the carried columns of each clause's ancestors, from the top, however deep.
 
-    The last clause of each level so far is a running value, so one sort a document
-    gives all parents.
+    A clause's parent is the nearest earlier one of fewer components. So a clause asks at
+    each level above its own for the last clause there, by one running value in the order
+    of level and place; of the answers, from the top level on, those that stand behind
+    all before are the ancestors. All of it is sorts within a document, after one
+    shuffle on doc_id at most.
     """
-    earlier = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct("para_id", "label")
-    last = [F.last(F.when(F.col("level") == d, at), ignorenulls=True).over(earlier) for d in range(1, LEVELS + 1)]
-    named = clauses.withColumns({f"_l{d}": c for d, c in enumerate(last, 1)})
-    above = F.greatest(*(F.when(F.col("level") > d, F.col(f"_l{d}.para_id")) for d in range(1, LEVELS + 1)), F.lit(-1))
-    out = named.withColumn("parent_id", F.nullif(above, F.lit(-1)))
-    parent = F.coalesce(*(F.when(F.col(f"_l{d}.para_id") == F.col("parent_id"), F.col(f"_l{d}.label")) for d in range(1, LEVELS + 1)))
-    return out.withColumn("parent", parent).drop(*(f"_l{d}" for d in range(1, LEVELS + 1)))
+    others = [c for c in clauses.columns if c not in ("doc_id", "para_id")]
+    own = F.col("_at") == F.col("level")
+    asked = clauses.withColumn("_at", F.explode(F.sequence(F.lit(1), F.col("level"))))
+    # The clause itself is the row that asks nothing; the others leave its columns behind.
+    asked = asked.select("doc_id", "para_id", "_at", F.when(own, F.struct(*others)).alias("_row"), F.when(own, F.struct(F.col("_at").alias("level"), "para_id", *carry)).alias("_own"))
+    earlier = Window.partitionBy("doc_id").orderBy("_at", "para_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = asked.withColumn("_last", F.last("_own", ignorenulls=True).over(earlier))
+    answer = F.when(F.col("_own").isNull() & (F.col("_last.level") == F.col("_at")), F.col("_last"))
+    # doc_id and para_id stay the columns that the rows are dealt by, so that what follows needs no shuffle.
+    whole = last.groupBy("doc_id", "para_id").agg(F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list(answer)).alias("_all"))
+    before = F.transform("_all", lambda x, i: F.struct(x.alias("x"), F.array_max(F.transform(F.slice("_all", F.lit(1), i), lambda y: y["para_id"])).alias("high")))
+    above = F.transform(F.filter(before, lambda y: y["high"].isNull() | (y["x"]["para_id"] > y["high"])), lambda y: y["x"].dropFields("level"))
+    return whole.select(*(F.col(c) if c in ("doc_id", "para_id") else F.col(f"_row.{c}") for c in clauses.columns), above.alias("above"))
+
+
+def tree(clauses: DataFrame) -> DataFrame:
+    """Adds parent_id (para_id) and parent (label): the nearest earlier clause of fewer components."""
+    parent = F.try_element_at("above", F.lit(-1))
+    return with_ancestors(clauses, "label").select(*clauses.columns, parent["para_id"].alias("parent_id"), parent["label"].alias("parent"))
 
 
 def duplicate_labels(clauses: DataFrame) -> DataFrame:
@@ -53,20 +62,12 @@ def gaps(tree_: DataFrame) -> DataFrame:
     return siblings(tree_).filter(F.element_at("number", -1) != F.col("place"))
 
 
-def renumber(tree_: DataFrame) -> DataFrame:
-    """Adds new_label: the places of a clause and its ancestors, from the top.
-
-    Ancestors' places are joined level by level, on (doc_id, parent_id), as often as
-    the deepest label has components above its own, and at most LEVELS times. How deep
-    that is takes one aggregation, which needs no parents.
-    """
-    deepest = tree_.agg(F.max("level")).first()[0] or 1
-    placed = siblings(tree_).withColumn("path", F.array("place")).withColumn("up", F.col("parent_id"))
-    above = placed.select("doc_id", F.col("para_id").alias("up"), F.col("place").alias("up_place"), F.col("parent_id").alias("next"))
-    for _ in range(min(deepest, LEVELS) - 1):
-        joined = placed.join(above, ["doc_id", "up"], "left")
-        placed = joined.withColumn("path", F.when(F.col("up_place").isNull(), F.col("path")).otherwise(F.concat(F.array("up_place"), "path"))).withColumn("up", F.col("next")).drop("up_place", "next")
-    return placed.withColumn("new_label", F.array_join(F.transform("path", lambda x: x.cast("string")), ".")).drop("path", "up")
+def renumber(clauses: DataFrame) -> DataFrame:
+    """Adds new_label: the places of a clause and its ancestors, from the top, among the clauses given."""
+    clauses = clauses.drop("parent_id", "parent")
+    placed = siblings(tree(clauses)).select(*clauses.columns, "place")
+    path = F.concat(F.transform("above", lambda x: x["place"]), F.array("place"))
+    return with_ancestors(placed, "place").select(*placed.columns, F.array_join(F.transform(path, lambda x: x.cast("string")), ".").alias("new_label"))
 
 
 def mapping(renumbered: DataFrame) -> DataFrame:
@@ -75,12 +76,8 @@ def mapping(renumbered: DataFrame) -> DataFrame:
 
 
 def references(paras: DataFrame) -> DataFrame:
-    """A row a cross-reference: doc_id, para_id, start, end, number, keyword.
-
-    Only paragraphs with a reference word go to Python.
-    """
-    some = paras.filter(F.col("text").rlike(r"(?i)\b(?:" + "|".join(S.REFERENCE_WORDS) + r")\b"))
-    return some.select("doc_id", "para_id", F.explode(references_of("text")).alias("r")).select("doc_id", "para_id", "r.*")
+    """A row a cross-reference: doc_id, para_id, start, end, number, keyword."""
+    return paras.select("doc_id", "para_id", F.explode(X.references(F.col("text"))).alias("r")).select("doc_id", "para_id", "r.*")
 
 
 def rewrite_references(refs: DataFrame, mapping_: DataFrame, removed: DataFrame) -> DataFrame:
@@ -108,13 +105,10 @@ def render_outline(clauses: DataFrame, chars: int = S.RENDER_CHARS) -> DataFrame
     return clauses.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("outline"))
 
 
-def subtree(tree_: DataFrame, roots: DataFrame) -> DataFrame:
-    """Clauses at or below given ones (doc_id, label), by the tree's edges."""
-    found = tree_.join(roots.select("doc_id", "label").distinct(), ["doc_id", "label"], "left_semi")
-    level = found
-    for _ in range(LEVELS):
-        below = tree_.join(level.select("doc_id", F.col("para_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi").select(tree_.columns)
-        if not below.head(1):
-            break
-        found, level = found.unionByName(below), below
-    return found.dropDuplicates(["doc_id", "para_id"])
+def subtree(clauses: DataFrame, roots: DataFrame) -> DataFrame:
+    """Clauses at or below given ones (doc_id, label): a clause and its ancestors are looked up in one join."""
+    wanted = roots.select("doc_id", F.col("label").alias("_label")).distinct()
+    line = F.concat(F.transform("above", lambda x: x["label"]), F.array("label"))
+    lines = with_ancestors(clauses, "label").select("doc_id", "para_id", F.explode(line).alias("_label"))
+    found = lines.join(wanted, ["doc_id", "_label"], "left_semi").select("doc_id", "para_id").distinct()
+    return clauses.join(found, ["doc_id", "para_id"], "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import plain
-from .document import Document, Paragraph, Row, Table
+from .document import Anchor, Document, Paragraph, Row, Table, copied
 
 
 @dataclass
@@ -91,7 +91,7 @@ class Comparison:
                     self.stats.rows_deleted += 1
 
     def _marked(self, p: Paragraph) -> Paragraph:
-        new = Paragraph(deepcopy([x for x in p.pieces if x.shown]), deepcopy(p.props), (self.doc._rev("ins"),), heading=p.heading)
+        new = Paragraph(deepcopy([x for x in p.pieces if x.shown and not isinstance(x.opaque, Anchor)]), copied(p.props), (self.doc._rev("ins"),), heading=p.heading)
         rev = self.doc._rev("ins")
         for x in new.pieces:
             x.revs, x.old_fmt, x.fmt_rev = (rev,), None, None
@@ -115,7 +115,7 @@ class Comparison:
             at += 1
 
     def _fresh_row(self, row: Row) -> Row:
-        return Row([[self._marked(p) for p in cell] for cell in row.cells], self.doc._rev("ins"))
+        return Row([[self._marked(p) for p in cell] for cell in row.cells], self.doc._rev("ins"), list(row.props), list(row.cell_props))
 
     def _table(self, old: Table, new: Table) -> None:
         rows = list(old.rows)

@@ -48,6 +48,22 @@ class Rev:
     move: str | None = None
 
 
+@dataclass(eq=False)
+class Wrap:
+    """An element around pieces (a link, a control), without what it holds; pieces share it."""
+
+    xml: str
+
+
+@dataclass(frozen=True)
+class Anchor:
+    """One end of a range over the text, as a comment's; what is copied or struck leaves it where it is."""
+
+    kind: str
+    id: int | None = None
+    xml: str | None = None
+
+
 @dataclass
 class Piece:
     text: str
@@ -55,7 +71,8 @@ class Piece:
     fmt: dict = field(default_factory=dict)
     old_fmt: dict | None = None
     fmt_rev: Rev | None = None
-    opaque: object = None  # what isn't text: kept as it is
+    opaque: object = None  # what isn't text: an Anchor, or kept as it is
+    wraps: tuple[Wrap, ...] = ()
 
     @property
     def shown(self) -> bool:
@@ -71,6 +88,9 @@ class Paragraph:
     prop_rev: Rev | None = None
     heading: int | None = None
     comments: list[int] = field(default_factory=list)
+    origin: tuple | None = None  # its place in the package, and what stood there
+    source: str | None = None
+    state: str | None = None
 
     @property
     def text(self) -> str:
@@ -94,6 +114,9 @@ class Paragraph:
 class Row:
     cells: list[list[Paragraph]]
     mark: Rev | None = None
+    props: list[str] = field(default_factory=list)
+    cell_props: list[str | None] = field(default_factory=list)
+    origin: tuple | None = None
 
     @property
     def texts(self) -> list[str]:
@@ -104,6 +127,7 @@ class Row:
 class Table:
     rows: list[Row]
     props: object = None
+    origin: tuple | None = None
 
     @property
     def text(self) -> str:
@@ -148,6 +172,11 @@ class Clause:
         return list(self.walk())[-1].paragraph
 
 
+def copied(props: dict) -> dict:
+    """Paragraph properties for a new paragraph: a section's end stays where it is."""
+    return deepcopy({k: v for k, v in props.items() if k != "_section"})
+
+
 def utc_stamp(when=None) -> str:
     if isinstance(when, str):
         return when
@@ -163,6 +192,7 @@ class Document:
         self.date, self.scope, self.package = utc_stamp(date), tuple(scope), package
         self.comments: list[dict] = []
         self.styles: dict[str, str] = {}  # paragraph styles: id to name
+        self.default_style: str | None = None
         self.track = True
         self.next_id = 1 + max((int(r.id) for r in self._revs() if r.id.isdigit()), default=0)
         self.moves = 0
@@ -244,7 +274,7 @@ class Document:
     def find_paragraphs(self, contains=None, regex=None, style=None, startswith=None, ignore_case=False, include_tables=True) -> list[Paragraph]:
         low = str.lower if ignore_case else str
         pattern = re.compile(regex, re.IGNORECASE if ignore_case else 0) if regex is not None else None
-        return [p for p in self.paragraphs(include_tables) if (contains is None or low(contains) in low(p.text)) and (startswith is None or low(p.text).lstrip().startswith(low(startswith))) and (style is None or p.props.get("style") == style) and (pattern is None or pattern.search(p.text))]
+        return [p for p in self.paragraphs(include_tables) if (contains is None or low(contains) in low(p.text)) and (startswith is None or low(p.text).lstrip().startswith(low(startswith))) and (style is None or self.style_name(p) == style) and (pattern is None or pattern.search(p.text))]
 
     def find_paragraph(self, *args, **kw) -> Paragraph:
         found = self.find_paragraphs(*args, **kw)
@@ -399,7 +429,7 @@ class Document:
     def insert_paragraph(self, near: Paragraph, text: str = "", style: str | None = None, copy_format: bool = True, after: bool = True) -> Paragraph:
         blocks, i = self._home(near)
         fmt = dict(near.pieces[0].fmt) if copy_format and near.pieces else {}
-        props = deepcopy(near.props) if copy_format else {}
+        props = copied(near.props) if copy_format else {}
         if style:
             props["style"] = style
         new = Paragraph([Piece(text, (self._rev("ins"),), fmt)] if text else [], props, (self._rev("ins"),))
@@ -412,7 +442,7 @@ class Document:
         return new
 
     def delete_paragraph(self, p: Paragraph) -> None:
-        self._strike([x for x in p.pieces if x.shown], p)
+        self._strike([x for x in p.pieces if x.shown and not isinstance(x.opaque, Anchor)], p)
         if not p.going:
             p.mark = (*p.mark, self._rev("del"))
 
@@ -430,7 +460,7 @@ class Document:
             raise EditError("a paragraph can't move beside itself")
         blocks, i = self._home(target)
         clean = not source.revised and not source.mark
-        copy = Paragraph([Piece(x.text, (), dict(x.fmt), opaque=x.opaque) for x in source.pieces if x.shown], deepcopy(source.props), heading=source.heading)
+        copy = Paragraph([Piece(x.text, (), dict(x.fmt), opaque=x.opaque, wraps=x.wraps) for x in source.pieces if x.shown and not isinstance(x.opaque, Anchor)], copied(source.props), heading=source.heading)
         if not clean and not copy.text:
             raise EditError("nothing of the paragraph is left to move")
         if clean:
@@ -438,7 +468,8 @@ class Document:
             name = f"move{self.moves}"
             gone, come, gone_mark, come_mark = (self._rev(k, name) for k in ("moveFrom", "moveTo", "moveFrom", "moveTo"))
             for x in source.pieces:
-                x.revs = (gone,)
+                if not isinstance(x.opaque, Anchor):
+                    x.revs = (gone,)
             source.mark = (gone_mark,)
         else:
             self.delete_paragraph(source)
@@ -464,8 +495,8 @@ class Document:
         for k, cell in enumerate(like.cells):
             text = values[k] if k < len(values) else ""
             fmt = next((dict(x.fmt) for p in cell for x in p.pieces), {})
-            cells.append([Paragraph([Piece(text, (self._rev("ins"),), fmt)] if text else [], deepcopy(cell[0].props) if cell else {}, (self._rev("ins"),))])
-        row = Row(cells, self._rev("ins"))
+            cells.append([Paragraph([Piece(text, (self._rev("ins"),), fmt)] if text else [], copied(cell[0].props) if cell else {}, (self._rev("ins"),))])
+        row = Row(cells, self._rev("ins"), list(like.props), list(like.cell_props))
         table.rows.insert(index, row)
         return row
 
@@ -524,6 +555,14 @@ class Document:
                 return i
         raise EditError(f"there is no style {name!r}; one of {', '.join(self.style_names())}")
 
+    def style_name(self, p: Paragraph) -> str | None:
+        """The name of a paragraph's style, as it is shown; without one, the default's."""
+        own = p.props.get("style")
+        if own is None or self.styles and own not in self.styles:
+            own = self.default_style
+        name = self.styles.get(own, own)
+        return name[0].upper() + name[1:] if name and re.fullmatch("heading [1-9]|caption|header|footer", name) else name
+
     def apply_style(self, p: Paragraph, name: str) -> None:
         self.format_paragraph(p, style=self.style_id(name))
 
@@ -531,7 +570,13 @@ class Document:
 
     def comment(self, p: Paragraph, text: str, start: int | None = None, end: int | None = None, author: str | None = None, initials: str | None = None) -> dict:
         name = author or self.author
-        row = {"id": len(self.comments), "paragraph": p, "start": start, "end": end, "author": name, "initials": initials or plain.initials(name), "date": self.date, "text": text}
+        row = {"id": max((c["id"] for c in self.comments), default=-1) + 1, "paragraph": p, "start": start, "end": end, "author": name, "initials": initials or plain.initials(name), "date": self.date, "text": text}
+        first, last = (0, len(p.pieces)) if start is None else (self.split(p, start), None)
+        if last is None:
+            last = self.split(p, len(p.text) if end is None else end)
+            first = self.split(p, start)
+        p.pieces[last:last] = [Piece("", opaque=Anchor("commentRangeEnd", row["id"])), Piece("", opaque=Anchor("commentReference", row["id"]))]
+        p.pieces.insert(first, Piece("", opaque=Anchor("commentRangeStart", row["id"])))
         self.comments.append(row)
         p.comments.append(row["id"])
         return row

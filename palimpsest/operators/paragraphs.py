@@ -90,10 +90,20 @@ def render(paras: DataFrame) -> DataFrame:
     return document_text(shown.withColumn("line", line), "line", "rendered")
 
 
+#: Ways in which the rows of one text are dealt out, and its first row repeated.
+SALTS = 8
+
+
 def duplicates(paras: DataFrame) -> DataFrame:
-    """Paragraphs whose normalised text an earlier one (by document, place) has: doc_id, para_id, and the first's."""
-    key = X.normalised(F.col("text"))
-    first = F.min(F.struct("doc_id", "para_id")).alias("first")
-    keyed = paras.filter(~X.is_blank(F.col("text"))).withColumn("key", F.sha2(key.cast("binary"), 256)).select("doc_id", "para_id", "key")
-    firsts = keyed.groupBy("key").agg(first)  # a row a text, however often it occurs
-    return keyed.join(firsts, "key").filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.para_id") != F.col("para_id"))).select("doc_id", "para_id", F.col("first.doc_id").alias("first_doc"), F.col("first.para_id").alias("first_para"))
+    """Paragraphs whose normalised text an earlier one (by document, place) has: doc_id, para_id, and the first's.
+
+    A text is two hashes (128 bits). Its first row is a pre-aggregated minimum, which is
+    joined only where there are more; the rows of a text meet it in SALTS tasks.
+    """
+    filled = paras.filter(~X.is_blank(F.col("text"))).withColumn("_t", X.normalised(F.col("text")))
+    keyed = filled.select("doc_id", "para_id", F.xxhash64("_t").alias("h1"), F.xxhash64(F.lit(7), "_t").alias("h2"))
+    firsts = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "para_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    spread = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "para_id"), F.lit(SALTS)).cast("int"))
+    met = salted.join(spread, ["h1", "h2", "salt"]).filter((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.para_id") != F.col("para_id")))
+    return met.select("doc_id", "para_id", F.col("first.doc_id").alias("first_doc"), F.col("first.para_id").alias("first_para"))

@@ -57,9 +57,9 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, k, note
 """
 LABEL = r"coalesce(nullif(regexp_extract(text, '^[ \t]*(\d+(?:\.\d+)+)\.?[ \t]', 1), ''), nullif(regexp_extract(text, '^[ \t]*(\d+)\.[ \t]', 1), ''))"
 REST = r"regexp_replace(text, '^[ \t]*(?:\d+(?:\.\d+)+\.?|\d+\.)[ .\t]*', '')"
-CONTRACTS = "l AS (" + CONTRACTS_SELECT.format(orders="orders", lineitem="lineitem").strip() + ")"
-CLAUSES = CONTRACTS + f", ll AS (SELECT *, {LABEL} AS label FROM l), c AS (SELECT *, len(string_split(label, '.'))::INT AS level, {REST} AS body FROM ll WHERE label IS NOT NULL)"
-TREE = CLAUSES + """, t AS (SELECT c.*, CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN label END IGNORE NULLS) OVER w END AS parent,
+CONTRACTS = "l AS MATERIALIZED (" + CONTRACTS_SELECT.format(orders="orders", lineitem="lineitem").strip() + ")"
+CLAUSES = CONTRACTS + f", ll AS (SELECT *, {LABEL} AS label FROM l), c AS MATERIALIZED (SELECT *, len(string_split(label, '.'))::INT AS level, {REST} AS body FROM ll WHERE label IS NOT NULL)"
+TREE = CLAUSES + """, t AS MATERIALIZED (SELECT c.*, CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN label END IGNORE NULLS) OVER w END AS parent,
   CASE WHEN level = 2 THEN last_value(CASE WHEN level = 1 THEN para_id END IGNORE NULLS) OVER w END AS parent_id FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY para_id ROWS UNBOUNDED PRECEDING))"""
 TITLE = "CASE WHEN length(trim(split_part(body, '.', 1))) BETWEEN 1 AND 80 THEN trim(split_part(body, '.', 1)) ELSE trim(substr(body, 1, 60)) END"
 #: A clause goes in the renumbering queries if its part's number, which ends the title, ends with 3.
@@ -111,13 +111,15 @@ def actions(spark: SparkSession, sf: str) -> DataFrame:
 ACTIONS_SELECT = """
 SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS seq,
   concat('AI-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
-  CASE l_partkey % 6 WHEN 0 THEN 'replace_text' WHEN 1 THEN 'delete_text' WHEN 2 THEN 'rewrite_clause' WHEN 3 THEN 'delete_clause' WHEN 4 THEN 'comment' ELSE 'shred_clause' END AS type,
+  CASE l_partkey % 6 WHEN 0 THEN 'replace_text' WHEN 1 THEN 'delete_text' WHEN 2 THEN 'rewrite_clause' WHEN 3 THEN 'delete_clause' WHEN 4 THEN 'comment' ELSE CASE l_suppkey % 3 WHEN 0 THEN 'insert_clause' WHEN 1 THEN 'delete_section' ELSE 'shred_clause' END END AS type,
   'because' AS rationale,
   CASE l_suppkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity,
-  CASE WHEN l_linenumber % 3 > 0 THEN concat(CAST(l_linenumber AS STRING), '.', CAST(l_partkey % 4 + 1 AS STRING)) END AS clause,
+  CASE WHEN l_linenumber % 3 > 0 AND (l_partkey % 6 < 5 OR l_suppkey % 3 = 2) THEN concat(CAST(l_linenumber AS STRING), '.', CAST(l_partkey % 4 + 1 AS STRING)) END AS clause,
+  CASE WHEN l_partkey % 6 = 5 AND l_suppkey % 3 = 1 AND l_linenumber % 5 > 0 THEN CAST(l_linenumber AS STRING) END AS section,
+  CASE WHEN l_partkey % 6 = 5 AND l_suppkey % 3 = 0 AND l_linenumber % 4 > 0 THEN concat(CAST(l_linenumber AS STRING), '.', CAST(l_partkey % 4 + 1 AS STRING)) END AS after_clause,
   CASE WHEN l_partkey % 6 < 2 THEN concat('part ', CAST(l_partkey % 50 AS STRING)) END AS find,
   CASE WHEN l_partkey % 6 = 0 AND l_suppkey % 5 > 0 THEN 'goods' END AS replace,
-  CASE WHEN l_partkey % 6 IN (2, 4) THEN 'as agreed' END AS text
+  CASE WHEN l_partkey % 6 IN (2, 4) OR l_partkey % 6 = 5 AND l_suppkey % 3 = 0 THEN 'as agreed' END AS text
 FROM {lineitem} l JOIN {orders} o ON l_orderkey = o_orderkey
 """
 ACTIONS = "a AS (" + ACTIONS_SELECT.format(orders="orders", lineitem="lineitem").strip() + ")"
@@ -131,10 +133,10 @@ def edits(spark: SparkSession, sf: str) -> DataFrame:
     return items.select(F.col("o_custkey").alias("doc_id"), (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 60).cast("int").alias("para_id"), target.alias("target"), (F.col("l_linenumber") % 4).alias("occurrence"))
 
 
-EDITS = """e AS (SELECT o_custkey AS doc_id, l_orderkey * 10000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS seq, (l_suppkey % 60)::INT AS para_id,
+EDITS = """e AS MATERIALIZED (SELECT o_custkey AS doc_id, l_orderkey * 10000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber AS seq, (l_suppkey % 60)::INT AS para_id,
   CASE l_partkey % 7 WHEN 0 THEN '  ' WHEN 1 THEN 'part ' || l_partkey WHEN 2 THEN '. ' WHEN 3 THEN 'Fees follow Section' ELSE 's' END AS target, l_linenumber % 4 AS occurrence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-HITS = """h AS (SELECT e.*, text, CASE WHEN text IS NULL THEN NULL ELSE list_filter(generate_series(0, length(text) - length(target)), lambda i: substr(text, (i + 1)::BIGINT, length(target)) = target) END AS hits
+HITS = """h AS MATERIALIZED (SELECT e.*, text, CASE WHEN text IS NULL THEN NULL ELSE list_filter(generate_series(0, length(text) - length(target)), lambda i: substr(text, (i + 1)::BIGINT, length(target)) = target) END AS hits
   FROM e LEFT JOIN l USING (doc_id, para_id))"""
 VERDICT = """CASE WHEN trim(target) = '' THEN 'empty_target' WHEN text IS NULL THEN 'paragraph_not_found' WHEN len(hits) = 0 OR occurrence > len(hits) THEN 'target_not_found'
   WHEN occurrence = 1 AND len(hits) > 1 AND length(target) < 25 THEN 'target_ambiguous' END"""
@@ -216,24 +218,24 @@ def q09b(spark, sf):
 _LEFT = TREE + f", x AS (SELECT *, {TITLE} AS title FROM t), g AS (SELECT * FROM x WHERE NOT ({GOES})), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY para_id)::INT AS place FROM g), n AS (SELECT s.*, CASE WHEN s.parent_id IS NULL THEN s.place::VARCHAR ELSE u.place || '.' || s.place END AS new_label FROM s LEFT JOIN s u ON u.doc_id = s.doc_id AND u.para_id = s.parent_id)"
 
 
-def left_tree(spark, sf):
-    return tree(spark, sf).filter(f"NOT ({GOES})")
+def left(spark, sf):
+    return clauses(spark, sf).filter(f"NOT ({GOES})")
 
 
 @query("q10_renumber", f"WITH {_LEFT} SELECT doc_id, label AS old_label, arg_max(new_label, para_id) AS new_label FROM n WHERE label <> new_label GROUP BY doc_id, label")
 def q10(spark, sf):
-    return C.mapping(C.renumber(left_tree(spark, sf)))
+    return C.mapping(C.renumber(left(spark, sf)))
 
 
 @query("q11_numbering_gaps", f"WITH {_LEFT} SELECT doc_id, para_id, label, place FROM s WHERE split_part(label, '.', level)::INT <> place")
 def q11(spark, sf):
-    return C.gaps(left_tree(spark, sf)).select("doc_id", "para_id", "label", "place")
+    return C.gaps(C.tree(left(spark, sf))).select("doc_id", "para_id", "label", "place")
 
 
 _REFS = r", rm AS (SELECT doc_id, para_id, regexp_extract(text, 'Section (\d+\.\d+) and (\d+)', ['a', 'b']) AS m FROM l WHERE contains(text, 'Section ')), rr AS (SELECT doc_id, para_id, unnest([m.a, m.b]) AS number FROM rm)"
 
 
-@query("q12_references", f"WITH {CLAUSES}{_REFS} SELECT doc_id, para_id, number, NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = rr.doc_id AND c.label = rr.number) AS broken FROM rr")
+@query("q12_references", f"WITH {CLAUSES}{_REFS} SELECT rr.doc_id, para_id, rr.number, own.number IS NULL AS broken FROM rr LEFT JOIN (SELECT DISTINCT doc_id, label AS number FROM c) own ON own.doc_id = rr.doc_id AND own.number = rr.number")
 def q12(spark, sf):
     refs = C.references(contracts(spark, sf)).select("doc_id", "para_id", "number")
     own = clauses(spark, sf).select("doc_id", F.col("label").alias("number")).distinct().withColumn("_there", F.lit(True))
@@ -242,9 +244,8 @@ def q12(spark, sf):
 
 @query("q12b_rewrite_references", f"WITH {_LEFT}{_REFS}, mp AS (SELECT doc_id, label AS number, arg_max(new_label, para_id) AS new_label FROM n WHERE label <> new_label GROUP BY doc_id, label), go AS (SELECT DISTINCT doc_id, label AS number FROM x WHERE {GOES}) SELECT rr.doc_id, para_id, rr.number, CASE WHEN go.number IS NOT NULL THEN 'dangling' WHEN new_label <> rr.number THEN 'rewritten' ELSE 'kept' END AS fate, CASE WHEN go.number IS NULL THEN new_label END AS new_number FROM rr LEFT JOIN go USING (doc_id, number) LEFT JOIN mp USING (doc_id, number)")
 def q12b(spark, sf):
-    whole = tree(spark, sf)
     refs = C.references(contracts(spark, sf)).select("doc_id", "para_id", "number")
-    return C.rewrite_references(refs, C.mapping(C.renumber(whole.filter(f"NOT ({GOES})"))), whole.filter(GOES))
+    return C.rewrite_references(refs, C.mapping(C.renumber(left(spark, sf))), clauses(spark, sf).filter(GOES))
 
 
 @query("q13_carried_labels", f"WITH {CONTRACTS}, ll AS (SELECT *, {LABEL} AS label FROM l) SELECT doc_id, para_id, last_value(label IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY para_id ROWS UNBOUNDED PRECEDING) AS clause FROM ll")
@@ -327,15 +328,15 @@ def q24(spark, sf):
     return E.locate(edits(spark, sf), contracts(spark, sf)).select("doc_id", "seq", "para_id", "rejection", F.size("spans").alias("n_spans"))
 
 
-@query("q25_action_problems", f"WITH {ACTIONS}, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY seq) AS k FROM a) SELECT doc_id, seq, 'unknown type ' || type AS problem FROM d WHERE type = 'shred_clause' UNION ALL SELECT doc_id, seq, 'missing replace' FROM d WHERE type = 'replace_text' AND replace IS NULL UNION ALL SELECT doc_id, seq, 'missing clause' FROM d WHERE type IN ('rewrite_clause', 'delete_clause') AND clause IS NULL UNION ALL SELECT doc_id, seq, 'duplicate id' FROM d WHERE k > 1 UNION ALL SELECT doc_id, seq, 'unexpected all' FROM d WHERE type IN ('rewrite_clause', 'delete_clause', 'comment') UNION ALL SELECT doc_id, seq, 'unexpected regex' FROM d WHERE type IN ('rewrite_clause', 'delete_clause', 'comment')")
+@query("q25_action_problems", f"WITH {ACTIONS}, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY seq) AS k FROM a) SELECT doc_id, seq, 'unknown type ' || type AS problem FROM d WHERE type = 'shred_clause' UNION ALL SELECT doc_id, seq, 'missing replace' FROM d WHERE type = 'replace_text' AND replace IS NULL UNION ALL SELECT doc_id, seq, 'missing clause' FROM d WHERE type IN ('rewrite_clause', 'delete_clause') AND clause IS NULL UNION ALL SELECT doc_id, seq, 'duplicate id' FROM d WHERE k > 1 UNION ALL SELECT doc_id, seq, 'unexpected all' FROM d WHERE type IN ('rewrite_clause', 'delete_clause', 'comment', 'insert_clause', 'delete_section') UNION ALL SELECT doc_id, seq, 'unexpected regex' FROM d WHERE type IN ('rewrite_clause', 'delete_clause', 'comment', 'insert_clause', 'delete_section') UNION ALL SELECT doc_id, seq, 'missing section' FROM d WHERE type = 'delete_section' AND section IS NULL UNION ALL SELECT doc_id, seq, 'missing placement' FROM d WHERE type = 'insert_clause' AND after_clause IS NULL")
 def q25(spark, sf):
     return A.problems(actions(spark, sf))
 
 
-_POSITION = "CASE WHEN clause IS NULL THEN [9999] ELSE list_transform(string_split(clause, '.'), lambda x: x::INT) END"
+_POSITION = "CASE WHEN coalesce(clause, section) IS NULL THEN [9999] ELSE list_transform(string_split(coalesce(clause, section), '.'), lambda x: x::INT) END"
 
 
-@query("q26_execution_order", f"WITH {ACTIONS} SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY CASE type WHEN 'delete_clause' THEN 1 WHEN 'comment' THEN 2 ELSE 0 END, CASE type WHEN 'delete_clause' THEN 1 ELSE 0 END, {_POSITION}, seq)::INT AS place FROM a")
+@query("q26_execution_order", f"WITH {ACTIONS} SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN type IN ('delete_clause', 'delete_section', 'insert_clause') THEN 1 WHEN type = 'comment' THEN 2 ELSE 0 END, CASE type WHEN 'delete_clause' THEN 1 WHEN 'insert_clause' THEN 6 ELSE 0 END, {_POSITION}, seq)::INT AS place FROM a")
 def q26(spark, sf):
     return A.execution_order(actions(spark, sf)).select("doc_id", "seq", "place")
 
@@ -345,12 +346,12 @@ def q27(spark, sf):
     return A.cap(actions(spark, sf), 5).select("doc_id", "seq", "outcome")
 
 
-@query("q28_dedupe", f"WITH {ACTIONS} SELECT doc_id, seq, min(seq) OVER (PARTITION BY doc_id, type, clause, find, replace, text) AS winner FROM a")
+@query("q28_dedupe", f"WITH {ACTIONS} SELECT doc_id, seq, min(seq) OVER (PARTITION BY doc_id, type, clause, section, after_clause, find, replace, text) AS winner FROM a")
 def q28(spark, sf):
     return A.dedupe(actions(spark, sf)).select("doc_id", "seq", "winner")
 
 
-@query("q29_preflight", f"WITH {CLAUSES}, {ACTIONS}, o AS (SELECT doc_id, label, any_value(text) AS own FROM c GROUP BY doc_id, label), n AS (SELECT a.doc_id, a.seq, count(*) AS n FROM a JOIN l ON l.doc_id = a.doc_id AND contains(l.text, a.find) WHERE a.clause IS NULL GROUP BY a.doc_id, a.seq) SELECT a.doc_id, a.seq, CASE WHEN clause IS NOT NULL AND own IS NULL THEN 'no such clause' WHEN clause IS NOT NULL AND find IS NOT NULL AND NOT contains(own, find) THEN 'quote not in clause' WHEN clause IS NULL AND find IS NOT NULL AND n IS NULL THEN 'quote not found' WHEN clause IS NULL AND find IS NOT NULL AND n > 1 THEN 'quote in several paragraphs' END AS problem FROM a LEFT JOIN o ON o.doc_id = a.doc_id AND o.label = a.clause LEFT JOIN n ON n.doc_id = a.doc_id AND n.seq = a.seq")
+@query("q29_preflight", f"WITH {CLAUSES}, {ACTIONS}, o AS (SELECT doc_id, label, any_value(text) AS own FROM c GROUP BY doc_id, label), n AS (SELECT a.doc_id, a.seq, count(*) AS n FROM a JOIN l ON l.doc_id = a.doc_id AND contains(l.text, a.find) WHERE a.clause IS NULL GROUP BY a.doc_id, a.seq) SELECT a.doc_id, a.seq, CASE WHEN clause IS NOT NULL AND o.own IS NULL OR section IS NOT NULL AND s.label IS NULL OR after_clause IS NOT NULL AND f.label IS NULL THEN 'no such clause' WHEN clause IS NOT NULL AND find IS NOT NULL AND NOT contains(o.own, find) THEN 'quote not in clause' WHEN clause IS NULL AND find IS NOT NULL AND n IS NULL THEN 'quote not found' WHEN clause IS NULL AND find IS NOT NULL AND n > 1 THEN 'quote in several paragraphs' END AS problem FROM a LEFT JOIN o ON o.doc_id = a.doc_id AND o.label = a.clause LEFT JOIN o s ON s.doc_id = a.doc_id AND s.label = a.section LEFT JOIN o f ON f.doc_id = a.doc_id AND f.label = a.after_clause LEFT JOIN n ON n.doc_id = a.doc_id AND n.seq = a.seq")
 def q29(spark, sf):
     return A.preflight(actions(spark, sf), clauses(spark, sf), contracts(spark, sf)).select("doc_id", "seq", "problem")
 
@@ -420,31 +421,52 @@ def q35(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.round(arrow.similarity("text", "next"), 6).alias("similarity"))
 
 
-@query("q36_fewest_moves")
+@query("q36_fewest_moves", "WITH RECURSIVE p AS (SELECT l_orderkey, l_partkey AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), r AS (SELECT l_orderkey, i, v, 1 AS rising FROM p UNION SELECT p.l_orderkey, p.i, p.v, r.rising + 1 FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.i > r.i AND p.v > r.v) SELECT l_orderkey, any_value(n)::INT AS n, (any_value(n) - max(rising))::INT AS moves FROM r JOIN (SELECT DISTINCT l_orderkey, n FROM p) USING (l_orderkey) GROUP BY l_orderkey")
 def q36(spark, sf):
     """Order lines that must move so that each order's parts rise; the rest stays."""
     parts = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_partkey"].cast("int")).alias("parts"))
     return parts.select("l_orderkey", F.size("parts").alias("n"), (F.size("parts") - F.size(arrow.longest_rising("parts"))).alias("moves"))
 
 
-@query("q37_apply_edits")
+@query("q37_apply_edits", f"""WITH RECURSIVE {CONTRACTS}, {EDITS}, {HITS}, v AS MATERIALIZED (SELECT *, {VERDICT} AS rejection FROM h),
+  s AS MATERIALIZED (SELECT doc_id, para_id, seq, row_number() OVER (PARTITION BY doc_id, para_id ORDER BY seq) AS k, list_transform(CASE WHEN occurrence = 0 THEN hits ELSE [hits[occurrence]] END, lambda x: {{'s': x::BIGINT, 'e': (x + length(target))::BIGINT}}) AS spans FROM v WHERE rejection IS NULL),
+  f AS (SELECT doc_id, para_id, 1::BIGINT AS k, spans AS claims, 1 AS applied, 0 AS conflicts FROM s WHERE k = 1
+    UNION ALL SELECT doc_id, para_id, k, CASE WHEN clash THEN claims ELSE list_concat(claims, spans) END, CASE WHEN clash THEN applied ELSE applied + 1 END, CASE WHEN clash THEN conflicts + 1 ELSE conflicts END FROM (
+      SELECT f.doc_id, f.para_id, s.k, claims, spans, applied, conflicts, len(list_filter(spans, lambda x: len(list_filter(claims, lambda c: x.s < c.e AND c.s < x.e)) > 0)) > 0 AS clash FROM f JOIN s ON s.doc_id = f.doc_id AND s.para_id = f.para_id AND s.k = f.k + 1)),
+  z AS (SELECT doc_id, para_id, max(k) AS k, arg_max(claims, k) AS claims, arg_max(applied, k) AS applied, arg_max(conflicts, k) AS conflicts FROM f GROUP BY doc_id, para_id),
+  u AS (SELECT doc_id, para_id, unnest(claims) AS c FROM z), g AS (SELECT doc_id, para_id, c.s AS s, c.e AS e, coalesce(lag(c.e) OVER (PARTITION BY doc_id, para_id ORDER BY c.s), 0) AS was FROM u),
+  t AS (SELECT doc_id, para_id, string_agg(substr(text, was + 1, s - was) || '[x]', '' ORDER BY s) || any_value(substr(text, top + 1)) AS accepted FROM (SELECT g.*, text, max(e) OVER (PARTITION BY doc_id, para_id) AS top FROM g JOIN l USING (doc_id, para_id)) GROUP BY doc_id, para_id)
+  SELECT doc_id, para_id, applied, conflicts, md5(accepted) AS accepted_md5 FROM z JOIN t USING (doc_id, para_id)""")
 def q37(spark, sf):
     """Quoted edits of all contracts, claimed in order of arrival and applied."""
-    found = E.locate(edits(spark, sf).withColumn("replacement", F.lit("[x]")), contracts(spark, sf))
-    out = E.apply(found, contracts(spark, sf))
+    out = E.apply(E.locate(edits(spark, sf).withColumn("replacement", F.lit("[x]")), contracts(spark, sf)))
     return out.select("doc_id", "para_id", F.size("applied").alias("applied"), F.size("conflicts").alias("conflicts"), F.md5(F.col("accepted").cast("binary")).alias("accepted_md5"))
 
 
-@query("q38_conflicts")
+#: Items of a known type that have what it needs.
+_COMPLETE = "type <> 'shred_clause' AND (type NOT IN ('rewrite_clause', 'delete_clause') OR clause IS NOT NULL) AND (type <> 'delete_section' OR section IS NOT NULL)"
+
+
+@query("q38_conflicts", f"""WITH RECURSIVE {ACTIONS}, i AS MATERIALIZED (SELECT *, list_filter([clause, section, after_clause], lambda x: x IS NOT NULL) AS targets, coalesce(clause, section) AS own,
+    type IN ('delete_clause', 'delete_section', 'insert_clause') AS structural, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END DESC, seq) AS k FROM a WHERE {_COMPLETE}),
+  f AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0 AS seq, false AS bad, []::VARCHAR[] AS gone, []::VARCHAR[] AS claimed, []::VARCHAR[] AS rewritten, []::STRUCT(own VARCHAR, find VARCHAR)[] AS quotes FROM i
+    UNION ALL SELECT doc_id, k, seq, bad, CASE WHEN NOT bad AND type IN ('delete_clause', 'delete_section') THEN list_append(gone, own) ELSE gone END,
+      CASE WHEN NOT bad AND structural THEN list_concat(claimed, targets) ELSE claimed END, CASE WHEN NOT bad AND type = 'rewrite_clause' THEN list_append(rewritten, own) ELSE rewritten END,
+      CASE WHEN NOT bad AND type IN ('replace_text', 'delete_text') AND own IS NOT NULL THEN list_append(quotes, {{'own': own, 'find': find}}) ELSE quotes END
+    FROM (SELECT i.*, f.gone, f.claimed, f.rewritten, f.quotes, len(list_filter(targets, lambda t: len(list_filter(gone, lambda d: t = d OR starts_with(t, d || '.'))) > 0)) > 0
+      OR structural AND list_has_any(claimed, targets) OR NOT structural AND type <> 'comment' AND coalesce(list_contains(rewritten, own), false)
+      OR type IN ('replace_text', 'delete_text') AND len(list_filter(quotes, lambda q: q.own = i.own AND (contains(q.find, i.find) OR contains(i.find, q.find)))) > 0 AS bad
+      FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k + 1))
+  SELECT doc_id, seq, CASE WHEN bad THEN 'conflict' ELSE 'kept' END AS outcome FROM f WHERE k > 0""")
 def q38(spark, sf):
     """The claim rules over all plans whose items are of a known type and complete."""
     from .merge import resolve_conflicts
 
-    good = actions(spark, sf).filter("type <> 'shred_clause' AND (type NOT IN ('rewrite_clause', 'delete_clause') OR clause IS NOT NULL)")
-    return resolve_conflicts(good.select("doc_id", "seq", "id", "type", "severity", "clause", "find", "text")).select("doc_id", "seq", "outcome")
+    good = actions(spark, sf).filter(_COMPLETE)
+    return resolve_conflicts(good.select("doc_id", "seq", "id", "type", "severity", "clause", "section", "after_clause", "find", "text")).select("doc_id", "seq", "outcome")
 
 
-@query("q39_round_trip")
+@query("q39_round_trip", f"WITH {CONTRACTS}, n AS (SELECT doc_id, sum(len(string_split(text, 'days')) - 1) AS days, sum(len(string_split(text, 'Note: ')) - 1) AS notes FROM l GROUP BY doc_id) SELECT doc_id, (days + notes)::INT AS edits, (2 * days + notes)::INT AS revisions, true AS accepts, true AS rejects FROM n")
 def q39(spark, sf):
     """Each contract as a package: written, edited, written and read again; then both ways resolved."""
     import pandas as pd

@@ -37,7 +37,8 @@ def inside(label: str | None, others: set[str]) -> bool:
 
 
 def position(item: dict) -> tuple[int, ...]:
-    label = next((item[k] for k in TARGETS if item.get(k)), "")
+    """Of its clause or section; what has but an anchor beside it, or none, comes last."""
+    label = str(item.get("clause") or item.get("section") or "")
     return tuple(map(int, label.split("."))) if label and all(x.isdigit() for x in label.split(".")) else (9999,)
 
 
@@ -121,7 +122,7 @@ def conflicts(items: list[dict], report: Report) -> list[dict]:
             return claims["rewrite", own], "the clause is rewritten as a whole"
         if kind == "insert_text":
             return claims.get(place(x)), "another insertion has this place"
-        if kind in ("replace_text", "delete_text") and own:
+        if kind in ("replace_text", "delete_text") and own and x.get("find"):
             clash = next((o for o in quotes.get(own, ()) if o["find"] in x["find"] or x["find"] in o["find"]), None)
             return clash, "its quote overlaps another's"
         return None, ""
@@ -145,7 +146,7 @@ def conflicts(items: list[dict], report: Report) -> list[dict]:
             claims["rewrite", own] = x
         elif kind == "insert_text":
             claims[place(x)] = x
-        elif kind in ("replace_text", "delete_text") and own:
+        elif kind in ("replace_text", "delete_text") and own and x.get("find"):
             quotes.setdefault(own, []).append(x)
     return [x for i, x in enumerate(items) if i in kept]
 

@@ -134,3 +134,20 @@ def action_json_schema(nullable: str = "inline") -> dict:
         fields[f.name] = one
     item = {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
     return {"type": "object", "properties": {"summary": {"type": "string"}, "action_items": {"type": "array", "items": item}}, "required": ["summary", "action_items"], "additionalProperties": False}
+
+
+def triage_json_schema() -> dict:
+    """JSON Schema of an engine's choice among a document's segments."""
+    words = {"type": "array", "items": {"type": "string"}}
+    one = {"segment": {"type": "string"}, "priority": {"type": "string", "enum": ["deep", "scan", "skip"]}, "reason": {"type": "string"}, "focus": words}
+    item = {"type": "object", "properties": one, "required": list(one), "additionalProperties": False}
+    return {"type": "object", "properties": {"notes": {"type": "string"}, "selections": {"type": "array", "items": item}}, "required": ["selections", "notes"], "additionalProperties": False}
+
+
+def output_form(name: str, description: str, schema: dict, style: str = "tool") -> dict:
+    """A schema as engines want it: "tool" is a forced tool's description, "text" a format of the reply's text."""
+    if style == "tool":
+        return {"name": name, "description": description, "strict": True, "input_schema": schema}
+    if style == "text":
+        return {"format": {"type": "json_schema", "name": name, "description": description, "strict": True, "schema": schema}}
+    raise ValueError(f"style must be 'tool' or 'text', not {style!r}")

@@ -1,8 +1,10 @@
 """Word packages to documents and back, with the standard library alone.
 
-Reading keeps each part's bytes; writing replaces the stories' blocks in the parts
-they came from and leaves all other parts as they are. Properties that the model
-doesn't know are kept as elements.
+Writing goes through the parts that were read and changes what the document has
+changed: a part without a change keeps its bytes, a paragraph without one its element.
+Of a changed paragraph, the properties' elements are kept and only those that an edit
+sets are written, in the schema's order; links and controls around its runs, range
+ends and what isn't text stay where they are.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import zipfile
 from copy import deepcopy
 from xml.etree import ElementTree as ET
 
-from ..operators.document import Document, Paragraph, Piece, Rev, Row, Table
+from ..operators.document import Anchor, Document, Paragraph, Piece, Rev, Row, Table, Wrap
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 REL = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -21,12 +23,23 @@ TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
 XML_SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 for _prefix, _uri in (("w", W), ("r", OFFICE_REL), ("wp", "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"), ("a", "http://schemas.openxmlformats.org/drawingml/2006/main"), ("mc", "http://schemas.openxmlformats.org/markup-compatibility/2006"), ("w14", "http://schemas.microsoft.com/office/word/2010/wordml")):
     ET.register_namespace(_prefix, _uri)
-#: Wrappers whose runs are the paragraph's own; any other hides its runs.
-TRANSPARENT = ("ins", "moveTo", "hyperlink", "smartTag", "sdt", "sdtContent", "customXml", "bdo", "dir")
-REVISED = {"ins": "ins", "del": "del", "moveFrom": "moveFrom", "moveTo": "moveTo"}
-#: Order of a run's and a paragraph's properties in the schema, as far as they are written here.
-RUN_ORDER = ("rStyle", "rFonts", "b", "i", "strike", "color", "sz", "highlight", "u", "rPrChange")
-MISSING = object()
+#: Elements around runs that are the paragraph's own, and around blocks.
+WRAPPERS = ("hyperlink", "smartTag", "sdt", "sdtContent", "customXml", "bdo", "dir")
+AROUND_BLOCKS = ("sdt", "sdtContent", "customXml", "ins", "moveTo")
+REVISED = ("ins", "del", "moveFrom", "moveTo")
+RANGES = ("commentRangeStart", "commentRangeEnd", "bookmarkStart", "bookmarkEnd", "permStart", "permEnd")
+#: Order of a run's and a paragraph's properties (fixed values of the format's schema).
+RUN_ORDER = (
+    "ins del moveFrom moveTo rStyle rFonts b bCs i iCs caps smallCaps strike dstrike outline shadow emboss imprint noProof snapToGrid vanish webHidden color spacing w kern position "
+    "sz szCs highlight u effect bdr shd fitText vertAlign rtl cs em lang eastAsianLayout specVanish oMath rPrChange"
+).split()
+PARAGRAPH_ORDER = (
+    "pStyle keepNext keepLines pageBreakBefore framePr widowControl numPr suppressLineNumbers pBdr shd tabs suppressAutoHyphens kinsoku wordWrap overflowPunct topLinePunct autoSpaceDE autoSpaceDN "
+    "bidi adjustRightInd snapToGrid spacing ind contextualSpacing mirrorIndents suppressOverlap jc textDirection textAlignment textboxTightWrap outlineLvl divId cnfStyle rPr sectPr pPrChange"
+).split()
+FLAGS = {"b": "bold", "i": "italic", "strike": "strike"}
+#: Points a property's unit: element, attribute, twentieths.
+LENGTHS = {"space_before": ("spacing", "before"), "space_after": ("spacing", "after"), "left_indent": ("ind", "left"), "right_indent": ("ind", "right")}
 
 
 def q(name: str) -> str:
@@ -49,47 +62,206 @@ def _rev(el: ET.Element, kind: str, move: str | None = None) -> Rev:
     return Rev(kind, _value(el, "id") or "", _value(el, "author") or "", _value(el, "date") or "", move)
 
 
-# -- reading ------------------------------------------------------------------------
+# -- properties ------------------------------------------------------------------------
 
 
-def read_run_props(rpr: ET.Element | None) -> dict:
+def known_run_props(rpr: ET.Element) -> dict:
+    """What the model knows of a run's properties."""
     out: dict = {}
-    for el in rpr if rpr is not None else ():
+    for el in rpr:
         name = local(el)
-        if name in ("b", "i", "strike"):
-            out[{"b": "bold", "i": "italic", "strike": "strike"}[name]] = _on(el)
+        if name in FLAGS:
+            out[FLAGS[name]] = _on(el)
         elif name == "u":
             out["underline"] = _value(el) not in (None, "none")
         elif name in ("color", "highlight"):
             out[name] = _value(el)
         elif name == "sz":
             out["size"] = int(_value(el) or 0) / 2
-        elif name == "rFonts":
+        elif name == "rFonts" and _value(el, "ascii"):
             out["font"] = _value(el, "ascii")
-        elif name not in ("rPrChange", "ins", "del", "moveFrom", "moveTo"):
-            out.setdefault("_raw", []).append(ET.tostring(el, "unicode"))
     return out
 
 
-def read_paragraph_props(ppr: ET.Element | None) -> dict:
+def read_run_props(rpr: ET.Element | None) -> dict:
+    """The known properties, and the element itself without its record of a change."""
+    if rpr is None:
+        return {}
+    whole = _without(rpr, ("rPrChange", *REVISED))
+    return {**known_run_props(whole), "_xml": ET.tostring(whole, "unicode")} if len(whole) else {}
+
+
+def _without(el: ET.Element, names: tuple[str, ...]) -> ET.Element:
+    out = ET.Element(el.tag, el.attrib)
+    out.extend(x for x in el if local(x) not in names)
+    return out
+
+
+def known_paragraph_props(ppr: ET.Element) -> dict:
     out: dict = {}
-    for el in ppr if ppr is not None else ():
+    for el in ppr:
         name = local(el)
         if name == "pStyle":
             out["style"] = _value(el)
         elif name == "jc":
             out["alignment"] = {"both": "JUSTIFY", "start": "LEFT", "end": "RIGHT"}.get(_value(el) or "", (_value(el) or "").upper())
-        elif name == "spacing":
-            for key, attr in (("space_before", "before"), ("space_after", "after")):
-                if _value(el, attr) is not None:
-                    out[key] = int(_value(el, attr)) / 20
-        elif name not in ("rPr", "pPrChange", "sectPr"):
-            out.setdefault("_raw", []).append(ET.tostring(el, "unicode"))
-        elif name == "sectPr":
-            out["_section"] = ET.tostring(el, "unicode")
+        elif name == "keepNext":
+            out["keep_with_next"] = _on(el)
+        elif name in ("spacing", "ind"):
+            for key, (tag, attr) in LENGTHS.items():
+                at = _value(el, attr) or _value(el, {"left": "start", "right": "end"}.get(attr, attr))
+                if tag == name and at is not None and at.lstrip("-").isdigit():
+                    out[key] = int(at) / 20
+            if name == "spacing" and (_value(el, "line") or "").isdigit() and _value(el, "lineRule") in (None, "auto"):
+                out["line_spacing"] = int(_value(el, "line")) / 240
+            first, hanging = _value(el, "firstLine") or "", _value(el, "hanging") or ""
+            if name == "ind" and (first + hanging).isdigit():
+                out["first_line_indent"] = -int(hanging) / 20 if hanging else int(first) / 20
+    return out
+
+
+def read_paragraph_props(ppr: ET.Element | None) -> dict:
+    """The known properties, a section's end, and the element itself without it, changes and the mark's revisions."""
+    if ppr is None:
+        return {}
+    whole, out = _without(ppr, ("pPrChange", "sectPr", "rPr")), {}
+    mark = ppr.find(q("rPr"))
+    if mark is not None and len(kept := _without(mark, REVISED)):
+        whole.append(kept)
+    if len(whole):
+        out = {**known_paragraph_props(whole), "_xml": ET.tostring(whole, "unicode")}
+    section = ppr.find(q("sectPr"))
+    if section is not None:
+        out["_section"] = ET.tostring(section, "unicode")
+    return out
+
+
+def _put(parent: ET.Element, child: ET.Element, order: list[str]) -> ET.Element:
+    """In the place of the same element, or where the schema wants it."""
+    place = {n: i for i, n in enumerate(order)}
+    mine = place.get(local(child), len(order))
+    for i, x in enumerate(parent):
+        if x.tag == child.tag:
+            parent[i] = child
+            return child
+        if place.get(local(x), len(order)) > mine:
+            parent.insert(i, child)
+            return child
+    parent.append(child)
+    return child
+
+
+def _drop(parent: ET.Element, name: str) -> None:
+    for x in parent.findall(q(name)):
+        parent.remove(x)
+
+
+def _own(parent: ET.Element, name: str) -> ET.Element:
+    """A copy of the parent's element of that name, or a new one."""
+    found = parent.find(q(name))
+    return deepcopy(found) if found is not None else _el(name)
+
+
+def _el(tag: str, /, **attrs) -> ET.Element:
+    out = ET.Element(q(tag))
+    for k, v in attrs.items():
+        if v is not None:
+            out.set(q(k), str(v))
     return out
 
 
+def _stamp(name: str, rev: Rev) -> ET.Element:
+    return _el(name, id=rev.id, author=rev.author, date=rev.date)
+
+
+def run_props(fmt: dict, old: dict | None = None, rev: Rev | None = None) -> ET.Element | None:
+    """The element as it was read, with what the format says otherwise."""
+    out = ET.fromstring(fmt["_xml"]) if fmt.get("_xml") else _el("rPr")
+    was = known_run_props(out)
+    tags = {v: k for k, v in FLAGS.items()} | {"underline": "u", "color": "color", "highlight": "highlight", "size": "sz", "font": "rFonts"}
+    for key, tag in tags.items():
+        value = fmt.get(key)
+        if value == was.get(key):
+            continue
+        if value is None or value == "":
+            _drop(out, tag)
+        elif key == "font":
+            fonts = _own(out, tag)
+            for attr in ("ascii", "hAnsi"):
+                fonts.set(q(attr), value)
+            _put(out, fonts, RUN_ORDER)
+        elif key == "underline":
+            _put(out, _el(tag, val="single" if value else "none"), RUN_ORDER)
+        elif key == "size":
+            _put(out, _el(tag, val=round(value * 2)), RUN_ORDER)
+        elif key in ("color", "highlight"):
+            _put(out, _el(tag, val=value), RUN_ORDER)
+        else:
+            _put(out, _el(tag) if value else _el(tag, val="0"), RUN_ORDER)
+    if rev is not None:
+        change = _stamp("rPrChange", rev)
+        before = run_props(old or {})
+        change.append(before if before is not None else _el("rPr"))
+        out.append(change)
+    return out if len(out) else None
+
+
+def _basic_props(props: dict) -> ET.Element:
+    out = ET.fromstring(props["_xml"]) if props.get("_xml") else _el("pPr")
+    was = known_paragraph_props(out)
+    changed = lambda k: props.get(k) != was.get(k)
+    if changed("style"):
+        _put(out, _el("pStyle", val=props["style"]), PARAGRAPH_ORDER) if props.get("style") else _drop(out, "pStyle")
+    if changed("keep_with_next"):
+        value = props.get("keep_with_next")
+        _drop(out, "keepNext") if value is None else _put(out, _el("keepNext") if value else _el("keepNext", val="0"), PARAGRAPH_ORDER)
+    for key, (tag, attr) in LENGTHS.items():
+        if changed(key):
+            _attribute(out, tag, attr, None if props.get(key) is None else round(props[key] * 20))
+    if changed("line_spacing"):
+        value = props.get("line_spacing")
+        _attribute(out, "spacing", "line", None if value is None else round(value * 240))
+        _attribute(out, "spacing", "lineRule", None if value is None else "auto")
+    if changed("first_line_indent"):
+        value = props.get("first_line_indent")
+        _attribute(out, "ind", "firstLine", None if value is None or value < 0 else round(value * 20))
+        _attribute(out, "ind", "hanging", None if value is None or value >= 0 else round(-value * 20))
+    if changed("alignment"):
+        value = str(props.get("alignment") or "")
+        _put(out, _el("jc", val={"JUSTIFY": "both"}.get(value.upper(), value.lower())), PARAGRAPH_ORDER) if value else _drop(out, "jc")
+    return out
+
+
+def _attribute(parent: ET.Element, tag: str, attr: str, value) -> None:
+    """Set or take an attribute of a property that has several."""
+    el = _own(parent, tag)
+    el.attrib.pop(q(attr), None)
+    el.attrib.pop(q({"left": "start", "right": "end"}.get(attr, attr)), None)
+    if value is not None:
+        el.set(q(attr), str(value))
+    if el.attrib:
+        _put(parent, el, PARAGRAPH_ORDER)
+    else:
+        _drop(parent, tag)
+
+
+def paragraph_props(p: Paragraph) -> ET.Element | None:
+    out = _basic_props(p.props)
+    if p.mark:
+        rpr = _put(out, _own(out, "rPr"), PARAGRAPH_ORDER)
+        rpr[:0] = [_stamp(r.kind, r) for r in p.mark]
+    if p.props.get("_section"):
+        _put(out, ET.fromstring(p.props["_section"]), PARAGRAPH_ORDER)
+    if p.prop_rev:
+        change = _stamp("pPrChange", p.prop_rev)
+        change.append(_without(_basic_props(p.old_props or {}), ("rPr",)))
+        out.append(change)
+    return out if len(out) else None
+
+
+# -- reading ------------------------------------------------------------------------
+
+
 def _heading(ppr: ET.Element | None) -> int | None:
     """Outline level + 1, else a heading style's number, else list level + 1."""
     import re
@@ -123,6 +295,18 @@ def _run_text(run: ET.Element) -> str:
     return "".join(out)
 
 
+def state_of(p: Paragraph) -> str:
+    """All of a paragraph that is written."""
+    return repr((p.pieces, p.props, p.mark, p.old_props, p.prop_rev))
+
+
+def _shell(el: ET.Element) -> str:
+    """A wrapper without what it wraps."""
+    out = ET.Element(el.tag, el.attrib)
+    out.extend(x for x in el if local(x).endswith("Pr"))
+    return ET.tostring(out, "unicode")
+
+
 def read_paragraph(el: ET.Element, moves: dict) -> Paragraph:
     ppr = el.find(q("pPr"))
     p = Paragraph(props=read_paragraph_props(ppr), heading=_heading(ppr))
@@ -132,127 +316,149 @@ def read_paragraph(el: ET.Element, moves: dict) -> Paragraph:
                 p.mark = (*p.mark, _rev(mark, kind, moves.get("now")))
         change = ppr.find(q("pPrChange"))
         if change is not None:
-            p.old_props, p.prop_rev = read_paragraph_props(change.find(q("pPr"))), _rev(change, "pPrChange")
+            # A record of properties has neither the mark's own nor the section's end.
+            before = _without(change.find(q("pPr")), ()) if change.find(q("pPr")) is not None else _el("pPr")
+            before.extend(x for x in ppr if local(x) in ("rPr", "sectPr"))
+            p.old_props, p.prop_rev = read_paragraph_props(before), _rev(change, "pPrChange")
 
-    def inner(node: ET.Element, revs: tuple, hidden: bool) -> None:
+    def inner(node: ET.Element, revs: tuple, wraps: tuple) -> None:
         for x in node:
             name = local(x)
             if name == "r":
-                text = _run_text(x)
                 rpr = x.find(q("rPr"))
-                others = [c for c in x if local(c) not in ("t", "delText", "instrText", "tab", "br", "cr", "noBreakHyphen", "rPr", "lastRenderedPageBreak", "commentReference")]
+                fmt, text = read_run_props(rpr), _run_text(x)
+                others = [c for c in x if local(c) not in ("t", "delText", "instrText", "tab", "br", "cr", "noBreakHyphen", "rPr", "lastRenderedPageBreak")]
                 if text:
-                    piece = Piece(text, revs, read_run_props(rpr))
+                    piece = Piece(text, revs, fmt, wraps=wraps)
                     change = rpr.find(q("rPrChange")) if rpr is not None else None
                     if change is not None:
                         piece.old_fmt, piece.fmt_rev = read_run_props(change.find(q("rPr"))), _rev(change, "rPrChange")
                     p.pieces.append(piece)
-                if others:
-                    p.pieces.append(Piece("", revs, read_run_props(rpr), opaque=[ET.tostring(c, "unicode") for c in others]))
+                for c in others:
+                    if local(c) == "commentReference":
+                        p.pieces.append(Piece("", revs, fmt, opaque=Anchor("commentReference", int(_value(c, "id") or 0)), wraps=wraps))
+                if kept := [ET.tostring(c, "unicode") for c in others if local(c) != "commentReference"]:
+                    p.pieces.append(Piece("", revs, fmt, opaque=kept, wraps=wraps))
             elif name in REVISED:
-                inner(x, (*revs, _rev(x, name, moves.get("now"))), hidden)
+                inner(x, (*revs, _rev(x, name, moves.get("now"))), wraps)
             elif name in ("moveFromRangeStart", "moveToRangeStart"):
                 moves["now"] = _value(x, "name")
             elif name in ("moveFromRangeEnd", "moveToRangeEnd"):
                 moves["now"] = None
-            elif name in TRANSPARENT:
-                inner(x, revs, hidden)
-            elif name not in ("pPr", "commentRangeStart", "commentRangeEnd", "proofErr"):
-                p.pieces.append(Piece("", revs, {}, opaque=[ET.tostring(x, "unicode")]))
-
-    inner(el, (), False)
+            elif name in WRAPPERS:
+                inner(x, revs, (*wraps, Wrap(_shell(x))))
+            elif name.startswith("commentRange"):
+                p.pieces.append(Piece("", revs, opaque=Anchor(name, int(_value(x, "id") or 0)), wraps=wraps))
+                if name.endswith("Start"):
+                    p.comments.append(int(_value(x, "id") or 0))
+            elif name in RANGES:
+                p.pieces.append(Piece("", revs, opaque=Anchor(name, xml=ET.tostring(x, "unicode")), wraps=wraps))
+            elif name not in ("pPr", "proofErr") and not name.endswith("Pr"):
+                p.pieces.append(Piece("", revs, {}, opaque=[ET.tostring(x, "unicode")], wraps=wraps))
+
+    inner(el, (), ())
+    p.source, p.state = ET.tostring(el, "unicode"), state_of(p)
     return p
 
 
-def read_blocks(root: ET.Element, moves: dict | None = None) -> list:
-    moves = {} if moves is None else moves
-    out = []
-    for el in root:
+def block_elements(home: ET.Element):
+    """The paragraphs and tables of a home with their parents, through what may stand around blocks; range marks too."""
+    for el in home:
         name = local(el)
+        if name in ("p", "tbl") or name.endswith(("RangeStart", "RangeEnd")):
+            yield el, home
+        elif name in AROUND_BLOCKS:
+            yield from block_elements(el)
+
+
+def _row_mark(tr: ET.Element) -> Rev | None:
+    return next((_rev(m, k) for k in ("ins", "del") for m in tr.findall(f"{q('trPr')}/{q(k)}")), None)
+
+
+def read_blocks(home: ET.Element, moves: dict | None = None, path: tuple = ()) -> list:
+    """The blocks of a home; path, with a block's number, says where it stands in the package."""
+    moves = {} if moves is None else moves
+    out: list = []
+    for el, _ in block_elements(home):
+        name, origin = local(el), (*path, len(out))
         if name == "p":
             out.append(read_paragraph(el, moves))
         elif name == "tbl":
             rows = []
-            for tr in el.findall(q("tr")):
-                mark = next((_rev(m, k) for k in ("ins", "del") for m in tr.findall(f"{q('trPr')}/{q(k)}")), None)
-                rows.append(Row([read_blocks(tc, moves) for tc in tr.findall(q("tc"))], mark))
+            for r, tr in enumerate(el.findall(q("tr"))):
+                cells, trpr = tr.findall(q("tc")), tr.find(q("trPr"))
+                row = Row([read_blocks(tc, moves, (*origin, r, c)) for c, tc in enumerate(cells)], _row_mark(tr), origin=(*origin, r))
+                row.props = [ET.tostring(x, "unicode") for x in (trpr if trpr is not None else ()) if local(x) not in ("ins", "del", "trPrChange")]
+                row.cell_props = [ET.tostring(tc.find(q("tcPr")), "unicode") if tc.find(q("tcPr")) is not None else None for tc in cells]
+                rows.append(row)
             out.append(Table(rows, [ET.tostring(x, "unicode") for x in el if local(x) in ("tblPr", "tblGrid")]))
-        elif name in ("sdt", "sdtContent", "customXml", "ins", "moveTo"):
-            out += read_blocks(el, moves)
-        elif name == "moveFromRangeStart" or name == "moveToRangeStart":
-            moves["now"] = _value(el, "name")
-        elif name == "moveFromRangeEnd" or name == "moveToRangeEnd":
-            moves["now"] = None
+        else:
+            if name in ("moveFromRangeStart", "moveToRangeStart"):
+                moves["now"] = _value(el, "name")
+            elif name in ("moveFromRangeEnd", "moveToRangeEnd"):
+                moves["now"] = None
+            continue
+        out[-1].origin = origin
     return out
 
 
+def _home(root: ET.Element, story: str) -> ET.Element:
+    """The element that holds a story's blocks."""
+    if story == "body":
+        return root.find(q("body"))
+    return next(n for n in root if _value(n, "id") == story.partition(":")[2]) if ":" in story else root
+
+
 def read(content: bytes, **how) -> Document:
     """A document of a package's bytes."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         parts = {n: z.read(n) for n in z.namelist()}
-    stories = {"body": read_blocks(ET.fromstring(parts["word/document.xml"]).find(q("body")))}
     places = {"body": "word/document.xml"}
     for name in sorted(parts, key=lambda n: (n.endswith("notes.xml"), n.endswith("endnotes.xml"), n)):  # headers and footers, then notes
         base = name.removeprefix("word/").removesuffix(".xml")
         if name.startswith("word/") and base.rstrip("0123456789") in ("header", "footer"):
-            stories[base], places[base] = read_blocks(ET.fromstring(parts[name])), name
+            places[base] = name
         elif name in ("word/footnotes.xml", "word/endnotes.xml"):
             for note in ET.fromstring(parts[name]):
                 if _value(note, "type") not in ("separator", "continuationSeparator"):
-                    key = f"{base}:{_value(note, 'id')}"
-                    stories[key], places[key] = read_blocks(note), name
-    doc = Document(stories, package=(parts, places), **how)
+                    places[f"{base}:{_value(note, 'id')}"] = name
+    roots = {name: ET.fromstring(parts[name]) for name in set(places.values())}
+    doc = Document({story: read_blocks(_home(roots[name], story), path=(story,)) for story, name in places.items()}, package=(parts, places), **how)
     if "word/styles.xml" in parts:
         for el in ET.fromstring(parts["word/styles.xml"]).findall(q("style")):
             name = el.find(q("name"))
             if _value(el, "type") == "paragraph" and _value(el, "styleId"):
                 doc.styles[_value(el, "styleId")] = (_value(name) if name is not None else None) or _value(el, "styleId")
+                if _value(el, "default") in ("1", "true"):
+                    doc.default_style = _value(el, "styleId")
     if "word/comments.xml" in parts:
+        spans = _comment_spans(doc)
         for c in ET.fromstring(parts["word/comments.xml"]):
-            doc.comments.append({"id": int(_value(c, "id") or 0), "paragraph": None, "start": None, "end": None, "author": _value(c, "author"), "initials": _value(c, "initials"), "date": _value(c, "date"), "text": "\n".join(p.text for p in read_blocks(c))})
+            number = int(_value(c, "id") or 0)
+            p, start, end = spans.get(number, (None, None, None))
+            doc.comments.append({"id": number, "paragraph": p, "start": start, "end": end, "author": _value(c, "author"), "initials": _value(c, "initials"), "date": _value(c, "date"), "text": "\n".join(p.text for p in read_blocks(c))})
     return doc
 
 
-# -- writing -------------------------------------------------------------------------
+def _comment_spans(doc: Document) -> dict[int, tuple]:
+    """Paragraph and offsets where each comment begins and ends; no end if that is in another paragraph."""
+    found: dict[int, tuple] = {}
+    for _, p, _, _ in doc.walk(doc.stories):
+        at = 0
+        for x in p.pieces:
+            if isinstance(x.opaque, Anchor) and x.opaque.id is not None:
+                old = found.get(x.opaque.id)
+                if x.opaque.kind == "commentRangeStart":
+                    found[x.opaque.id] = (p, at, None)
+                elif x.opaque.kind == "commentRangeEnd" and old and old[0] is p:
+                    found[x.opaque.id] = (p, old[1], at)
+                elif x.opaque.kind == "commentReference" and old is None:
+                    found[x.opaque.id] = (p, None, None)
+            at += len(x.text) if x.shown else 0
+    return found
 
 
-def _el(tag: str, /, **attrs) -> ET.Element:
-    out = ET.Element(q(tag))
-    for k, v in attrs.items():
-        if v is not None:
-            out.set(q(k), str(v))
-    return out
-
-
-def _stamp(name: str, rev: Rev) -> ET.Element:
-    return _el(name, id=rev.id, author=rev.author, date=rev.date)
-
-
-def run_props(fmt: dict, old: dict | None = None, rev: Rev | None = None) -> ET.Element | None:
-    out = _el("rPr")
-    found: list[ET.Element] = [ET.fromstring(x) for x in fmt.get("_raw", ())]
-    if fmt.get("font"):
-        found.append(_el("rFonts", ascii=fmt["font"], hAnsi=fmt["font"]))
-    for key, tag in (("bold", "b"), ("italic", "i"), ("strike", "strike")):
-        if key in fmt and fmt[key] is not None:
-            found.append(_el(tag) if fmt[key] else _el(tag, val="0"))
-    if fmt.get("color"):
-        found.append(_el("color", val=fmt["color"]))
-    if fmt.get("size"):
-        found.append(_el("sz", val=round(fmt["size"] * 2)))
-    if fmt.get("highlight"):
-        found.append(_el("highlight", val=fmt["highlight"]))
-    if fmt.get("underline") is not None:
-        found.append(_el("u", val="single" if fmt["underline"] else "none"))
-    place = {n: i for i, n in enumerate(RUN_ORDER)}
-    found.sort(key=lambda e: place.get(local(e), 5))
-    out.extend(found)
-    if rev is not None:
-        change = _stamp("rPrChange", rev)
-        was = run_props(old or {})
-        change.append(was if was is not None else _el("rPr"))
-        out.append(change)
-    return out if len(out) else None
+# -- writing -------------------------------------------------------------------------
 
 
 def _text_run(text: str, struck: bool, rpr: ET.Element | None) -> ET.Element:
@@ -281,62 +487,47 @@ def _text_run(text: str, struck: bool, rpr: ET.Element | None) -> ET.Element:
     return run
 
 
-def paragraph_props(p: Paragraph) -> ET.Element | None:
-    def basic(props: dict) -> ET.Element:
-        out = _el("pPr")
-        if props.get("style"):
-            out.append(_el("pStyle", val=props["style"]))
-        raw = [ET.fromstring(x) for x in props.get("_raw", ())]
-        spacing = {k: round(props[n] * 20) for n, k in (("space_before", "before"), ("space_after", "after")) if props.get(n) is not None}
-        for x in raw:
-            out.append(x)
-        if spacing:
-            out.append(_el("spacing", **spacing))
-        if props.get("alignment"):
-            out.append(_el("jc", val={"JUSTIFY": "both"}.get(str(props["alignment"]).upper(), str(props["alignment"]).lower())))
-        return out
-
-    out = basic(p.props)
-    if p.mark:
-        rpr = _el("rPr")
-        rpr.extend(_stamp(r.kind, r) for r in p.mark)
-        out.append(rpr)
-    if p.props.get("_section"):
-        out.append(ET.fromstring(p.props["_section"]))
-    if p.prop_rev:
-        change = _stamp("pPrChange", p.prop_rev)
-        change.append(basic(p.old_props or {}))
-        out.append(change)
-    return out if len(out) else None
+def _anchor(x: Piece) -> ET.Element:
+    if x.opaque.xml is not None:
+        return ET.fromstring(x.opaque.xml)
+    if x.opaque.kind != "commentReference":
+        return _el(x.opaque.kind, id=x.opaque.id)
+    run, rpr = _el("r"), run_props(x.fmt)
+    if rpr is not None:
+        run.append(rpr)
+    run.append(_el("commentReference", id=x.opaque.id))
+    return run
 
 
-def write_paragraph(p: Paragraph, comments: dict) -> ET.Element:
+def write_paragraph(p: Paragraph) -> ET.Element:
     el = _el("p")
+    if p.source:
+        el.attrib.update(ET.fromstring(p.source).attrib)
     ppr = paragraph_props(p)
     if ppr is not None:
         el.append(ppr)
-    mine = [comments[i] for i in p.comments if i in comments]
-    for c in mine:
-        el.append(_el("commentRangeStart", id=c["id"]))
     move = next((r for x in p.pieces for r in x.revs if r.move), None)
     if move:
         kind = "moveFrom" if move.kind == "moveFrom" else "moveTo"
         el.append(_el(f"{kind}RangeStart", id=f"9{move.id}", name=move.move, author=move.author, date=move.date))
-    open_: list[tuple[Rev, ET.Element]] = []
+    open_: list[tuple[object, ET.Element]] = []
     for x in p.pieces:
-        depth = 0
-        while depth < min(len(open_), len(x.revs)) and open_[depth][0] is x.revs[depth]:
+        around, depth = (*x.wraps, *x.revs), 0
+        while depth < min(len(open_), len(around)) and open_[depth][0] is around[depth]:
             depth += 1
         del open_[depth:]
-        for rev in x.revs[depth:]:
-            wrapper = _stamp(rev.kind, rev)
+        for one in around[depth:]:
+            wrapper = ET.fromstring(one.xml) if isinstance(one, Wrap) else _stamp(one.kind, one)
             (open_[-1][1] if open_ else el).append(wrapper)
-            open_.append((rev, wrapper))
+            open_.append((one, wrapper))
         home = open_[-1][1] if open_ else el
+        if isinstance(x.opaque, Anchor):
+            home.append(_anchor(x))
+            continue
         rpr = run_props(x.fmt, x.old_fmt, x.fmt_rev)
         if x.opaque:
             kept = [ET.fromstring(o) for o in x.opaque]
-            if all(local(k) in ("bookmarkStart", "bookmarkEnd") or local(k).endswith(("Start", "End")) for k in kept):
+            if all(local(k).endswith(("Start", "End")) for k in kept):
                 home.extend(kept)
             else:
                 run = _el("r")
@@ -348,34 +539,109 @@ def write_paragraph(p: Paragraph, comments: dict) -> ET.Element:
             home.append(_text_run(x.text, any(r.kind == "del" for r in x.revs), rpr))
     if move:
         el.append(_el(f"{kind}RangeEnd", id=f"9{move.id}"))
-    for c in mine:
-        el.append(_el("commentRangeEnd", id=c["id"]))
-        run = _el("r")
-        run.append(_el("commentReference", id=c["id"]))
-        el.append(run)
     return el
 
 
-def write_blocks(root: ET.Element, blocks: list, comments: dict) -> None:
+def _mark_row(tr: ET.Element, mark: Rev | None) -> None:
+    """Let a row's properties have this revision, and no other."""
+    trpr = tr.find(q("trPr"))
+    if trpr is None:
+        trpr = _el("trPr")
+        tr.insert(0, trpr)
+    for k in ("ins", "del"):
+        _drop(trpr, k)
+    if mark:
+        change = trpr.find(q("trPrChange"))
+        trpr.insert(len(trpr) if change is None else list(trpr).index(change), _stamp(mark.kind, mark))
+    if not len(trpr):
+        tr.remove(trpr)
+
+
+def write_row(row: Row) -> ET.Element:
+    tr = _el("tr")
+    if row.props:
+        trpr = _el("trPr")
+        trpr.extend(map(ET.fromstring, row.props))
+        tr.append(trpr)
+    _mark_row(tr, row.mark)
+    for c, cell in enumerate(row.cells):
+        tc = _el("tc")
+        if c < len(row.cell_props) and row.cell_props[c]:
+            tc.append(ET.fromstring(row.cell_props[c]))
+        tc.extend(map(write_block, cell or [Paragraph()]))
+        tr.append(tc)
+    return tr
+
+
+def write_block(block: Paragraph | Table) -> ET.Element:
+    if isinstance(block, Paragraph):
+        return write_paragraph(block)
+    tbl = _el("tbl")
+    tbl.extend(map(ET.fromstring, block.props or ()))
+    tbl.extend(map(write_row, block.rows))
+    return tbl
+
+
+def _after(parent: ET.Element, el: ET.Element | None, new: ET.Element, first: tuple[str, ...] = ()) -> None:
+    """Put an element behind another one, or behind the properties that come first."""
+    at = list(parent).index(el) + 1 if el is not None else sum(local(x) in first for x in parent)
+    parent.insert(at, new)
+
+
+def update_blocks(home: ET.Element, blocks: list, path: tuple) -> bool:
+    """Bring a home's elements to the blocks; whether anything had to change."""
+    here = [(el, parent) for el, parent in block_elements(home) if local(el) in ("p", "tbl")]
+    there = {(*path, i): x for i, x in enumerate(here)}
+    kept = {b.origin for b in blocks}
+    changed, parent, last = False, home, None
+    for origin in [o for o in there if o not in kept]:
+        el, around = there.pop(origin)
+        around.remove(el)
+        changed = True
     for b in blocks:
-        if isinstance(b, Paragraph):
-            root.append(write_paragraph(b, comments))
+        found = there.pop(b.origin, None)
+        if found is None:
+            new = write_block(b)
+            _after(parent, last, new, ("tcPr",))
+            last, changed = new, True
             continue
-        tbl = _el("tbl")
-        for x in b.props or ():
-            tbl.append(ET.fromstring(x))
-        for row in b.rows:
-            tr = _el("tr")
-            if row.mark:
-                trpr = _el("trPr")
-                trpr.append(_stamp(row.mark.kind, row.mark))
-                tr.append(trpr)
-            for cell in row.cells:
-                tc = _el("tc")
-                write_blocks(tc, cell or [Paragraph()], comments)
-                tr.append(tc)
-            tbl.append(tr)
-        root.append(tbl)
+        el, parent = found
+        if isinstance(b, Table):
+            changed |= update_table(el, b)
+        elif state_of(b) != b.state:
+            new = write_paragraph(b)
+            new.tail = el.tail
+            parent[list(parent).index(el)] = new
+            el, changed = new, True
+        last = el
+    if local(home) == "tc" and not home.findall(q("p")):
+        home.append(_el("p"))
+        changed = True
+    return changed
+
+
+def update_table(tbl: ET.Element, table: Table) -> bool:
+    there = {(*table.origin, r): tr for r, tr in enumerate(tbl.findall(q("tr")))}
+    kept = {r.origin for r in table.rows}
+    changed, last = False, None
+    for origin in [o for o in there if o not in kept]:
+        tbl.remove(there.pop(origin))
+        changed = True
+    for row in table.rows:
+        tr = there.pop(row.origin, None)
+        if tr is None:
+            tr = write_row(row)
+            _after(tbl, last, tr, ("tblPr", "tblGrid"))
+            changed = True
+        else:
+            was = _row_mark(tr)
+            if repr(was) != repr(row.mark):
+                _mark_row(tr, row.mark)
+                changed = True
+            for c, (tc, cell) in enumerate(zip(tr.findall(q("tc")), row.cells)):
+                changed |= update_blocks(tc, cell, (*row.origin, c))
+        last = tr
+    return changed
 
 
 def _blank_package() -> tuple[dict, dict]:
@@ -385,29 +651,37 @@ def _blank_package() -> tuple[dict, dict]:
     return {"[Content_Types].xml": kinds.encode(), "_rels/.rels": rels.encode(), "word/document.xml": empty.encode()}, {"body": "word/document.xml"}
 
 
-def _part(root: ET.Element) -> bytes:
-    return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+def _part(root: ET.Element, before: bytes = b"") -> bytes:
+    """A part's bytes with the prefixes it had; attributes name prefixes too, so none that was declared may go."""
+    spaces = dict(x for _, x in ET.iterparse(io.BytesIO(before), ("start-ns",))) if before else {}
+    for prefix, uri in spaces.items():
+        try:
+            ET.register_namespace(prefix, uri)
+        except ValueError:  # a prefix that the library keeps for itself
+            pass
+    out = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    start = out.index(b"<", out.index(b"?>"))
+    end = next(i for i in range(start, len(out)) if out[i : i + 1] in (b" ", b">", b"/"))
+    head = out[start : out.index(b">", start)]
+    missing = [(p, u) for p, u in spaces.items() if p and f"xmlns:{p}=".encode() not in head]
+    return out[:end] + "".join(f' xmlns:{p}="{u}"' for p, u in missing).encode() + out[end:]
 
 
 def write(doc: Document) -> bytes:
     """A package's bytes: the document's own, with its stories and comments as they are now."""
     parts, places = doc.package or _blank_package()
     parts = dict(parts)
-    by_id = {c["id"]: c for c in doc.comments}
     roots: dict[str, ET.Element] = {}
+    changed: set[str] = set()
     for story, blocks in doc.stories.items():
         name = places.get(story)
         if name is None:
             continue
         root = roots.setdefault(name, ET.fromstring(parts[name]))
-        home = root.find(q("body")) if story == "body" else next(n for n in root if _value(n, "id") == story.partition(":")[2]) if ":" in story else root
-        kept = [x for x in home if local(x) == "sectPr"]
-        for x in list(home):
-            home.remove(x)
-        write_blocks(home, blocks, by_id)
-        home.extend(deepcopy(kept))
-    for name, root in roots.items():
-        parts[name] = _part(root)
+        if update_blocks(_home(root, story), blocks, (story,)):
+            changed.add(name)
+    for name in changed:
+        parts[name] = _part(roots[name], parts[name])
     if doc.comments:
         _write_comments(doc, parts)
     if doc.track:
@@ -441,19 +715,32 @@ def _plain(root: ET.Element, uri: str) -> bytes:
 
 
 def _write_comments(doc: Document, parts: dict) -> None:
-    root = _el("comments")
-    for c in doc.comments:
+    """Add the comments that the package doesn't have yet; its own stay as they are."""
+    name = "word/comments.xml"
+    root = ET.fromstring(parts[name]) if name in parts else _el("comments")
+    there = {int(_value(c, "id") or 0) for c in root}
+    new = [c for c in doc.comments if c["id"] not in there]
+    for c in new:
         el = _el("comment", id=c["id"], author=c["author"], initials=c["initials"], date=c["date"])
         for line in (c["text"] or "").split("\n"):
-            el.append(write_paragraph(Paragraph([Piece(line)] if line else []), {}))
+            el.append(write_paragraph(Paragraph([Piece(line)] if line else [])))
         root.append(el)
-    parts["word/comments.xml"] = _part(root)
-    _relate(parts, "comments", "comments.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.comments+xml")
+    if new:
+        parts[name] = _part(root, parts.get(name, b""))
+        _relate(parts, "comments", "comments.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.comments+xml")
+
+
+#: What comes before trackRevisions among the settings (fixed values of the format's schema).
+BEFORE_TRACKING = (
+    "writeProtection view zoom removePersonalInformation removeDateAndTime doNotDisplayPageBoundaries displayBackgroundShape printPostScriptOverText printFractionalCharacterWidth printFormsData "
+    "embedTrueTypeFonts embedSystemFonts saveSubsetFonts saveFormsData mirrorMargins alignBordersAndEdges bordersDoNotSurroundHeader bordersDoNotSurroundFooter gutterAtTop hideSpellingErrors "
+    "hideGrammaticalErrors activeWritingStyle proofState formsDesign attachedTemplate linkStyles stylePaneFormatFilter stylePaneSortMethod documentType mailMerge revisionView"
+).split()
 
 
 def _track(parts: dict) -> None:
     root = ET.fromstring(parts.get("word/settings.xml", f'<w:settings xmlns:w="{W}"/>'.encode()))
     if root.find(q("trackRevisions")) is None:
-        root.insert(0, _el("trackRevisions"))
-        parts["word/settings.xml"] = _part(root)
+        _after(root, None, _el("trackRevisions"), tuple(BEFORE_TRACKING))
+        parts["word/settings.xml"] = _part(root, parts.get("word/settings.xml", b""))
         _relate(parts, "settings", "settings.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.settings+xml")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ def paragraph_rows(doc: Document, doc_id: int) -> Iterator[dict]:
         if isinstance(table, Table) and row is not None:
             at = (next(i for i, r in enumerate(table.rows) if r is row), next(i for i, cell in enumerate(row.cells) if any(x is p for x in cell)))
         pieces = [{"seq": k, "text": x.text, "rev_stack": [{"kind": r.kind, "id": r.id, "author": r.author, "date": r.date, "move_name": r.move} for r in x.revs], "bold": x.fmt.get("bold"), "italic": x.fmt.get("italic"), "underline": x.fmt.get("underline"), "color": x.fmt.get("color"), "highlight": x.fmt.get("highlight"), "fmt_old": None if x.old_fmt is None else repr(x.old_fmt)} for k, x in enumerate(p.pieces)]
-        yield {"doc_id": doc_id, "part": part, "para_id": n, "text": p.text, "style": p.props.get("style"), "level": p.heading, "table_index": tables.get(id(table)), "row": at[0], "col": at[1], "mark": p.mark[-1].kind if p.mark else None, "pieces": pieces}
+        yield {"doc_id": doc_id, "part": part, "para_id": n, "text": p.text, "style": doc.style_name(p), "level": p.heading, "table_index": tables.get(id(table)), "row": at[0], "col": at[1], "mark": p.mark[-1].kind if p.mark else None, "pieces": pieces}
 
 
 def paragraphs(files: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def save(files: DataFrame, uri: str) -> None:
         store.create_dir(base, recursive=True)
         for batch in batches:
             for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
-                own = f"{base}/_{doc_id}.part"
+                own = f"{base}/_{doc_id}-{uuid.uuid4().hex[:12]}.part"  # of this attempt alone
                 with store.open_output_stream(own) as out:
                     out.write(content)
                 store.move(own, f"{base}/{doc_id}.docx")

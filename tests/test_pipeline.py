@@ -21,7 +21,7 @@ def item(id_, type_, severity="medium", **more):
 def test_merge_accounts_for_everything():
     doc = from_texts(AGREEMENT)
     results = [
-        {"index": 0, "labels": ["2", "2.1", "2.2", "2.3"], "strategy": "clauses", "items": [item("a", "replace_text", clause="2.2", find="thirty (30) days", replace="x"), item("b", "replace_text", "high", clause="2.2", find="thirty", replace="y"), item("c", "delete_clause", "critical", clause="2.3"), item("d", "rewrite_clause", clause="2.3", text="n"), item("e", "comment", text="t", clause="4.1"), item("f", "replace_text", clause="2.1", find="nothing", replace="z")]},
+        {"index": 0, "labels": ["2", "2.1", "2.2", "2.3"], "strategy": "clauses", "items": [item("a", "replace_text", clause="2.2", find="twenty (20) weeks", replace="x"), item("b", "replace_text", "high", clause="2.2", find="twenty", replace="y"), item("c", "delete_clause", "critical", clause="2.3"), item("d", "rewrite_clause", clause="2.3", text="n"), item("e", "comment", text="t", clause="4.1"), item("f", "replace_text", clause="2.1", find="nothing", replace="z")]},
         {"index": 1, "labels": ["4", "4.1"], "strategy": "clauses", "items": [item("g", "comment", text="t", clause="4.1"), item("h", "comment", "low", text="t", clause="4.1"), item("i", "bogus")]},
     ]
     r = merge.reduce_segments(doc, results)
@@ -75,7 +75,7 @@ def test_chunked_review_retries_splits_and_caches():
 
 def test_revise_verifies_itself():
     content = ooxml.write(from_texts(AGREEMENT))
-    actions = [item("a", "move_clause", clause="4.1", after_clause="3.1"), item("b", "replace_text", find="thirty (30)", replace="sixty (60)")]
+    actions = [item("a", "move_clause", clause="4.1", after_clause="3.1"), item("b", "replace_text", find="twenty (20)", replace="forty (40)")]
     r = revise(content, actions=actions, comments=[{"text": "hm", "clause": "2.1"}], date=STAMP)
     assert r.ok and len(r.checks) == 7, r.format()
     assert revise(content, reviewer=review.get_reviewer("rules")).ok
@@ -107,7 +107,7 @@ def test_packages_in_spark(spark, tmp_path):
 def test_cli(tmp_path, capsys):
     a, b, out = tmp_path / "a.docx", tmp_path / "b.docx", tmp_path / "out.docx"
     a.write_bytes(ooxml.write(from_texts(AGREEMENT)))
-    b.write_bytes(ooxml.write(from_texts([t.replace("thirty", "sixty") for t in AGREEMENT])))
+    b.write_bytes(ooxml.write(from_texts([t.replace("twenty", "forty") for t in AGREEMENT])))
     assert cli.main(["compare", str(a), str(b), str(out)]) == 0
     assert cli.main(["summary", str(out)]) == 0 and "tracked changes" in capsys.readouterr().out
     assert cli.main(["reject", str(out), str(out)]) == 0 and ooxml.read(out.read_bytes()).texts() == AGREEMENT
@@ -118,6 +118,72 @@ def test_cli(tmp_path, capsys):
     assert cli.main(["validate", str(plan)]) == 0 and cli.main(["pipeline", str(a), str(out), "--actions", str(plan)]) == 0
 
 
+class Deciding(Engine):
+    def decide(self, prompt, schema, max_tokens):
+        assert "S00" in prompt and schema["required"] == ["selections", "notes"]
+        if self.calls < 0:
+            raise RuntimeError("away")
+        return {"notes": "Mostly alike.", "selections": [{"segment": "S00", "priority": "deep"}, {"segment": "S01", "priority": "skip"}, {"segment": "S02", "priority": "maybe"}]}
+
+    def emit(self, prompt, max_tokens, on_event=None):
+        for _ in range(3):
+            on_event()
+        return super().emit(prompt, max_tokens)
+
+
+def test_an_engine_chooses_and_shows_that_it_lives():
+    doc = from_texts([t for k in range(1, 7) for t in [f"{k}. Section {k}", *(f"{k}.{j}  Plain words of a clause." for j in range(1, 6))]])
+    alive = []
+    reviewer = review.Reviewer(Deciding([[item("a", "comment", "high", clause="1.1", text="t")]]), segment_tokens=60, on_alive=lambda *x: alive.append(x), min_coverage=0.0)
+    report, done = reviewer.propose(doc, "brief")
+    assert [r["status"] for r in done][1] == "skipped" and done[2]["status"] == "ok"
+    assert reviewer.summary(report, done) == f"{len(done) - 1} of {len(done)} segments read, 1 items kept (1 high). Mostly alike."
+    assert len(alive) == len(done) - 1 and all(n == 1 for *_, n in alive) and (reviewer.engine_name, reviewer.model) == ("deciding", "scripted")
+    lost = review.Reviewer(Deciding([]), segment_tokens=60, on_alive=lambda *x: None)
+    lost.engine.calls = -99
+    _, done = lost.propose(doc, "brief")
+    assert {r["status"] for r in done} == {"ok"} and "away" in lost.notes
+
+
+def test_heartbeats_are_rare():
+    told = []
+    beat = review.Heartbeat(lambda *x: told.append(x), "S01", every=1000)
+    for _ in range(50):
+        beat("event")
+    assert len(told) == 1 and told[0][0] == "S01" and beat.events == 50
+
+
+def scripted(model=None):
+    return Engine([[item("a", "comment", clause="1.1", text="t")]])
+
+
+def test_flags_of_the_command_line(tmp_path, capsys):
+    a, out, plan, notes, merged = (tmp_path / x for x in ("a.docx", "out.docx", "plan.json", "notes.json", "merge.json"))
+    a.write_bytes(ooxml.write(from_texts(AGREEMENT)))
+    plan.write_text(json.dumps([item("p", "delete_clause", clause="1.1")]))
+    notes.write_text(json.dumps({"comments": [{"clause": "3.1", "text": "From a file."}]}))
+    assert cli.main(["full", str(a), str(out), "--actions", str(plan), "--action", '{"type": "replace_text", "find": "Utrecht", "replace": "Delft"}', "--comment", "4.2=On paper?", "--comment", "find=keeper owes=Who?", "--comments-file", str(notes), "--no-explain"]) == 0
+    doc = ooxml.read(out.read_bytes())
+    assert sorted(c["text"] for c in doc.comments) == ["From a file.", "On paper?", "Who?"]
+    doc.accept()
+    assert "Courts of Delft" in doc.text() and "Hives" not in doc.text()
+    assert cli.main(["full", str(a), str(out), "--comment", "no text"]) == 2 and cli.main(["full", str(a), str(out), "--action", "[1]"]) == 2 and cli.main(["full", str(a), str(out), "--action", "{"]) == 2
+    assert cli.main(["full", str(a), str(out), "--reviewer", "chunked"]) == 2
+    review.register_engine("scripted", scripted, "tiny")
+    assert review.default_model("scripted") == "tiny" and review.default_model("rules") is None
+    for engine in ("scripted", "tests.test_pipeline:scripted"):
+        assert cli.main(["full", str(a), str(out), "--reviewer", "chunked", "--engine", engine, "--segment-tokens", "60", "--cache-dir", str(tmp_path / "c"), "--refresh", "--max-actions", "3", "--brief", "b", "--merge-report", str(merged)]) == 0
+    assert "segments read" in capsys.readouterr().out and json.loads(merged.read_text()) == []
+    assert cli.main(["full", str(a), str(out), "--reviewer", "long", "--engine", "nobody"]) == 2
+
+
+def test_repeated_numbers_are_told():
+    from palimpsest.operators.planner import apply_actions
+
+    p = apply_actions(from_texts([*AGREEMENT, "4.3  Twice. Another one."]), [item("a", "delete_clause", clause="2.2")])
+    assert any("4.3" in w for w in p.warnings)
+
+
 def test_streams(spark, tmp_path):
     log = spark.sql("SELECT 1L AS doc_id, CAST(id % 5 AS STRING) AS rev_id, 'insert' AS kind, 'Ann' AS author, timestamp_seconds(1700000000 + id) AS ts FROM range(10)")
     log.write.parquet(str(tmp_path / "log"))
@@ -142,7 +208,10 @@ def test_html_shows_changes():
 
 
 def test_engine_schema():
-    from palimpsest.schema import action_json_schema
+    from palimpsest.schema import action_json_schema, output_form
+
+    schema = action_json_schema()
+    assert output_form("plan", "d", schema)["input_schema"] is schema and output_form("plan", "d", schema, "text")["format"]["schema"] is schema
 
     inline = action_json_schema()["properties"]["action_items"]["items"]
     assert len(inline["properties"]) == 33 and inline["required"] == list(inline["properties"])
