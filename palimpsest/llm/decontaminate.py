@@ -1,9 +1,10 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of anything but ASCII white space, punctuation and
-control characters. Test items come in blocks of at most `BLOCK_BYTES` of text, so
-what is broadcast has a bound however large the benchmark is; each block meets all
-documents.
+control characters. Distinct test items come in blocks filled up to `BLOCK_BYTES` of
+text (an item beyond that is a block of its own), so what is broadcast has a bound
+however large the benchmark is; each block meets all documents. An item of over
+`ITEM_WORDS` words is aligned in overlapping parts of so many, each judged by itself.
 
 1. Every n-gram of an item is a seed, so any `SEED_WORDS` words of it in a row that a
    document holds are a hit. (To keep but the rarest of neighbours loses edited
@@ -12,15 +13,18 @@ documents.
 2. What the words around a hit could score at most follows from how many of them are
    the item's; where that is too little, as with common phrases, it ends here.
 3. Elsewhere the item is aligned with the words around (linear gaps), and the best
-   local score, as a share of the item's perfect score, is the passage's score.
+   local score, as a share of the item's perfect score, is the passage's score. The
+   words around reach as far as any alignment through the hit that counts: what it may
+   lose to the perfect score is the most words that can be inserted in it.
 4. A passage counts from `THRESHOLD` of the perfect score on, or, however long the
    item is, from `PASSAGE_WORDS` matched words on, each edited, missing or inserted
    word between them taking `PASSAGE_ERROR` off (so over 80 % of its words match).
 
 Defined results: null and empty texts and items of no words match nothing; an item
-shorter than a seed is its own seed; repeated rows give a row each; overlapping
-places of an item in a document give the best one; empty tables give an empty
-result; columns of documents are carried by `clean`, and clashing ones replaced.
+shorter than a seed is its own seed; repeated rows of documents give a row each, those
+of items (equal id and text) one; overlapping places of an item in a document, and its
+parts, give the best one; empty tables give an empty result; other columns of documents
+are carried by `clean`.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Matched words that are a passage of an item of any length, and what an error among them takes off.
 PASSAGE_WORDS, PASSAGE_ERROR = 20, 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, ITEM_WORDS = 4 << 20, 2048
 _BLANKS = bytes.maketrans((string.punctuation + "".join(map(chr, range(32))) + "\x7f").encode(), b" " * 65)
 FOUND = "doc_id long, item_id long, score double, start_word long, n_words long"
 
@@ -99,15 +103,22 @@ def align(item: np.ndarray, words: np.ndarray, match: int = MATCH, mismatch: int
     return best
 
 
+def parts_of(words: list[str], most: int = ITEM_WORDS) -> list[list[str]]:
+    """An item's words, or its parts of `most` words, each of which begins halfway in the one before."""
+    return [words] if len(words) <= most else [words[i : i + most] for i in range(0, len(words) - most // 2, most // 2)]
+
+
 class Matcher:
     """A block's items with their seeds; finds passages in texts."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
-        seeds = seeds_of(items)
-        self.items, self.places = items, list(seeds.values())
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        parts = [(k, part) for k, (_, text) in enumerate(items) if text for part in parts_of(normal(text)) if part]
+        seeds = seeds_of(parts)
+        self.items = [i for i, _ in items]
+        self.owner, self.places = [k for k, _ in parts], list(seeds.values())
         self.automaton = automaton(list(seeds))
-        self.ids = [{w: i for i, w in enumerate(dict.fromkeys(words))} for _, words in items]
-        self.coded = [np.array([ids[w] for w in words]) for ids, (_, words) in zip(self.ids, items)]
+        self.ids = [{w: i for i, w in enumerate(dict.fromkeys(words))} for _, words in parts]
+        self.coded = [np.array([ids[w] for w in words]) for ids, (_, words) in zip(self.ids, parts)]
         self.held = [np.bincount(c) for c in self.coded]
 
     def passages(self, text: str | None, threshold: float):
@@ -116,58 +127,75 @@ class Matcher:
         joined = f" {' '.join(words)} "
         hits: dict[int, list[int]] = {}
         ends = None
-        for end, seed in self.automaton.iter(joined):
+        for end, seed in self.automaton.iter(joined) if self.places else ():
             if ends is None:
                 ends = np.cumsum([len(w) + 1 for w in words])
             # `end` is the blank behind the seed's last word.
             last = int(np.searchsorted(ends, end))
-            for item, place in self.places[seed]:
-                length = min(SEED_WORDS, len(self.items[item][1]))
-                hits.setdefault(item, []).append(last - length + 1 - place)
-        for item, diagonals in hits.items():
-            m = len(self.coded[item])
-            slack, best = m // 2 + 2, (0, 0, 0)
+            for part, place in self.places[seed]:
+                length = min(SEED_WORDS, len(self.coded[part]))
+                hits.setdefault(part, []).append(last - length + 1 - place)
+        found: dict[int, tuple[float, int, int]] = {}
+        for part, diagonals in hits.items():
+            m = len(self.coded[part])
+            slack = reach(m, threshold)
             diagonals.sort()
             start = 0
             for i in range(1, len(diagonals) + 1):
                 if i == len(diagonals) or diagonals[i] - diagonals[i - 1] > m + slack:
                     lo, hi = max(0, diagonals[start] - slack), diagonals[i - 1] + m + slack
-                    ids = self.ids[item]
                     start = i
-                    around = np.array([ids.get(w, -1) for w in words[lo:hi]])
-                    # No alignment matches more words than item and place have in common.
-                    common = int(np.minimum(np.bincount(around[around >= 0], minlength=len(ids)), self.held[item]).sum())
-                    if common < min(threshold * m, PASSAGE_WORDS) or common * MATCH <= best[0]:
-                        continue
-                    score, a, b = align(self.coded[item], around)
-                    if score > best[0] and (score >= threshold * MATCH * m or common >= PASSAGE_WORDS and align(self.coded[item], around, 1, -PASSAGE_ERROR, -PASSAGE_ERROR)[0] >= PASSAGE_WORDS):
-                        best = (score, lo + a, b - a)
-            if best[0]:
-                yield self.items[item][0], best[0] / (MATCH * m), best[1], best[2]
+                    if best := self._best(part, words[lo:hi], threshold):
+                        score, a, b = best
+                        old = found.get(self.owner[part])
+                        if old is None or score > old[0]:
+                            found[self.owner[part]] = (score, lo + a, b - a)
+        for k, best in found.items():
+            yield self.items[k], *best
+
+    def _best(self, part: int, words: list[str], threshold: float) -> tuple[float, int, int] | None:
+        """Score, first word and end of the best place in some words, if it counts."""
+        ids, m = self.ids[part], len(self.coded[part])
+        around = np.array([ids.get(w, -1) for w in words])
+        # No alignment matches more words than item and place have in common.
+        common = int(np.minimum(np.bincount(around[around >= 0], minlength=len(ids)), self.held[part]).sum())
+        if common < min(threshold * m, PASSAGE_WORDS):
+            return None
+        score, a, b = align(self.coded[part], around)
+        if score >= threshold * MATCH * m or common >= PASSAGE_WORDS and align(self.coded[part], around, 1, -PASSAGE_ERROR, -PASSAGE_ERROR)[0] >= PASSAGE_WORDS:
+            return score / (MATCH * m), a, b
+        return None
+
+
+def reach(m: int, threshold: float) -> int:
+    """Words that an alignment that counts may have beyond the m of its item: as many gaps as its score can lose."""
+    return int(max(MATCH * m * (1 - threshold) / -GAP, m / PASSAGE_ERROR)) + 1
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+    """Lists of (item_id, text) of up to block_bytes of text; the driver holds one, and a partition of the items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    held, size = [], 0
+    for item, text in items.orderBy("item_id", F.xxhash64("text")).toLocalIterator():
+        n = len(text.encode("utf-8", "surrogatepass")) + 16
+        if held and size + n > block_bytes:
+            yield held
+            held, size = [], 0
+        held.append((item, text))
+        size += n
+    if held:
+        yield held
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document and test item of which it holds a passage: doc_id, item_id, score, start_word, n_words."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
-    total, longest = sized.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    if longest > block_bytes:
-        raise ValueError(f"a test item of {longest} bytes is over the block's {block_bytes}")
-    # Blocks are filled to half of the bound on average; one over the bound is an error, not a broadcast.
-    blocks = 1 if total <= block_bytes else 2 * total // block_bytes + 1
-    out = spark.createDataFrame([], FOUND)
-    for b in range(blocks):
-        rows = sized if blocks == 1 else sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = [(i, w) for i, t in rows.orderBy("item_id").toLocalIterator() if (w := normal(t))]
-        if sum(len(w) + 1 for _, words in items for w in words) > block_bytes:
-            raise ValueError("a block of test items is over its bound; give more of them")
-        if items:
-            out = out.unionByName(_block(docs, items, threshold))
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    for items in blocks_of(benchmark, block_bytes):
+        out = out.unionByName(_block(docs.select("doc_id", "text"), items, threshold))
     return out
 
 
-def _block(docs: DataFrame, items: list[tuple[int, list[str]]], threshold: float) -> DataFrame:
+def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64())])
 

@@ -112,7 +112,7 @@ def test_similar_documents(spark):
     assert all(found[3 * g + 2] == 3 * g + 2 for g in range(60))
 
 
-@pytest.mark.parametrize("part", [8 << 20, 4000])
+@pytest.mark.parametrize("part", [8 << 20, 30_000])
 def test_similar_documents_are_exactly_those_of_the_threshold(spark, monkeypatch, part):
     monkeypatch.setattr(similar, "PART_BYTES", part)  # a small part deals a bucket to many tiles
     rng = random.Random(4)
@@ -244,6 +244,69 @@ def test_a_long_passage_of_a_longer_item_counts(spark):
     assert {r[0] for r in decontaminate.clean(texts, benchmark).select("doc_id").collect()} == {4, 5, 6, 7}
 
 
+def gapped(item, rng, words_between, make):
+    """The item with words put between its words, three fours of it left whole."""
+    whole = set(range(0, 4)) | set(range(10, 14))
+    out = []
+    for i, w in enumerate(item):
+        out.append(w)
+        if i not in whole and words_between:
+            n = rng.randint(0, min(3, words_between))
+            out += make(n)
+            words_between -= n
+    return out
+
+
+def test_every_place_of_every_item_against_whole_alignment(spark):
+    """The windows lose nothing: a document is found if its whole text, aligned word by word, counts."""
+    rng = random.Random(12)
+    make = lambda n: ["".join(rng.choice("klmnopqr") for _ in range(4)) for _ in range(n)]
+    items = {k: make(rng.choice([6, 15, 25, 40])) for k in range(12)}
+    rows = []
+    for d in range(150):
+        item = items[d % 12]
+        body = gapped(item, rng, rng.randint(0, len(item) + 6), make) if d % 3 else [w if rng.random() < 0.75 else "changed" for w in item]
+        rows.append((d, " ".join(make(rng.randint(0, 40)) + body + make(rng.randint(0, 9)) + (items[(d + 5) % 12][:9] if d % 4 == 0 else []))))
+    want = {}
+    for d, text in rows:
+        for k, item in items.items():
+            w = text.split()
+            seeds = {tuple(item[i : i + 4]) for i in range(len(item) - 3)}
+            if not any(tuple(w[i : i + 4]) in seeds for i in range(len(w) - 3)):
+                continue
+            codes = {x: i for i, x in enumerate(dict.fromkeys(item))}
+            a, b = np.array([codes[x] for x in item]), np.array([codes.get(x, -1) for x in w])
+            score = plain_align(item, w)
+            if score >= len(item) or decontaminate.align(a, b, 1, -4, -4)[0] >= 20:
+                want[d, k] = score / (2 * len(item))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(texts, benchmark).collect()}
+    assert got == want and len(want) > 80 and min(want.values()) < 0.56
+
+
+def test_a_whole_item_with_many_words_between(spark):
+    rng = random.Random(13)
+    make = lambda n: ["".join(rng.choice("klmnopqr") for _ in range(5)) for _ in range(n)]
+    item = make(40)
+    late = item[:20] + make(31) + item[20:]  # all 40 words, 31 others amid them: (80 - 31) / 80
+    got = decontaminate.contaminated(spark.createDataFrame([(1, " ".join(late))], "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert [r["score"] for r in got] == [0.6125]
+
+
+def test_blocks_repeated_items_and_very_long_ones(spark, docs, clashing):
+    rng = random.Random(14)
+    make = lambda n: ["".join(rng.choice("klmnopqr") for _ in range(5)) for _ in range(n)]
+    long, short = make(9000), make(30)
+    benchmark = spark.createDataFrame([(0, " ".join(long)), *[(1, " ".join(short))] * 500, (1, None), (2, "")], "item_id long, text string")
+    assert [len(b) for b in decontaminate.blocks_of(benchmark, 20_000)] == [1, 2]
+    texts = [(1, " ".join(make(30_000) + short + make(20_000))), (2, " ".join(make(9) + long[5000:5100])), (3, " ".join(long[:8999])), (4, " ".join(make(50)))]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), benchmark, block_bytes=20_000)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (2, 0), (3, 0)]
+    assert decontaminate.contaminated(clashing, benchmark).columns == ["doc_id", "item_id", "score", "start_word", "n_words"]
+    assert {" ".join(p) for p in decontaminate.parts_of(long)} and all(" ".join(long[i : i + 1024]) in {" ".join(p[j : j + 1024]) for p in decontaminate.parts_of(long) for j in range(0, len(p), 1024)} for i in range(0, 8000, 1024))
+
+
 # -- language ---------------------------------------------------------------------------
 
 
@@ -331,25 +394,43 @@ def test_packing(docs, corpus, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_token_files(spark, docs, corpus, empty):
+def test_token_files(spark, docs, corpus, empty, clashing, nameless):
     path, uri = vocabulary("byte_bpe_50k.json"), scratch(spark, "t")
     once = docs.dropDuplicates(["doc_id"])
     shards = token_files.write_tokens(once, uri, path, length=64, rows=8)
-    got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_tokens(spark, uri, shards).collect()}
+    assert token_files.manifest(uri) == shards
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_files.read_tokens(spark, uri).collect()}
     start, stream = 0, {}
     for d, t in sorted({r[0]: r[1] for r in corpus}.items()):
         ids = ids_of(path, t, 2)
         assert got[d] == (start, len(ids), crc(ids))
         start, stream[d] = start + len(ids), ids
-    shard = token_files.TokenShard(uri, shards[0][0])
+    shard = token_files.TokenShard(uri, shards[0][1])
     own = [i for d, _, n in shard.documents() for i in stream[d]]
     for k in range(len(shard)):
-        ids, mask = shard.sequence(k)
-        assert len(ids) == 64 and ids[mask].tolist() == own[64 * k : 64 * k + 64] and not ids.flags.owndata
+        ids, bits = shard.sequence(k)
+        assert len(ids) == 64 and ids[token_files.unpacked(bits)].tolist() == own[64 * k : 64 * k + 64]
+        assert not ids.flags.owndata and not bits.flags.owndata and len(bits) == 8
     empty_uri = scratch(spark, "t")
-    assert token_files.read_tokens(spark, empty_uri, token_files.write_tokens(empty, empty_uri, path)).count() == 0
-    twice = scratch(spark, "t")
-    assert token_files.read_tokens(spark, twice, token_files.write_tokens(docs, twice, path)).count() == docs.count()
+    assert token_files.write_tokens(empty, empty_uri, path) == [] and token_files.read_tokens(spark, empty_uri).count() == 0
+    for table in (docs, clashing, nameless):
+        again = scratch(spark, "t")
+        token_files.write_tokens(table, again, path)
+        assert token_files.read_tokens(spark, again).count() == table.count()
+
+
+def test_repeated_ids_are_written_in_one_order(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    rows = [(7, f"text number {i} " * (i + 1)) for i in range(20)]
+    streams = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        uri = scratch(spark, "t")
+        token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), uri, path)
+        streams.append([tuple(r) for r in token_files.read_tokens(spark, uri).orderBy("start").collect()])
+    assert streams[0] == streams[1]
+    with pytest.raises(ValueError):
+        token_files.ShardWriter(uri, 0, "<u2", length=12)
 
 
 # -- language model ---------------------------------------------------------------------
@@ -394,6 +475,35 @@ def test_language_model(spark, docs, corpus, empty):
     assert language_model.score(empty, model).count() == 0
 
 
+def test_counts_beyond_four_bytes_are_kept(tmp_path):
+    big = np.array([1, 300, 5_000_000_000], np.int64)
+    arrays = language_model.Arrays(f"file://{tmp_path}")
+    for name, sums in (("a", big), ("b", big[:2]), ("c", big[:1]), ("d", big[:0])):
+        language_model.save(f"file://{tmp_path}", name, language_model.narrow(sums))
+        assert arrays.get(name, None, max(1, len(sums))).tolist() == sums.tolist()
+    import pyarrow as pa
+
+    keys = np.array([3, 5, 9], np.uint64)
+    batch = pa.RecordBatch.from_pylist([{"bucket": 0, "keys": keys.tobytes(), "sums": language_model._packed(big)}] * 3, schema=language_model.RUN_SCHEMA)
+    ((bucket, got, sums),) = language_model._buckets([batch], "<u8")
+    assert (bucket, got.tolist(), sums.tolist()) == (0, [3, 5, 9], (3 * big).tolist())
+
+
+def test_runs_are_merged_as_they_come(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_model, "MERGE", 50)
+    rng, want, rows = np.random.default_rng(6), Counter(), []
+    for _ in range(200):
+        keys, sums = language_model.summed(rng.integers(0, 300, 40).astype(np.uint64))
+        bucket = int(rng.integers(0, 2))
+        want.update({(bucket, k): n for k, n in zip(keys.tolist(), sums.tolist())})
+        rows.append({"bucket": bucket, "keys": keys.tobytes(), "sums": language_model._packed(sums)})
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 7], schema=language_model.RUN_SCHEMA) for i in range(0, 200, 7)]
+    got = {(b, k): n for b, keys, sums in language_model._buckets(batches, "<u8") for k, n in zip(keys.tolist(), sums.tolist())}
+    assert got == want
+
+
 def test_mixing_is_a_bijection():
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
     assert (language_model.unmixed(language_model.mixed(x)) == x).all()

@@ -1,6 +1,8 @@
 """Quality rules, line dedup and pseudonyms: against SQL, a plain version, and their odd cases."""
 
+import datetime
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -132,6 +134,84 @@ def test_pseudonyms(private):
     assert secret == plain_permuted("9c8b45435718dcc700c184a7e303cdc64c6a8f7f", "secret", "k", pii.HEX_LOWER)
 
 
+def plain_number(a, b, high, low, kind, key="k"):
+    by = lambda x, r, below: int(hashlib.sha256(f"{key}|{kind}|{r}|{x}".encode()).hexdigest()[:12], 16) % below
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            a = (a + by(b, r, high)) % high
+        else:
+            b = (b + by(a, r, low)) % low
+    return a, b
+
+
+def plain_date(text):
+    sep = re.search(r"\D", text)[0]
+    p = [int(x) for x in text.split(sep)]
+    swapped = sep == "/" and p[1] > 12
+    y, m, d = p if sep == "-" else (p[2], p[0], p[1]) if swapped else p[::-1]
+    days = (datetime.date(y, m, d) - datetime.date(1900, 1, 1)).days
+    a, b = plain_number(days // pii.LOW, days % pii.LOW, pii.HIGH, pii.LOW, "date")
+    new = datetime.date(1900, 1, 1) + datetime.timedelta(a * pii.LOW + b)
+    if sep == "-":
+        return new.isoformat()
+    pad = "02d" if re.search(r"^0|^\d+[/.]0", text) else "d"
+    first, second = (new.month, new.day) if swapped else (new.day, new.month)
+    return f"{first:{pad}}{sep}{second:{pad}}{sep}{new.year}"
+
+
+def plain_iban(text):
+    x = text.replace(" ", "")
+    value = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
+    assert value(x[4:] + x[:4]) == 1
+    body = plain_permuted(x[4:], "iban", "k")
+    new = f"{x[:2]}{98 - value(body + x[:2] + '00'):02d}{body}"
+    return " ".join(new[i : i + 4] for i in range(0, len(new), 4)) if " " in text else new
+
+
+def plain_ssn(text):
+    valid = lambda x: not re.match("000|666|9", x) and "-00-" not in x and not x.endswith("-0000")
+    new = plain_permuted(text, "ssn", "k")
+    while not valid(new):
+        new = plain_permuted(new, "ssn", "k")
+    return new
+
+
+def plain_phone(text):
+    prefix = (re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text) or [""])[0]
+    digits = iter(plain_permuted(re.sub(r"\D", "", text[len(prefix) :]), "phone", "k"))
+    return prefix + "".join(next(digits) if c.isdigit() else c for c in text[len(prefix) :])
+
+
+def plain_ip(text):
+    o = [int(x) for x in text.split(".")]
+    a, b = plain_number(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+    return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+
+
+def test_every_kind_against_a_plain_version(spark):
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def iban(country, n, grouped):
+        body = digits(n - 4)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        x = f"{country}{check:02d}{body}"
+        return " ".join(x[i : i + 4] for i in range(0, n, 4)) if grouped else x
+
+    cases = []
+    for _ in range(25):
+        cases += [("ssn", f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", plain_ssn), ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4)), plain_ip)]
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(pii.HIGH * pii.LOW))
+        cases += [("date", x, plain_date) for x in (day.isoformat(), f"{day.day}/{day.month}/{day.year}", f"{day.day:02d}.{day.month:02d}.{day.year}", f"12/{13 + day.day % 16}/{day.year}")]
+        cases += [("iban", iban(*x), plain_iban) for x in (("DE", 22, False), ("DE", 22, True), ("BE", 16, True), ("FR", 27, True))]
+        cases += [("phone", x, plain_phone) for x in (f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"5{digits(2)}.6{digits(2)}.{digits(4)}", f"4{digits(2)} 7{digits(2)} {digits(4)}")]
+    table = spark.createDataFrame([(i, f"see {x} 2024 here") for i, (_, x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(table, "k").collect()}
+    for i, (kind, x, plain) in enumerate(cases):
+        assert got[i]["text"] == f"see {plain(x)} 2024 here", (kind, x)
+        assert got[i][f"n_{kind}"] == (plain(x) != x)
+
+
 def test_networks_are_bijections(spark):
     df = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"))
     assert df.select(pii.permuted(F.col("s"), "t", "k").alias("p")).distinct().filter(F.col("p").rlike(r"^\d{4}$")).count() == 10_000
