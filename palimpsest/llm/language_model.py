@@ -49,6 +49,8 @@ SEED = 42
 END, START = b"\n", b" "
 #: Tokens a task gathers before it gives its sums away; tokens that are looked up at once.
 GATHER, LOOK_UP = 4_000_000, 1_000_000
+#: Keys of runs that come together before they are merged; bytes of text whose counts make a bucket.
+MERGE, BUCKET_BYTES = 2_000_000, 128 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 HALF, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -90,10 +92,16 @@ def summed(keys: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray
     return keys[starts], np.add.reduceat(sums, starts, axis=0) if len(keys) else sums
 
 
-def _packed(sums: np.ndarray) -> bytes:
-    """Sums in as few bytes as their largest needs, behind a byte that says how many."""
+def narrow(sums: np.ndarray) -> np.ndarray:
+    """Sums in as few bytes as their largest needs."""
     width = 1 if not sums.size or sums.max() < 1 << 8 else 2 if sums.max() < 1 << 16 else 4 if sums.max() < 1 << 32 else 8
-    return bytes([width]) + np.ascontiguousarray(sums, f"<u{width}").tobytes()
+    return np.ascontiguousarray(sums, f"<u{width}")
+
+
+def _packed(sums: np.ndarray) -> bytes:
+    """Narrowed sums behind a byte that says their width."""
+    out = narrow(sums)
+    return bytes([out.itemsize]) + out.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -123,26 +131,30 @@ def hash_cuts(buckets: int) -> np.ndarray:
 
 
 def _gathered(runs: DataFrame, buckets: int) -> DataFrame:
-    return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    """A bucket a task, by its number itself: a hash of it would put several into one."""
+    return runs.repartitionById(buckets, "bucket")
 
 
 def _buckets(batches, dtype, width: int = 1):
-    """(bucket, distinct keys, sums) of gathered runs; one bucket is held at a time."""
-    def done():
-        sums = np.concatenate(held_sums)
-        return now, *summed(np.concatenate(held), sums.reshape(-1, width) if width > 1 else sums)
+    """(bucket, distinct keys, sums) of a task's gathered runs.
+
+    Runs are merged whenever as much has come as is held, so that memory follows the
+    distinct keys and not the number of runs.
+    """
+    held: dict[int, list] = {}  # keys and sums merged so far, and runs behind them
+
+    def merge(runs):
+        return [summed(np.concatenate([k for k, _ in runs]), np.concatenate([x for _, x in runs]))]
 
-    now, held, held_sums = None, [], []
     for batch in batches:
         for bucket, keys, sums in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "sums"))):
-            if bucket != now and held:
-                yield done()
-                held, held_sums = [], []
-            now = bucket
-            held.append(np.frombuffer(keys, dtype))
-            held_sums.append(_unpacked(sums))
-    if held:
-        yield done()
+            x = _unpacked(sums)
+            runs = held.setdefault(bucket, [])
+            runs.append((np.frombuffer(keys, dtype), x.reshape(-1, width) if width > 1 else x))
+            if sum(len(k) for k, _ in runs[1:]) > max(len(runs[0][0]), MERGE):
+                held[bucket] = merge(runs)
+    for bucket in sorted(held):
+        yield bucket, *merge(held.pop(bucket))[0]
 
 
 def save(uri: str, name: str, array: np.ndarray) -> None:
@@ -175,12 +187,15 @@ class Arrays:
         self.fs, self.base = filesystem(uri)
         self.held: OrderedDict[str, np.ndarray] = OrderedDict()
 
-    def get(self, name: str, dtype: str) -> np.ndarray:
+    def get(self, name: str, dtype: str | None, n: int = 0) -> np.ndarray:
+        """The array; without a dtype, unsigned ones of the width that makes them n."""
         if name in self.held:
             self.held.move_to_end(name)
             return self.held[name]
         path = f"{self.base}/{name}"
-        if self.fs.get_file_info(path).size in (0, None):
+        size = self.fs.get_file_info(path).size
+        dtype = dtype or f"<u{size // n if size else 1}"
+        if not size:
             array = np.empty(0, dtype)
         elif self.fs.type_name == "local":
             array = np.memmap(path, dtype, "r")
@@ -231,7 +246,7 @@ class Scorer:
                     at = np.minimum(np.searchsorted(table, part), len(table) - 1)
                     hit = table[at] == part
                     ids[start:end] = np.where(hit, at + (offsets[b] if offsets else 0), -1)
-                    counts[start:end] = np.where(hit, self.arrays.get(f"{name}-{b}.counts", "<u4" if name == "pairs" else "<u8")[at], 0)
+                    counts[start:end] = np.where(hit, self.arrays.get(f"{name}-{b}.counts", None, len(table))[at], 0)
             start = end
         return ids, counts
 
@@ -330,9 +345,10 @@ def discounts_of(n: list[int]) -> tuple[float, float, float]:
 
 
 def train(texts: DataFrame, uri: str, buckets: int | None = None) -> Model:
-    """Count the texts and write the model's arrays below uri."""
+    """Count the texts and write the model's arrays below uri, by default in a bucket for each BUCKET_BYTES and a partition at least."""
     spark = texts.sparkSession
-    buckets = buckets or partitions_of(spark)
+    if not buckets:
+        buckets = max(partitions_of(spark), (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     cuts = hash_cuts(buckets)
     texts = texts.select("text")
 
@@ -343,7 +359,7 @@ def train(texts: DataFrame, uri: str, buckets: int | None = None) -> Model:
     def write_words(batches):
         for b, keys, sums in _buckets(batches, "<u8"):
             save(uri, f"words-{b}.keys", keys)
-            save(uri, f"words-{b}.counts", sums.astype("<u8"))
+            save(uri, f"words-{b}.counts", narrow(sums))
             yield pa.RecordBatch.from_pylist([{"bucket": b, "words": len(keys), "tokens": int(sums.sum())}])
 
     sizes = {r[0]: r[1:] for r in _gathered(texts.mapInArrow(count_words, RUN), buckets).mapInArrow(write_words, "bucket long, words long, tokens long").collect()}
@@ -378,7 +394,7 @@ def train(texts: DataFrame, uri: str, buckets: int | None = None) -> Model:
     def write_pairs(batches):
         for b, keys, sums in _buckets(batches, "<u8"):
             save(uri, f"pairs-{b}.keys", keys)
-            save(uri, f"pairs-{b}.counts", np.minimum(sums, 0xFFFFFFFF).astype("<u4"))
+            save(uri, f"pairs-{b}.counts", narrow(sums))
             pair = unmixed(keys)
             v, w = (pair >> HALF).astype(np.uint32), (pair & LOW).astype(np.uint32)
             rows = np.zeros((2 * len(v), STATS), np.int64)
@@ -404,7 +420,7 @@ def train(texts: DataFrame, uri: str, buckets: int | None = None) -> Model:
     # The runs are written, as both the numbers met and the sums by id are read from them.
     runs = written(_gathered(texts.mapInArrow(count_pairs, RUN), buckets).mapInArrow(write_pairs, stats_schema), "stats")
     met = runs.filter("met IS NOT NULL").select([F.sum(F.col("met")[k]) for k in range(5)]).first()
-    low = _gathered(runs.select("bucket", "keys", "sums"), buckets).mapInArrow(write_stats, "met array<long>").select([F.sum(F.col("met")[k]) for k in range(5)]).first()
+    low = _gathered(runs.select("bucket", "keys", "sums"), buckets + 1).mapInArrow(write_stats, "met array<long>").select([F.sum(F.col("met")[k]) for k in range(5)]).first()
     model.discounts, model.pairs = discounts_of(list(met[:4])), met[4]
     model.low_discounts, model.followers = discounts_of(list(low[:4])), (low[0], low[1], low[4])
     return model
