@@ -6,8 +6,9 @@ all documents and different ones stay different. What doesn't validate stays.
 
 * card: 13 to 19 digits that pass Luhn; all digits but the last are permuted and
   the check digit is computed anew, so the pseudonym passes as well.
-* iban: country and length stay, the account's letters and digits are permuted in
-  their classes, and the check digits are computed anew.
+* iban (in one or in groups of four of its country's length): country, length and
+  groups stay, the account's letters and digits are permuted in their classes, and the
+  check digits are computed anew.
 * ssn (ddd-dd-dddd of a valid area, group and serial), phone: digits are permuted,
   an international prefix stays; an ssn walks its cycle until it is valid.
 * ip: dotted octets, permuted as 32 bits.
@@ -16,6 +17,10 @@ all documents and different ones stay different. What doesn't validate stays.
 * email: letters and digits of the local part are permuted in their classes.
 * secret: 32 to 64 hexadecimal digits with both letters and digits.
 
+Not covered: names, postal addresses, IPv6, secrets in other alphabets, dates with
+month names, phone numbers without a prefix that aren't ten digits of the North
+American plan, and values with line breaks or other separators inside.
+
 A network never moves a character: even rounds shift the first half by a hash of
 the second, odd rounds the second by a hash of the first, each character within
 its own class. That is a bijection for every key and format.
@@ -38,18 +43,27 @@ ROUNDS = 8
 #: 270 * 271 days: both halves of a day number fill their modulus.
 FIRST_DAY, HIGH, LOW = "1900-01-01", 270, 271
 
+#: Lengths of account numbers by country (fixed values of ISO 13616), for those in groups.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+GROUPED_IBAN = "|".join(
+    "(?:" + "|".join(countries.split()) + r")\d{2}(?: [A-Z0-9]{4}){" + str(n // 4 - 1) + "}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, countries in IBAN_LENGTHS.items()
+)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)",
+    "iban": r"(?<!\w)(?:[A-Z]{2}\d{2}[A-Z0-9]{11,30}|" + GROUPED_IBAN + r")(?!\w)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[./-]\w)",
     "ip": r"(?<![\w.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?!\w|\.\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     # Plain, or in fours (or as 4-6-5) with one separator throughout, so that neighbours aren't taken for one.
     "card": r"(?<![\w+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,4}|\d{4}-\d{4}-\d{4}-\d{1,4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-])",
     # Of fixed length where the plan is known; else groups up to what can't belong to it.
-    "phone": r"(?<![\w+-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ -]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-]|\.\d)",
+    "phone": r"(?<![\w+-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ -]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|[2-9]\d{2}\.[2-9]\d{2}\.\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4})(?![\w-]|\.\d)",
 }
 KINDS = tuple(PATTERNS)
 #: In this order: a place goes to the first kind whose form fits there.
@@ -67,9 +81,7 @@ def _chars(text: Column) -> Column:
 
 def _shifted(chars: Column, other: Column, tweak: Column, alphabets: tuple) -> Column:
     """Each letter or digit moves on in its class by a byte of the hash of the other half."""
-    digest = F.sha2(F.concat_ws("|", tweak, F.array_join(other, "")).cast("binary"), 256)
-
-    def move(c, i):
+    def move(digest, c, i):
         by = F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 32).cast("int")
         out = c
         for letters in alphabets:
@@ -77,7 +89,8 @@ def _shifted(chars: Column, other: Column, tweak: Column, alphabets: tuple) -> C
             out = F.when((at > 0) & (c != ""), F.substring(F.lit(letters), F.pmod(at - 1 + by, F.lit(len(letters))).cast("int") + 1, F.lit(1))).otherwise(out)
         return out
 
-    return let(digest, lambda _: F.transform(chars, move))
+    hashed = F.sha2(F.concat_ws("|", tweak, F.array_join(other, "")).cast("binary"), 256)
+    return let(hashed, lambda digest: F.transform(chars, lambda c, i: move(digest, c, i)))
 
 
 def permuted(text: Column, kind: str, key: str, alphabets: tuple = PLAIN) -> Column:
@@ -132,13 +145,13 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-
-    def pseudonym(_):
-        return let(permuted(rest, "iban", key), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+    def checked(x):
+        country, rest = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
+        new = let(permuted(rest, "iban", key), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+        grouped = F.when(m.contains(" "), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new)
+        return F.when(_mod97(F.concat(rest, country, F.substring(x, 3, 2))) == 1, grouped).otherwise(m)
 
-    valid = _mod97(F.concat(rest, country, F.substring(m, 3, 2))) == 1
-    return F.when(valid, pseudonym(None)).otherwise(m)
+    return let(F.replace(m, F.lit(" "), F.lit("")), checked)
 
 
 def _ssn_valid(m: Column) -> Column:
