@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, ascii_lower, documents, drop_written, let, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-FANOUT, BATCHES = 4, 4
+#: Runs of a level that are compacted; batches at least, and lines at stake that make one more.
+FANOUT, BATCHES, BATCH_LINES = 3, 6, 50_000_000
 
 
 def lines_of(text: Column) -> Column:
@@ -112,8 +113,8 @@ def _with_hash(lines: DataFrame, keys: DataFrame, width: int = 48) -> DataFrame:
     return lines.join(F.broadcast(keys) if small else keys, ["h1", "h2"])
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """doc_id and pos of the lines to drop."""
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
+    """doc_id and pos of the lines to drop; without a number of batches, one for each BATCH_LINES held and BATCHES at least."""
     lines = written(keyed_lines(docs, min_chars), "lines")
     enough = F.col("n") >= min_docs
     # Rows that hold a line are at least as many as documents; these are counted exactly for what is left.
@@ -121,6 +122,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     held = written(_with_hash(lines, candidates), "held")
     drop_written(lines)
     frequent = written(held.filter("first").select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("h1", "h2"), "frequent")
+    batches = batches or max(BATCHES, held.count() // BATCH_LINES)
     cuts = docs.agg(F.percentile_approx("doc_id", [1 - b / batches for b in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     batch = F.lit(0)
     for cut in cuts or ():
@@ -133,7 +135,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return _with_hash(repeated.drop("batch"), state.merged()).filter("doc_id < last_doc").select("doc_id", "pos")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """The input with its texts' repeated lines dropped, and n_lines, n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
     dropped = dropped_lines(docs.select("doc_id", "text"), min_chars, min_docs, batches, fanout)
