@@ -2,7 +2,7 @@
 
 A text's terms are the bigrams of its characters' classes (64 of them: letters
 without case and one more for capitals, digits, white space, each common symbol,
-...) and of its words' lengths and repetitions; they carry how a text is written,
+other scripts by groups, ...) and of its words' lengths and repetitions; they carry how a text is written,
 whatever its words. Counts are damped, weighted by inverse document frequency over
 all documents, and scaled to length 1. The space is the leading singular vectors of
 the labelled sample.
@@ -44,9 +44,14 @@ SYMBOLS = ".,;:!?'\"()-#*$%&|<>@_/+="
 
 @lru_cache(1)
 def character_classes() -> np.ndarray:
-    """Class of each byte of UTF-8: letters without case, a class a symbol, one for all other bytes of a kind."""
+    """Class of each byte of UTF-8: letters without case, a class a symbol, one for all other bytes of a kind.
+
+    First bytes of other letters have seven classes, by groups of scripts.
+    """
     out = np.full(256, 63, np.uint8)  # other ASCII
-    out[0x80:0xC0], out[0xC0:] = 60, 61  # further and first bytes of other letters
+    out[0x80:0xC0] = 60  # further bytes of other letters
+    for first, cls in ((0xC0, 54), (0xCA, 55), (0xD0, 56), (0xD5, 57), (0xE0, 58), (0xE3, 59), (0xF0, 61)):  # Latin, Greek, Cyrillic, Hebrew and Arabic, Indic and marks, East Asian, others
+        out[first:] = cls
     for i in range(26):
         out[97 + i] = out[65 + i] = 1 + i
     out[48:58] = 27

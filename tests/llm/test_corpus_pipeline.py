@@ -4,10 +4,19 @@ import pytest
 
 import corpus_pipeline
 from palimpsest.llm import quality_rules
+from palimpsest.llm.tokens import vocabulary
 
+from .test_models import crc, ids_of, plain_components, words
 from .test_native import plain_dedup
 
 
+def plain_representatives(texts):
+    """The least ids of groups linked by a similarity of 0.8 and more of five-word shingles; texts without words are alike."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for d, t in texts.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    return set(plain_components(sets, near).values())
+
+
 @pytest.fixture(scope="module")
 def sf(spark, docs, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("sf"))
@@ -29,6 +38,13 @@ def test_stages_follow_plain_versions(spark, docs, sf, tmp_path):
     assert set(states[0]) == rules  # no host is bad enough to lose its clean documents
     assert {d: r["text"] for d, r in states[1].items()} == plain_dedup({d: r["text"] for d, r in states[0].items()})
     assert all(r["n_chars"] == len(r["text"]) for r in states[1].values())
+    assert set(states[2]) == plain_representatives({d: r["text"] for d, r in states[1].items()})
+    assert set(states[3]) == {d for d, r in states[2].items() if d != 7}  # the benchmark's one item is a line of it
+    pieces, want = [tuple(r)[:5] for r in now.collect()], []
+    for d, r in states[3].items():
+        ids = ids_of(vocabulary("word_bpe_49k.json"), r["text"], 1)
+        want += [(d, k, at, len(ids[at : at + 4096]), crc(ids[at : at + 4096])) for k, at in enumerate(range(0, len(ids), 4096))]
+    assert set(pieces) == set(want) and len(pieces) == len(want) + 1  # one document has two rows
     # The copies' one line stays in the last of them, which so stands for the near copies; the others are empty and alike.
     assert set(states[2]) & {40, 41, 42, 43, 50, 51, 52, 53} == {40, 43}
     assert set(states[2]) - set(states[3]) == {7}

@@ -112,7 +112,7 @@ def test_similar_documents(spark):
     assert all(found[3 * g + 2] == 3 * g + 2 for g in range(60))
 
 
-@pytest.mark.parametrize("part", [8 << 20, 30_000])
+@pytest.mark.parametrize("part", [8 << 20, 100_000])
 def test_similar_documents_are_exactly_those_of_the_threshold(spark, monkeypatch, part):
     monkeypatch.setattr(similar, "PART_BYTES", part)  # a small part deals a bucket to many tiles
     rng = random.Random(4)
@@ -173,6 +173,13 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_component_around_a_hub(spark):
+    hub = spark.range(100_000).select(F.lit(50_000).alias("a"), F.col("id").alias("b"))
+    tail = spark.createDataFrame([(99_999, 100_000), (100_000, 100_001)], "a long, b long")
+    got = components.components(hub.unionByName(tail)).groupBy("root").count().collect()
+    assert [(r["root"], r["count"]) for r in got] == [(0, 100_001)]
+
+
 # -- decontamination --------------------------------------------------------------------
 
 
@@ -331,6 +338,47 @@ def test_bundles_are_sums_of_bound_trigrams():
     assert (language.text_vectors([text, None], 64, 1)[0] == want).all() and not language.text_vectors([None, ""], 64, 1).any()
 
 
+def test_predictions_of_a_whole_table_against_plain_ones(spark):
+    """Trigram by trigram, with the same letters' vectors; prototypes from the documents that may teach."""
+    from functools import lru_cache
+
+    v = language.letter_vectors(language.DIMENSIONS, language.SEED).astype(float)
+    cls = language.letter_classes()
+
+    @lru_cache(None)
+    def bound(a, b, c):
+        return np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+
+    def vector(text):
+        padded = [0]
+        for ch in (text or "").lower():
+            k = int(cls[ord(ch)])
+            if k or padded[-1]:
+                padded.append(k)
+        padded += [0] if padded[-1] else []
+        out = np.zeros(language.DIMENSIONS)
+        for t, n in Counter(zip(padded, padded[1:], padded[2:])).items():
+            out += n * bound(*t)
+        return out / (np.linalg.norm(out) or 1)
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    vectors = {r["doc_id"]: vector(r["text"]) for r in rows}
+    learned = defaultdict(lambda: np.zeros(language.DIMENSIONS))
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None and r["text"] is not None:
+            learned[r["lang"]] += vectors[r["doc_id"]]
+    names = sorted(learned)
+    table = np.array([learned[n] / np.linalg.norm(learned[n]) for n in names])
+    got = {r["doc_id"]: r for r in language.op5_language(spark, SF).collect()}
+    assert set(got) == set(vectors)
+    for r in rows:
+        cosines = table @ vectors[r["doc_id"]]
+        best = int(np.argmax(cosines))
+        near = np.sort(cosines)[-2:]
+        assert abs(got[r["doc_id"]]["score"] - max(0.0, cosines[best])) < 1e-4
+        assert got[r["doc_id"]]["lang_pred"] == names[best] or near[1] - near[0] < 1e-5
+
+
 # -- packing and token files ----------------------------------------------------------------
 
 
@@ -350,7 +398,7 @@ def crc(ids):
 def test_cached_words_change_no_id(name, cut):
     enc, rng = Encoder(vocabulary(name), cut), random.Random(2)
     letters = "aZéßΣİıŉǅ fi .,'\n\t 09ñ́ \x1c中-"
-    texts = ["", " a", "a  b", "a\n b", "a b\n", "a \n", "it's 'tis", "x　y", "<|endoftext|> x", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000))]
+    texts = ["", " a", "a  b", "a\n b", "a b\n", "a \n", "it's 'tis", "x　y", "<|endoftext|> x", "one two.\nThree 'tis\n'tis four,\nfive\n\nsix \nseven\r\neight\n\tnine\n10\n", "a\nb c\nd", "\na b", "a b\n\nc", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(3000))]
     assert all(list(enc.encode(t)) == enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts)
     assert len(enc.encode(None)) == 0
 
@@ -526,6 +574,17 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classify(empty, model).count() == 0
 
 
+def test_scripts_and_very_long_texts_are_told_apart(spark):
+    rng = random.Random(15)
+    text = lambda letters, n=200: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    kinds = ("αβγδε", "абвгд", "אבגדה", "あいうえお")
+    rows = [(i, text(kinds[i % 4])) for i in range(200)] + [(500, text(kinds[1], 60_000))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = table.filter("doc_id < 100").select("doc_id", F.when(F.col("doc_id") % 4 == 1, 1).otherwise(0).alias("quality"))
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.classify(table, quality_classifier.fit(table, labels)).collect()}
+    assert all((scores[i] >= 0.5) == (i % 4 == 1) for i in range(100, 200)) and scores[500] >= 0.5
+
+
 def test_votes_are_exact_cosines(docs, corpus):
     labels = docs.filter("doc_id < 40").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     model = quality_classifier.fit(docs, labels)
@@ -538,7 +597,7 @@ def test_votes_are_exact_cosines(docs, corpus):
         assert math.isclose(score, (weight * model["y"][near]).sum() / weight.sum(), rel_tol=1e-4)
 
 
-@pytest.mark.parametrize("run", [lambda d: simhash.near_duplicates(d), lambda d: similar.similar_documents(d), lambda d: packing.pack_documents(d), lambda d: language.predict(d, *language.learn(d)), lambda d: language_model.score(d, language_model.train(d, scratch(d.sparkSession, "m")))], ids=["simhash", "similar", "packing", "language", "model"])
+@pytest.mark.parametrize("run", [lambda d: simhash.near_duplicates(d), lambda d: similar.similar_documents(d), lambda d: packing.pack_documents(d), lambda d: language.predict(d, *language.learn(d)), lambda d: language_model.score(d, language_model.train(d, scratch(d.sparkSession, "m"))), lambda d: quality_classifier.classify(d, quality_classifier.fit(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))))], ids=["simhash", "similar", "packing", "language", "model", "classifier"])
 def test_clashing_columns_and_missing_ids(run, docs, clashing, nameless):
     assert run(clashing).count() >= docs.count()
     assert run(nameless).count() >= nameless.count()
