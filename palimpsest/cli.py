@@ -1,4 +1,4 @@
-"""Command line: compare, apply, pipeline (or full), accept, reject, summary, validate."""
+"""Command line: compare, apply, pipeline (or full), accept, reject, summary, validate, doctor."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from . import schema as S
 from .operators.compare import compare_into
 from .operators.document import EditError
 from .operators.planner import apply_ops, check_actions
+from .plans.engines import doctor
 from .plans.pipeline import inline_actions, inline_comments, load_plan, revise
 from .plans.review import REVIEWERS, Cache, get_engine, get_reviewer
 from .sources import ooxml
@@ -61,6 +62,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument(flag, action="append")
     add("summary", "source").add_argument("--limit", type=int)
     add("validate", "plan")
+    p = add("doctor")
+    p.add_argument("--engine", required=True, metavar="NAME")
+    p.add_argument("--model")
     return out
 
 
@@ -68,11 +72,13 @@ def reviewer_of(a: argparse.Namespace):
     """The reviewer that the flags describe."""
     if not a.reviewer:
         return None
-    if REVIEWERS[a.reviewer] is not REVIEWERS["chunked"]:
+    if REVIEWERS[a.reviewer] is REVIEWERS["rules"]:
         return get_reviewer(a.reviewer)
     if not a.engine:
-        raise EditError("a review in parts needs --engine")
+        raise EditError(f"the reviewer {a.reviewer} needs --engine")
     engine = get_engine(a.engine, **({"model": a.model} if a.model else {}))
+    if REVIEWERS[a.reviewer] is not REVIEWERS["chunked"]:
+        return get_reviewer(a.reviewer, engine=engine)
     say = lambda *x: print("  ", *x, file=sys.stderr, flush=True)
     return get_reviewer(
         a.reviewer, engine=engine, segment_tokens=a.segment_tokens, concurrency=a.concurrency, triage=not a.no_triage, min_coverage=a.min_coverage, max_actions=a.max_actions,
@@ -101,6 +107,9 @@ def main(argv: list[str] | None = None) -> int:
             bad = check_actions(load_plan(a.plan.read_text()))
             print("\n".join(bad) or "ok")
             return int(bool(bad))
+        if a.command == "doctor":
+            print(doctor(get_engine(a.engine, **({"model": a.model} if a.model else {}))))
+            return 0
         if a.command == "summary":
             print(ooxml.read(a.source.read_bytes()).summary(a.limit))
             return 0
@@ -117,7 +126,7 @@ def main(argv: list[str] | None = None) -> int:
                 (doc.accept if a.command == "accept" else doc.reject)(ids=_csv(a.id), authors=_csv(a.by), kinds=_csv(a.kind))
         a.output.write_bytes(ooxml.write(doc))
         return 0
-    except (EditError, OSError, ValueError) as why:
+    except (EditError, OSError, RuntimeError, ValueError) as why:
         print(f"error: {why}", file=sys.stderr)
         return 2
 

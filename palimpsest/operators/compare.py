@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from copy import deepcopy
 from dataclasses import asdict, dataclass
 from difflib import SequenceMatcher
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +30,20 @@ class Stats:
         return ", ".join(f"{n.replace('_', ' ')}: {v}" for n, v in asdict(self).items())
 
 
+def side_by_side(old: list, new: list, key: Callable, alike: Callable) -> Iterator[tuple[str, int | None, int | None]]:
+    """Places of two lists in one order: equal, change and unlike (pairs), delete and insert (of one list alone).
+
+    Between the longest common parts by key, what is left is paired in order; a pair that
+    isn't alike is no change, but one thing for another.
+    """
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, list(map(key, old)), list(map(key, new)), autojunk=False).get_opcodes():
+        for i, j in zip_longest(range(i1, i2), range(j1, j2)):
+            if i is None or j is None:
+                yield "insert" if i is None else "delete", i, j
+            else:
+                yield tag if tag == "equal" else "change" if alike(old[i], new[j]) else "unlike", i, j
+
+
 def block_key(block: Paragraph | Table) -> str:
     """Text without regard to blanks; of a table only how many rows it has, as its rows are compared next."""
     return f"P:{plain.normalise(block.text)}" if isinstance(block, Paragraph) else f"T:{len(block.rows)}"
@@ -37,107 +53,73 @@ def row_key(row: Row) -> str:
     return " | ".join(map(plain.normalise, row.texts))
 
 
-def _aligned(old: list, new: list, key) -> list[tuple[str, int, int, int, int]]:
-    return SequenceMatcher(None, list(map(key, old)), list(map(key, new)), autojunk=False).get_opcodes()
-
-
 class Comparison:
-    """Turns `doc` into `revised`, change by change."""
+    """Turns `doc` into `revised`: each list of blocks and rows is built anew from both, side by side."""
 
     def __init__(self, doc: Document, floor: float = S.SIMILARITY_FLOOR) -> None:
         self.doc, self.floor, self.stats = doc, floor, Stats()
 
     def run(self, revised: Document) -> Stats:
-        self._blocks(self.doc.body, list(revised.body))
+        self.doc.body[:] = self.merged(self.doc.body, revised.body, block_key)
         return self.stats
 
-    def _blocks(self, home: list, new: list) -> None:
-        old = list(home)
-        for tag, i1, i2, j1, j2 in _aligned(old, new, block_key):
-            a, b = old[i1:i2], new[j1:j2]
-            if tag == "equal":
-                for x, y in zip(a, b):
-                    if isinstance(x, Table):
-                        self._table(x, y)
-            elif tag == "delete":
-                self._strike(a)
-            elif tag == "insert":
-                self._graft(home, old[i1 - 1] if i1 else None, b)
-            else:
-                self._replace(home, old, i1, a, b)
-
-    def _replace(self, home: list, old: list, i1: int, a: list, b: list) -> None:
-        for x, y in zip(a, b):
-            both = (isinstance(x, Paragraph), isinstance(y, Paragraph))
-            if both == (True, True) and plain.similarity(x.text, y.text) >= self.floor:
-                self.stats.paragraphs_changed += bool(self.doc.set_text(x, y.text))
-            elif both == (False, False):
-                self._table(x, y)
-            else:
-                self._strike([x])
-                self._graft(home, x, [y])
-        self._strike(a[len(b) :])
-        if len(b) > len(a):
-            self._graft(home, a[-1] if a else (old[i1 - 1] if i1 else None), b[len(a) :])
-
-    def _strike(self, blocks: list) -> None:
-        for x in blocks:
-            if isinstance(x, Paragraph):
-                self.doc.delete_paragraph(x)
-                self.stats.paragraphs_deleted += 1
-            else:
-                for row in x.rows:
-                    self.doc.delete_row(row)
-                    self.stats.rows_deleted += 1
-
-    def _marked(self, p: Paragraph) -> Paragraph:
+    def merged(self, old: list, new: list, key: Callable) -> list:
+        out = []
+        for kind, i, j in side_by_side(old, new, key, self.alike):
+            if kind in ("equal", "change"):
+                self.bring(old[i], new[j], kind == "change")
+            elif i is not None:
+                self.strike(old[i])
+            if i is not None:
+                out.append(old[i])
+            if i is None or kind == "unlike":
+                out.append(self.copy(new[j]))
+        return out
+
+    def alike(self, x, y) -> bool:
+        """Whether one can be rewritten as the other: rows and tables always, paragraphs from the floor on."""
+        if type(x) is not type(y):
+            return False
+        return not isinstance(x, Paragraph) or plain.similarity(x.text, y.text) >= self.floor
+
+    def bring(self, x, y, changed: bool) -> None:
+        if isinstance(x, Table):  # equal ones too, as their keys say little
+            x.rows[:] = self.merged(x.rows, y.rows, row_key)
+        elif isinstance(x, Paragraph):
+            self.stats.paragraphs_changed += changed and bool(self.doc.set_text(x, y.text))
+        elif changed:
+            for cell, other in zip(x.cells, y.cells):
+                was, now = ("\n".join(p.text for p in c) for c in (cell, other))
+                if plain.normalise(was) != plain.normalise(now):
+                    self.doc.set_cell(cell, now)
+                    self.stats.cells_changed += 1
+
+    def strike(self, x) -> None:
+        if isinstance(x, Paragraph):
+            self.doc.delete_paragraph(x)
+            self.stats.paragraphs_deleted += 1
+            return
+        for row in x.rows if isinstance(x, Table) else [x]:
+            self.doc.delete_row(row)
+            self.stats.rows_deleted += 1
+
+    def copy(self, x):
+        """A copy that is tracked as put in."""
+        if isinstance(x, Paragraph):
+            self.stats.paragraphs_inserted += 1
+            return self._paragraph(x)
+        if isinstance(x, Table):
+            return Table([self.copy(r) for r in x.rows], deepcopy(x.props))
+        self.stats.rows_inserted += 1
+        return Row([[self._paragraph(p) for p in cell] for cell in x.cells], self.doc._rev("ins"), list(x.props), list(x.cell_props))
+
+    def _paragraph(self, p: Paragraph) -> Paragraph:
         new = Paragraph(deepcopy([x for x in p.pieces if x.shown and not isinstance(x.opaque, Anchor)]), copied(p.props), (self.doc._rev("ins"),), heading=p.heading)
         rev = self.doc._rev("ins")
         for x in new.pieces:
             x.revs, x.old_fmt, x.fmt_rev = (rev,), None, None
         return new
 
-    def _graft(self, home: list, anchor, blocks: list) -> None:
-        """Insert copies behind an anchor, and behind what was put there before."""
-        at = next((i for i, x in enumerate(home) if x is anchor), -1) + 1
-        while at < len(home) and id(home[at]) in getattr(self, "_new", set()):
-            at += 1
-        for x in blocks:
-            if isinstance(x, Paragraph):
-                fresh = self._marked(x)
-                self.stats.paragraphs_inserted += 1
-            else:
-                fresh = Table([self._fresh_row(r) for r in x.rows], deepcopy(x.props))
-                self.stats.rows_inserted += len(x.rows)
-            self.__dict__.setdefault("_new", set()).add(id(fresh))
-            self.__dict__.setdefault("_kept", []).append(fresh)  # ids stay unique while it lives
-            home.insert(at, fresh)
-            at += 1
-
-    def _fresh_row(self, row: Row) -> Row:
-        return Row([[self._marked(p) for p in cell] for cell in row.cells], self.doc._rev("ins"), list(row.props), list(row.cell_props))
-
-    def _table(self, old: Table, new: Table) -> None:
-        rows = list(old.rows)
-        for tag, i1, i2, j1, j2 in _aligned(rows, new.rows, row_key):
-            if tag == "equal":
-                continue
-            a, b = rows[i1:i2], new.rows[j1:j2]
-            for x, y in zip(a, b):
-                for cell, other in zip(x.cells, y.cells):
-                    was, now = ("\n".join(p.text for p in c) for c in (cell, other))
-                    if plain.normalise(was) != plain.normalise(now):
-                        self.doc.set_cell(cell, now)
-                        self.stats.cells_changed += 1
-            for x in a[len(b) :]:
-                self.doc.delete_row(x)
-                self.stats.rows_deleted += 1
-            at = next((i for i, r in enumerate(old.rows) if r is (rows[i2 - 1] if i2 else None)), -1) + 1
-            for y in b[len(a) :]:
-                old.rows.insert(at, self._fresh_row(y))
-                self.stats.rows_inserted += 1
-                at += 1
-
 
 def compare_into(doc: Document, revised: Document, floor: float = S.SIMILARITY_FLOOR) -> Stats:
     return Comparison(doc, floor).run(revised)
@@ -156,18 +138,18 @@ def align(old: DataFrame, new: DataFrame, floor: float = S.SIMILARITY_FLOOR) ->
         a, b = a.sort_values("para_id"), b.sort_values("para_id")
         x, y = a["text"].tolist(), b["text"].tolist()
         p, q = a["para_id"].tolist(), b["para_id"].tolist()
-        rows = []
-        for tag, i1, i2, j1, j2 in _aligned(x, y, plain.normalise):
-            for k in range(max(i2 - i1, j2 - j1)):
-                i, j = (i1 + k if i1 + k < i2 else None), (j1 + k if j1 + k < j2 else None)
-                if i is None or j is None:
-                    rows.append((key[0], "insert" if i is None else "delete", None if i is None else p[i], None if j is None else q[j], None))
-                    continue
-                same = 1.0 if tag == "equal" else plain.similarity(x[i], y[j])
-                if tag == "equal" or same >= floor:
-                    rows.append((key[0], "equal" if tag == "equal" else "change", p[i], q[j], same))
-                else:
-                    rows += [(key[0], "delete", p[i], None, same), (key[0], "insert", None, q[j], same)]
+        rows, same = [], {}
+
+        def alike(u: str, v: str) -> bool:
+            same["now"] = plain.similarity(u, v)
+            return same["now"] >= floor
+
+        for kind, i, j in side_by_side(x, y, plain.normalise, alike):
+            left, right = (None if k is None else ids[k] for k, ids in ((i, p), (j, q)))
+            if kind == "unlike":
+                rows += [(key[0], "delete", left, None, same["now"]), (key[0], "insert", None, right, same["now"])]
+            else:
+                rows.append((key[0], kind, left, right, {"equal": 1.0, "change": same.get("now")}.get(kind)))
         return pd.DataFrame(rows, columns=["pair_id", "kind", "old_id", "new_id", "similarity"]).astype({"old_id": "Int32", "new_id": "Int32"})
 
     # New names' columns are new ones, so that two versions of one table can meet.

@@ -215,7 +215,7 @@ def q09b(spark, sf):
       t (id, label, level) AS (SELECT id, CAST(place AS STRING), 1 FROM s WHERE up IS NULL UNION ALL SELECT s.id, concat(t.label, '.', s.place), t.level + 1 FROM s JOIN t ON s.up = t.id) SELECT id, label, level FROM t""")
 
 
-_LEFT = TREE + f", x AS (SELECT *, {TITLE} AS title FROM t), g AS (SELECT * FROM x WHERE NOT ({GOES})), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY para_id)::INT AS place FROM g), n AS (SELECT s.*, CASE WHEN s.parent_id IS NULL THEN s.place::VARCHAR ELSE u.place || '.' || s.place END AS new_label FROM s LEFT JOIN s u ON u.doc_id = s.doc_id AND u.para_id = s.parent_id)"
+_LEFT = TREE + f", x AS MATERIALIZED (SELECT *, {TITLE} AS title FROM t), g AS (SELECT * FROM x WHERE NOT ({GOES})), s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY para_id)::INT AS place FROM g), n AS MATERIALIZED (SELECT s.*, CASE WHEN s.parent_id IS NULL THEN s.place::VARCHAR ELSE u.place || '.' || s.place END AS new_label FROM s LEFT JOIN s u ON u.doc_id = s.doc_id AND u.para_id = s.parent_id)"
 
 
 def left(spark, sf):
@@ -232,7 +232,7 @@ def q11(spark, sf):
     return C.gaps(C.tree(left(spark, sf))).select("doc_id", "para_id", "label", "place")
 
 
-_REFS = r", rm AS (SELECT doc_id, para_id, regexp_extract(text, 'Section (\d+\.\d+) and (\d+)', ['a', 'b']) AS m FROM l WHERE contains(text, 'Section ')), rr AS (SELECT doc_id, para_id, unnest([m.a, m.b]) AS number FROM rm)"
+_REFS = r", rm AS (SELECT doc_id, para_id, regexp_extract(text, 'Section (\d+\.\d+) and (\d+)', ['a', 'b']) AS m FROM l WHERE contains(text, 'Section ')), rr AS MATERIALIZED (SELECT doc_id, para_id, unnest([m.a, m.b]) AS number FROM rm)"
 
 
 @query("q12_references", f"WITH {CLAUSES}{_REFS} SELECT rr.doc_id, para_id, rr.number, own.number IS NULL AS broken FROM rr LEFT JOIN (SELECT DISTINCT doc_id, label AS number FROM c) own ON own.doc_id = rr.doc_id AND own.number = rr.number")
@@ -317,7 +317,7 @@ def q22(spark, sf):
     return R.merge_marks(lines(spark, sf), F.col("para_id") % 3 == 1).select("doc_id", "para_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("q23_span_overlaps", f"WITH {CONTRACTS}, {EDITS}, {HITS}, v AS (SELECT *, {VERDICT} AS rejection FROM h), s AS (SELECT doc_id, para_id, seq, (CASE WHEN occurrence = 0 THEN hits[1] ELSE hits[occurrence] END) AS s, length(target) AS n FROM v WHERE rejection IS NULL) SELECT a.doc_id, a.para_id, a.seq AS first, b.seq AS second FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.para_id = b.para_id AND a.seq < b.seq AND a.s < b.s + b.n AND b.s < a.s + a.n")
+@query("q23_span_overlaps", f"WITH {CONTRACTS}, {EDITS}, {HITS}, v AS (SELECT *, {VERDICT} AS rejection FROM h), s AS MATERIALIZED (SELECT doc_id, para_id, seq, (CASE WHEN occurrence = 0 THEN hits[1] ELSE hits[occurrence] END) AS s, length(target) AS n FROM v WHERE rejection IS NULL) SELECT a.doc_id, a.para_id, a.seq AS first, b.seq AS second FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.para_id = b.para_id AND a.seq < b.seq AND a.s < b.s + b.n AND b.s < a.s + a.n")
 def q23(spark, sf):
     found = E.locate(edits(spark, sf), contracts(spark, sf)).filter("rejection IS NULL")
     return E.overlaps(found.select("doc_id", "para_id", "seq", F.get("spans", 0)["start"].alias("start"), F.get("spans", 0)["end"].alias("end")))

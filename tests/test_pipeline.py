@@ -175,6 +175,50 @@ def test_flags_of_the_command_line(tmp_path, capsys):
         assert cli.main(["full", str(a), str(out), "--reviewer", "chunked", "--engine", engine, "--segment-tokens", "60", "--cache-dir", str(tmp_path / "c"), "--refresh", "--max-actions", "3", "--brief", "b", "--merge-report", str(merged)]) == 0
     assert "segments read" in capsys.readouterr().out and json.loads(merged.read_text()) == []
     assert cli.main(["full", str(a), str(out), "--reviewer", "long", "--engine", "nobody"]) == 2
+    assert cli.main(["full", str(a), str(out), "--reviewer", "whole", "--engine", "scripted"]) == 0
+    assert cli.main(["doctor", "--engine", "scripted", "--model", "m"]) == 0 and "1 items in" in capsys.readouterr().out
+
+
+PLAN = {"summary": "s", "action_items": [{**item("a", "comment", clause="1.1", text="t"), "find": None}]}
+
+
+@pytest.mark.parametrize("kind", ["tool", "text"])
+def test_engines_ask_and_read_in_both_dialects(kind):
+    from palimpsest.plans import engines
+
+    asked = []
+
+    def good(payload):
+        if kind == "tool":
+            return {"content": [{"type": "text", "text": "so"}, {"type": "tool_use", "input": payload}], "stop_reason": "tool_use", "usage": {"input_tokens": 7, "output_tokens": 2}}
+        return {"status": "completed", "output": [{"content": [{"type": "output_text", "text": json.dumps(payload)}]}], "usage": {"input_tokens": 7, "input_tokens_details": {"cached_tokens": 3}}}
+
+    def send(request):
+        asked.append(request)
+        found = replies.pop(0)
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    make = engines.ToolEngine if kind == "tool" else engines.TextEngine
+    engine, replies = make(send, "m"), [good(PLAN), good({"notes": "n", "selections": []}), good(PLAN)]
+    assert engine.emit("p", 99) == [item("a", "comment", clause="1.1", text="t")]
+    assert engine.decide("p", {"type": "object"}, 9) == {"notes": "n", "selections": []}
+    assert engine.usage["input"] == 14 and asked[0]["model"] == "m" and "emit_plan" in json.dumps(asked[0])
+    doc = from_texts(AGREEMENT)
+    assert engines.WholeReviewer(engine).propose(doc, "brief")[0]["clause"] == "1.1" and "Hives" in json.dumps(asked[-1])
+    cut = {"content": [], "stop_reason": "max_tokens"} if kind == "tool" else {"status": "incomplete", "incomplete_details": {"reason": "max_output_tokens"}}
+    refused = {"content": [], "stop_reason": "refusal"} if kind == "tool" else {"output": [{"content": [{"type": "refusal", "refusal": "no"}]}]}
+    odd = {"content": []} if kind == "tool" else {"output": [{"content": [{"type": "output_text", "text": "{"}]}]}
+    for reply, error in ((cut, review.Truncated), (refused, RuntimeError), (odd, RuntimeError), ({}, RuntimeError), (good({}), RuntimeError), (ConnectionResetError("x"), review.Interrupted), (OSError("HTTP 500"), RuntimeError), (OSError("HTTP 401"), engines.Credentials), (PermissionError("who"), engines.Credentials)):
+        replies[:] = [reply]
+        with pytest.raises(error):
+            engine.emit("p", 9)
+    replies[:] = [PermissionError("who")]
+    with pytest.raises(engines.Credentials):  # it isn't tried again, nor taken for a segment's failure
+        review.Reviewer(engine, backoff=0).propose(doc, "b")
+    replies[:] = [good(PLAN)]
+    assert "1 items in" in engines.doctor(engine) and not replies
 
 
 def test_repeated_numbers_are_told():
