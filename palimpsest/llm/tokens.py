@@ -9,7 +9,9 @@ holds:
 * "space", a byte-level vocabulary whose pattern starts a token at every single
   space between two other characters that are no white space. A text with other
   spaces is encoded whole; only words that are safe to cut at are remembered, so
-  that such a text shows as a miss.
+  that such a text shows as a miss. A single line break between two such characters
+  is a token of its own there, so what it parts is looked up by itself: the words on
+  both sides of a line's end hardly ever meet again.
 * "words", a BPE with word ends that drops white space, so that no token or
   normalisation reaches over it. Texts with the separators that only Python calls
   white space (U+001C to U+001F) are encoded whole.
@@ -63,7 +65,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.space = self.letters[0x20]
-        self.cut, self.new, self.old = cut, {}, {}
+        self.cut, self.new, self.old, self.bare = cut, {}, {}, {}
+        self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -74,10 +77,36 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(self.letters)
         return pack([t.id for t in self.model.tokenize(space + word)])
 
+    def _unspaced(self, word: str) -> bytes:
+        """Ids of a word that no space goes before."""
+        ids = self.bare.get(word)
+        if ids is None:
+            stem = word[:-1]
+            if word.isalpha() and max(word) < AFTER_LATIN:
+                ids = self._plain(word)
+            elif word[-1:] in (",", ".") and stem.isascii() and stem.isalpha():
+                ids = self._plain(stem) + self._plain(word[-1])
+            else:
+                ids = self._whole(word)
+            if len(word) <= LONGEST_WORD:
+                if len(self.bare) >= CACHE:
+                    self.bare = {}
+                self.bare[word] = ids
+        return ids
+
+    def _broken(self, word: str) -> bytes:
+        """Ids of a word, with a space before it, that has line breaks inside."""
+        first, *rest = word.split("\n")
+        if any(not x or x[0].isspace() or x[-1].isspace() for x in (first, *rest)):
+            return self._whole(" " + word)
+        return (self.new.get(first) or self._miss(first)) + b"".join([self.newline + self._unspaced(x) for x in rest])
+
     def _encoded(self, word: str) -> bytes:
         if self.cut == "space":
             if not word or word[0].isspace() or word[-1].isspace():
                 raise _Unsafe
+            if "\n" in word:
+                return self._broken(word)
             if word.isalpha() and max(word) < AFTER_LATIN:
                 return self._plain(word, self.space)
             stem = word[:-1]
@@ -99,7 +128,7 @@ class Encoder:
         ids = self.old.get(word)
         if ids is None:
             ids = self._encoded(word)
-        if len(word) <= LONGEST_WORD:
+        if len(word) <= LONGEST_WORD and "\n" not in word:
             if len(self.new) >= CACHE:
                 self.old, self.new = self.new, {}
             self.new[word] = ids
@@ -118,7 +147,7 @@ class Encoder:
             first, *words = text.split(" ")
             if not first or first[-1].isspace():
                 return np.frombuffer(self._whole(text), dtype="<u4")
-            head = self._whole(first)
+            head = self._whole(first) if "\n" in first else self._unspaced(first)
         try:
             return np.frombuffer(head + b"".join([get(w) or miss(w) for w in words]), dtype="<u4")
         except _Unsafe:
