@@ -119,8 +119,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, node, size, root, main (the root of most members) of the buckets with members in several components."""
-    placed = members.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    """key, node, root, main (the root of most members) of the buckets with members in several components."""
+    placed = members.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed")
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
     several = sizes.agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1").select("key", "main")
@@ -128,7 +128,7 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _tiles(mixed: DataFrame) -> DataFrame:
-    """Adds tile, asks, asked: who is outside the main component meets each part of its bucket in one tile.
+    """mixed: key, node, root, main, size (of the set). Gives tile, asks, asked: who is outside the main component meets each part of its bucket in one tile.
 
     A bucket's members are dealt to parts of about PART_BYTES, and those outside to
     parts of their own; a tile is one of these with one of those.
@@ -213,22 +213,24 @@ def _exactly(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, least: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """least: id, a, size, keys of distinct sets; gives links a, b of ids, whose components are those of all links."""
-    keyed = least.select(F.col("a").alias("node"), "id", "size", F.explode("keys").alias("key"))
+    keyed = least.select(F.col("a").alias("node"), F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(keyed.join(buckets, "key"), "members")
-    sets = written(_whole_sets(docs, written(members.select("id").distinct(), "candidates"), shingle), "sets")
+    candidates = least.join(members.select(F.col("node").alias("a")).distinct(), "a", "left_semi").select("id").distinct()
+    sets = written(_whole_sets(docs, written(candidates, "candidates"), shingle), "sets")
     prints = sets.select("node", *PRINT).dropDuplicates(["node"])
-    close = met(members.select("node", "key", "n").join(prints, "node").withColumnRenamed("node", "id"), WORDS, CLOSE)
+    sizes = sets.groupBy("node").agg(F.max(F.octet_length("shingles") / 8).cast("long").alias("size"))
+    close = met(members.join(prints, "node").withColumnRenamed("node", "id"), WORDS, CLOSE)
     pairs = written(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = written(_verified(pairs, sets), "links")
     mixed = _mixed(members, components(links.select("a", "b")))
-    moved, whole = mixed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], least.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    moved, whole = mixed.join(sizes, "node").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], least.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     turns = max(1, -(-moved // max(whole, PART_BYTES)))
     for turn in range(turns):
         if turn:
             mixed = _mixed(members, components(links.select("a", "b")))
         here = mixed.filter(F.pmod(F.col("key"), F.lit(turns)) == turn) if turns > 1 else mixed
-        links = links.unionByName(written(_exactly(here, sets), "links"))
+        links = links.unionByName(written(_exactly(here.join(sizes, "node"), sets), "links"))
     return links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
