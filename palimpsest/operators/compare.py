@@ -154,5 +154,7 @@ def align(old: DataFrame, new: DataFrame, floor: float = S.SIMILARITY_FLOOR) ->
 
     # New names' columns are new ones, so that two versions of one table can meet.
     cols = [F.col("pair_id").alias("p"), F.col("para_id").cast("int").alias("i"), F.coalesce("text", F.lit("")).alias("t")]
-    left, right = (x.select(cols).toDF("pair_id", "para_id", "text") for x in (old, new))
+    # Little data, but much to do with it: a number of partitions of its own isn't merged by size.
+    n = 2 * int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (x.select(cols).toDF("pair_id", "para_id", "text").repartition(n, "pair_id") for x in (old, new))
     return left.groupBy("pair_id").cogroup(right.groupBy("pair_id")).applyInPandas(run, ALIGNED)

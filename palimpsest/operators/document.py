@@ -88,8 +88,8 @@ class Paragraph:
     prop_rev: Rev | None = None
     heading: int | None = None
     comments: list[int] = field(default_factory=list)
-    origin: tuple | None = None  # its place in the package, and what stood there
-    source: str | None = None
+    origin: tuple | None = None  # its place in the package, its element's attributes, and all of it as it was read
+    source: dict | None = None
     state: str | None = None
 
     @property

@@ -487,7 +487,9 @@ def q39(spark, sf):
         want = [t.replace("days", "working days").replace("Note: ", "") for t in texts]
         return pd.DataFrame([[key[0], edits, len(again.revisions()), accepted.texts() == want, rejected.texts() == texts]], columns=["doc_id", "edits", "revisions", "accepts", "rejects"])
 
-    return contracts(spark, sf).groupBy("doc_id").applyInPandas(run, "doc_id long, edits int, revisions int, accepts boolean, rejects boolean")
+    # Little data, but much to do with it: a number of partitions of its own isn't merged by size.
+    spread = contracts(spark, sf).repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return spread.groupBy("doc_id").applyInPandas(run, "doc_id long, edits int, revisions int, accepts boolean, rejects boolean")
 
 
 @query("q40_aligned_versions")

@@ -357,7 +357,7 @@ def read_paragraph(el: ET.Element, moves: dict) -> Paragraph:
                 p.pieces.append(Piece("", revs, {}, opaque=[ET.tostring(x, "unicode")], wraps=wraps))
 
     inner(el, (), ())
-    p.source, p.state = ET.tostring(el, "unicode"), state_of(p)
+    p.source, p.state = dict(el.attrib), state_of(p)
     return p
 
 
@@ -501,8 +501,7 @@ def _anchor(x: Piece) -> ET.Element:
 
 def write_paragraph(p: Paragraph) -> ET.Element:
     el = _el("p")
-    if p.source:
-        el.attrib.update(ET.fromstring(p.source).attrib)
+    el.attrib.update(p.source or {})
     ppr = paragraph_props(p)
     if ppr is not None:
         el.append(ppr)
