@@ -1,5 +1,6 @@
 """Round trips of whole packages: what is written in one pass, copies, and what they cost."""
 
+import io
 import os
 import time
 from xml.etree import ElementTree as ET
@@ -74,3 +75,10 @@ def test_writing_a_long_document_costs_little_more_than_its_xml():
 def test_contracts_in_one_row_each(spark):
     rows = catalogue.contracts(spark, SF).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("para_id", "text"))), lambda x: x["text"]).alias("texts"))
     assert sorted(map(repr, rows.collect())) == sorted(map(repr, catalogue.contract_texts(spark, SF).collect()))
+
+
+def test_prefixes_wherever_they_are_declared():
+    many = " ".join(f'xmlns:p{i}="urn:{i:0100d}"' for i in range(30))
+    for part in ('<a xmlns:x="urn:x"/>', '<a xmlns="urn:x"><b xmlns:y="urn:y"/></a>', f"<a {many}><b/></a>", f"<!--{' ' * 5000}--><a {many}/>", "<a><b xmlns='urn:z'/></a>", "<a/>", '<a xmlns:x="urn:x">xmlns</a>'):
+        for data in (part.encode(), part.encode("utf-16")):
+            assert ooxml._spaces(data) == dict(x for _, x in ET.iterparse(io.BytesIO(data), ("start-ns",)))
