@@ -13,8 +13,9 @@ Counting, in Spark, over all training texts:
    ranges of ids and written as plain arrays by id.
 
 What moves between the steps are runs: sorted keys and their sums as binary
-columns, one for each bucket and some million tokens, so shuffles carry a few bytes
-a distinct key. The driver gets a few numbers a bucket.
+columns, for each bucket and some million tokens, so shuffles carry a few bytes a
+distinct key. A row has some thousand keys at most: the JVM lays larger arrays apart,
+which makes its heap grow. The driver gets a few numbers a bucket.
 
 Scoring maps the arrays into memory (a store that isn't a local file system is read
 bucket by bucket) and looks a batch's tokens up in sorted order.
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, partitions_of, scratch, written
+from .common import documents, fold, partitions_of, rows_of, scratch
 
 SEED = 42
 #: Hashes of what no word can be.
@@ -51,6 +52,8 @@ END, START = b"\n", b" "
 GATHER, LOOK_UP = 4_000_000, 1_000_000
 #: Keys of runs that come together before they are merged; bytes of text whose counts make a bucket.
 MERGE, BUCKET_BYTES = 2_000_000, 128 << 20
+#: Keys in a row of runs, bytes in a batch of them, texts that are taken out of a batch at once.
+PIECE, BATCH_BYTES, TEXTS = 1 << 14, 1 << 21, 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNMIX = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 HALF, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
@@ -80,16 +83,16 @@ def token_hashes(text: str | None) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and their sums (of rows if sums has two axes, of ones if there are none)."""
+    """Distinct keys in order, and their sums (of rows if sums has two axes; of ones if there are none, and keys are sorted in place)."""
     if sums is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys, kind="stable")
         keys, sums = keys[order], sums[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
     if sums is None:
         return keys[starts], np.diff(np.append(starts, len(keys))).astype(np.int64)
-    return keys[starts], np.add.reduceat(sums, starts, axis=0) if len(keys) else sums
+    return keys[starts], np.add.reduceat(sums, starts, axis=0, dtype=np.int64) if len(keys) else sums.astype(np.int64)
 
 
 def narrow(sums: np.ndarray) -> np.ndarray:
@@ -105,19 +108,20 @@ def _packed(sums: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
 def runs_of(keys: np.ndarray, sums: np.ndarray, cuts: np.ndarray):
-    """Record batches of the runs: sorted keys cut by the buckets' last bounds, some 16 MB a batch."""
+    """Record batches of the runs: sorted keys cut by the buckets' last bounds, and in pieces."""
     rows, size = [], 0
     ends = np.searchsorted(keys, cuts, side="left").tolist() + [len(keys)]
     start = 0
     for bucket, end in enumerate(ends):
-        if end > start:
-            rows.append({"bucket": bucket, "keys": keys[start:end].tobytes(), "sums": _packed(sums[start:end])})
+        for at in range(start, end, PIECE):
+            to = min(at + PIECE, end)
+            rows.append({"bucket": bucket, "keys": keys[at:to].tobytes(), "sums": _packed(sums[at:to])})
             size += len(rows[-1]["keys"]) + len(rows[-1]["sums"])
-            if size >= 1 << 24:
+            if size >= BATCH_BYTES:
                 yield pa.RecordBatch.from_pylist(rows, schema=RUN_SCHEMA)
                 rows, size = [], 0
         start = end
@@ -125,6 +129,25 @@ def runs_of(keys: np.ndarray, sums: np.ndarray, cuts: np.ndarray):
         yield pa.RecordBatch.from_pylist(rows, schema=RUN_SCHEMA)
 
 
+def counted(parts, cuts: np.ndarray):
+    """Runs of keys that come in parts; some GATHER are summed at once."""
+    held, size = [], 0
+
+    def given():
+        keys = np.concatenate(held)
+        held.clear()
+        return runs_of(*summed(keys), cuts)
+
+    for keys in parts:
+        held.append(keys)
+        size += len(keys)
+        if size >= GATHER:
+            yield from given()
+            size = 0
+    if held:
+        yield from given()
+
+
 def hash_cuts(buckets: int) -> np.ndarray:
     """First hash of each bucket but the first."""
     return np.array([(1 << 64) * k // buckets for k in range(1, buckets)], np.uint64)
@@ -135,24 +158,24 @@ def _gathered(runs: DataFrame, buckets: int) -> DataFrame:
     return runs.repartitionById(buckets, "bucket")
 
 
-def _buckets(batches, dtype, width: int = 1):
+def _buckets(batches, dtype):
     """(bucket, distinct keys, sums) of a task's gathered runs.
 
     Runs are merged whenever as much has come as is held, so that memory follows the
     distinct keys and not the number of runs.
     """
     held: dict[int, list] = {}  # keys and sums merged so far, and runs behind them
+    behind: dict[int, int] = {}  # keys in those
 
     def merge(runs):
         return [summed(np.concatenate([k for k, _ in runs]), np.concatenate([x for _, x in runs]))]
 
-    for batch in batches:
-        for bucket, keys, sums in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "sums"))):
-            x = _unpacked(sums)
-            runs = held.setdefault(bucket, [])
-            runs.append((np.frombuffer(keys, dtype), x.reshape(-1, width) if width > 1 else x))
-            if sum(len(k) for k, _ in runs[1:]) > max(len(runs[0][0]), MERGE):
-                held[bucket] = merge(runs)
+    for bucket, keys, sums in rows_of(batches, "bucket", "keys", "sums"):
+        runs = held.setdefault(bucket, [])
+        runs.append((np.frombuffer(keys, dtype), _unpacked(sums)))
+        behind[bucket] = behind[bucket] + len(runs[-1][0]) if len(runs) > 1 else 0
+        if behind[bucket] > max(len(runs[0][0]), MERGE):
+            held[bucket], behind[bucket] = merge(runs), 0
     for bucket in sorted(held):
         yield bucket, *merge(held.pop(bucket))[0]
 
@@ -266,18 +289,16 @@ class Scorer:
             counts[known] = self._lookup(keys, "pairs")[1]
         return counts
 
-    def stats(self, ids: np.ndarray, columns: slice) -> np.ndarray:
-        """Rows of the arrays by id; zero for -1. An id's bucket is that of its word; the start has one of its own."""
-        out = np.zeros((len(ids), STATS), np.int64)
+    def stats(self, ids: np.ndarray, columns: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the arrays by distinct id, zero for -1, and each id's row. An id's bucket is that of its word; the start has one of its own."""
         distinct, back = np.unique(ids, return_inverse=True)
-        found = np.zeros((len(distinct), STATS), np.int64)
+        found = np.zeros((len(distinct), columns.stop - columns.start), np.int64)
         bounds = np.searchsorted(distinct, self.m.offsets + [self.m.words + 1])
         for b, (start, end) in enumerate(zip(bounds, bounds[1:])):
             if end > start:
                 table = self.arrays.get(f"stats-{b}", "<u8").reshape(-1, STATS)
-                found[start:end] = table[distinct[start:end] - self.m.offsets[b]]
-        out[:] = found[back]
-        return out[:, columns]
+                found[start:end] = table[distinct[start:end] - self.m.offsets[b], columns]
+        return found, back
 
     def probabilities(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """P(word | before) of ids, -1 for unknown words."""
@@ -285,15 +306,16 @@ class Scorer:
         if not m.pairs:
             return np.full(len(word), 1 / (m.words + 1))
         d, e = np.array((0.0, *m.discounts)), np.array((0.0, *m.low_discounts))
-        follows = self.stats(word, slice(4, 5))[:, 0]
+        found, at = self.stats(word, slice(4, 5))
+        follows = found[:, 0]
         spare = (np.array(m.followers) * e[1:]).sum() / m.pairs
-        low = np.maximum(follows - e[np.minimum(follows, 3)], 0) / m.pairs + spare / (m.words + 1)
-        context = self.stats(before, slice(0, 4))
-        c = self.pair_counts(before, word)
+        low = (np.maximum(follows - e[np.minimum(follows, 3)], 0) / m.pairs + spare / (m.words + 1))[at]
+        context, at = self.stats(before, slice(0, 4))
         seen = context[:, 0] > 0
         total = np.where(seen, context[:, 0], 1)
         gamma = np.where(seen, (context[:, 1:4] * d[1:]).sum(axis=1) / total, 1.0)
-        return np.maximum(c - d[np.minimum(c, 3)], 0) / total + gamma * low
+        c = self.pair_counts(before, word)
+        return np.maximum(c - d[np.minimum(c, 3)], 0) / total[at] + gamma[at] * low
 
     def score(self, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text, of its token hashes: known tokens, base score, score."""
@@ -324,7 +346,7 @@ def _hash_groups(batches, most: int, *names: str):
     """(columns, token hashes) of rows, by groups of about `most` tokens; a long text is a group of its own."""
     rows, hashes, size = [], [], 0
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in (*names, "text"))):
+        for row in rows_of((batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)), *names, "text"):
             h = token_hashes(row[-1])
             rows.append(row[:-1])
             hashes.append(h)
@@ -353,8 +375,7 @@ def train(texts: DataFrame, uri: str, buckets: int | None = None) -> Model:
     texts = texts.select("text")
 
     def count_words(batches):
-        for _, hashes in _hash_groups(batches, GATHER):
-            yield from runs_of(*summed(np.concatenate(hashes)), cuts)
+        yield from counted((np.concatenate(hashes) for _, hashes in _hash_groups(batches, LOOK_UP)), cuts)
 
     def write_words(batches):
         for b, keys, sums in _buckets(batches, "<u8"):
@@ -370,57 +391,60 @@ def train(texts: DataFrame, uri: str, buckets: int | None = None) -> Model:
     if not model.tokens:
         return model
 
+    def pairs(hashes):
+        ids, _n = scorer(model).words(np.concatenate(hashes))
+        lengths = np.array([len(h) for h in hashes])
+        before = np.concatenate(([0], ids[:-1]))
+        before[np.cumsum(lengths) - lengths] = model.words
+        return mixed(before.astype(np.uint64) << HALF | ids.astype(np.uint64))
+
     def count_pairs(batches):
-        words = scorer(model).words
-        for _, hashes in _hash_groups(batches, GATHER):
-            keys = []
-            part, size = [], 0
-            for h in [*hashes, None]:
-                if part and (h is None or size >= LOOK_UP):
-                    ids, _n = words(np.concatenate(part))
-                    lengths = np.array([len(x) for x in part])
-                    before = np.concatenate(([0], ids[:-1]))
-                    before[np.cumsum(lengths) - lengths] = model.words
-                    keys.append(before.astype(np.uint64) << HALF | ids.astype(np.uint64))
-                    part, size = [], 0
-                if h is not None:
-                    part.append(h)
-                    size += len(h)
-            yield from runs_of(*summed(mixed(np.concatenate(keys))), cuts)
+        yield from counted((pairs(hashes) for _, hashes in _hash_groups(batches, LOOK_UP)), cuts)
 
     firsts = np.array(offsets[1:], np.uint32)  # an id's bucket is its word's; the start is in one more
-    stats_schema = "bucket int, keys binary, sums binary, met array<long>"
+
+    stats_schema = pa.schema([*RUN_SCHEMA, ("met", pa.list_(pa.int64()))])
+    met_schema = pa.schema([("met", pa.list_(pa.int64())), ("low", pa.list_(pa.int64()))])
 
     def write_pairs(batches):
         for b, keys, sums in _buckets(batches, "<u8"):
             save(uri, f"pairs-{b}.keys", keys)
             save(uri, f"pairs-{b}.counts", narrow(sums))
+            met = [int((sums == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]
+            yield pa.RecordBatch.from_pylist([{"bucket": b, "met": met}], schema=stats_schema)
             pair = unmixed(keys)
             v, w = (pair >> HALF).astype(np.uint32), (pair & LOW).astype(np.uint32)
-            rows = np.zeros((2 * len(v), STATS), np.int64)
-            rows[: len(v), 0] = sums
-            for k in (1, 2):
-                rows[: len(v), k] = sums == k
-            rows[: len(v), 3] = sums > 2
-            rows[len(v) :, 4] = 1
-            met = [int((sums == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]
-            for batch in runs_of(*summed(np.concatenate((v, w)), rows), firsts):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([met] + [None] * (batch.num_rows - 1), pa.list_(pa.int64()))], names=["bucket", "keys", "sums", "met"])
-                met = None
+            del pair, keys
+            # By context a row of four, by word one number: a run of each, told apart by its width.
+            order = np.argsort(v, kind="stable")
+            v, sums = v[order], sums[order]
+            starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            after = np.stack([np.add.reduceat(x, starts, dtype=np.int64) for x in (sums, sums == 1, sums == 2, sums > 2)], axis=1)
+            for ids, x in ((v[starts], after), summed(w)):
+                for batch in runs_of(ids, x, firsts):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.list_(pa.int64()))], schema=stats_schema)
 
     def write_stats(batches):
-        for b, ids, sums in _buckets(batches, "<u4", STATS):
+        tables: dict[int, np.ndarray] = {}
+        for b, ids, sums, met in rows_of(batches, "bucket", "keys", "sums", "met"):
+            if met:
+                yield pa.RecordBatch.from_pylist([{"met": met}], schema=met_schema)
+                continue
             first, last = (offsets[b], offsets[b + 1]) if b < buckets else (model.words, model.words + 1)
-            table = np.zeros((last - first, STATS), "<u8")
-            table[ids.astype(np.int64) - first] = sums
-            save(uri, f"stats-{b}", table)
-            follows = sums[:, 4]
-            yield pa.RecordBatch.from_pylist([{"met": [int((follows == k).sum()) for k in (1, 2, 3, 4)] + [int((follows > 2).sum())]}])
-
-    # The runs are written, as both the numbers met and the sums by id are read from them.
-    runs = written(_gathered(texts.mapInArrow(count_pairs, RUN), buckets).mapInArrow(write_pairs, stats_schema), "stats")
-    met = runs.filter("met IS NOT NULL").select([F.sum(F.col("met")[k]) for k in range(5)]).first()
-    low = _gathered(runs.select("bucket", "keys", "sums"), buckets + 1).mapInArrow(write_stats, "met array<long>").select([F.sum(F.col("met")[k]) for k in range(5)]).first()
+            if b not in tables:
+                tables[b] = np.zeros((last - first, STATS), np.int64)
+            at = np.frombuffer(ids, "<u4").astype(np.int64) - first
+            x = _unpacked(sums).astype(np.int64).reshape(len(at), -1)
+            tables[b][at, slice(0, 4) if x.shape[1] == 4 else slice(4, 5)] += x  # a run has an id once
+        for b, table in tables.items():
+            save(uri, f"stats-{b}", table.astype("<u8", copy=False))
+            follows = table[:, 4]
+            yield pa.RecordBatch.from_pylist([{"low": [int((follows == k).sum()) for k in (1, 2, 3, 4)] + [int((follows > 2).sum())]}], schema=met_schema)
+
+    written_pairs = _gathered(texts.mapInArrow(count_pairs, RUN), buckets).mapInArrow(write_pairs, f"{RUN}, met array<long>")
+    written_stats = _gathered(written_pairs, buckets + 1).mapInArrow(write_stats, "met array<long>, low array<long>")
+    sums = written_stats.select([F.sum(F.col(c)[k]) for c in ("met", "low") for k in range(5)]).first()
+    met, low = sums[:5], sums[5:]
     model.discounts, model.pairs = discounts_of(list(met[:4])), met[4]
     model.low_discounts, model.followers = discounts_of(list(low[:4])), (low[0], low[1], low[4])
     return model

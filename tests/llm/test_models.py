@@ -1,8 +1,10 @@
 """SimHash, decontamination, language, packing, token files, language model and classifier against plain versions."""
 
 import math
+import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -552,6 +554,36 @@ def test_runs_are_merged_as_they_come(monkeypatch):
     assert got == want
 
 
+def test_runs_have_rows_of_bounded_size():
+    keys = np.arange(100_000, dtype=np.uint64)
+    batches = list(language_model.runs_of(keys, (keys % 700).astype(np.int64), np.array([10, 60_000], np.uint64)))
+    assert max(len(r["keys"]) for b in batches for r in b.to_pylist()) <= 1 << 17
+    got = list(language_model._buckets(batches, "<u8"))
+    assert [(b, len(k)) for b, k, _ in got] == [(0, 10), (1, 59_990), (2, 40_000)]
+    assert (np.concatenate([k for _, k, _ in got]) == keys).all() and (np.concatenate([n for *_, n in got]) == keys % 700).all()
+
+
+def test_texts_leave_a_batch_a_few_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": f"word{i} " * 1000} for i in range(2000)])
+    tracemalloc.start()
+    try:
+        n = sum(len(h) for _, hashes in language_model._hash_groups([batch], 10_000, "doc_id") for h in hashes)
+        assert n == 2000 * 1001 and tracemalloc.get_traced_memory()[1] < batch.nbytes / 2
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_leaves_its_arrays_alone(spark, docs):
+    root = scratch(spark, "m").removeprefix("file://").rpartition("/")[0]
+    before = {*os.listdir(root)} if os.path.isdir(root) else set()
+    uri = scratch(spark, "m")
+    language_model.train(docs, uri, buckets=3)
+    assert {*os.listdir(root)} - before == {uri.rpartition("/")[2]}
+    assert {x.split("-")[0] for x in os.listdir(f"{root}/{uri.rpartition('/')[2]}")} == {"words", "pairs", "stats"}
+
+
 def test_mixing_is_a_bijection():
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
     assert (language_model.unmixed(language_model.mixed(x)) == x).all()
